@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftline.llm import bpe, packing, pii, sharding, toxicity
+from siftline.llm import bpe, packing, pii, sharding, simhash, toxicity
 from siftline.llm.common import table
 
 
@@ -23,6 +24,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(pii.pii(table(spark, sf_dir, "documents")))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.clusters(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -37,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_bpe": op4_bpe,
     "op5_pii": op5_pii,
+    "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op10_sharding": op10_sharding,
 }
