@@ -243,17 +243,41 @@ def links(docs: DataFrame, tau: int = TAU, least: int = LEAST, most: int = MOST,
     return full.repartition("k", "cell").sortWithinPartitions("k", "cell", "h", "role").mapInArrow(compared, "u bigint, v bigint")
 
 
-def classes(docs: DataFrame, tau: int = TAU, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each line: doc_id, line (from 0), n_chars, h, class_id (a hash), first_doc_id, first_line (the class's first line)."""
+def _lines(docs: DataFrame, tau: int, least: int, id_col: str, text_col: str) -> DataFrame:
+    """A row for each line: doc_id, row (a hash of id and text), line, n_chars, h, class_id, first (none, doc_id, row, line)."""
     bounded_batches(docs.sparkSession)
     narrow = id_and_text(docs, id_col, text_col)
     hashed = F.transform(F.split("text", "\n"), lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n")))
-    lines = narrow.select("doc_id", F.posexplode(hashed).alias("line", "of")).select("doc_id", "line", F.col("of.h").alias("h"), F.col("of.n").cast("long").alias("n_chars"))
+    lines = narrow.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode(hashed).alias("line", "of")).select("doc_id", "row", "line", F.col("of.h").alias("h"), F.col("of.n").cast("long").alias("n_chars"))
     # one row for each different line from here on; ids that are null come last
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line")).alias("first")
-    single = lines.groupBy("h").agg(first)
+    single = lines.groupBy("h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")).alias("first"))
     roots = components(links(docs, tau, least, text_col=text_col)).select(F.col("node").alias("h"), "root")
     rooted = written(single.join(roots, "h", "left").select("h", "first", F.coalesce("root", "h").alias("class_id")), "lines")
     firsts = rooted.groupBy("class_id").agg(F.min("first").alias("first"))
-    named = rooted.select("h", "class_id").join(firsts, "class_id").select("h", "class_id", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line"))
-    return lines.join(named, "h").select("doc_id", "line", "n_chars", "h", "class_id", "first_doc_id", "first_line")
+    return lines.join(rooted.select("h", "class_id").join(firsts, "class_id"), "h")
+
+
+def classes(docs: DataFrame, tau: int = TAU, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each line: doc_id, line (from 0), n_chars, h, class_id (a hash), first_doc_id, first_line (the class's first line)."""
+    return _lines(docs, tau, least, id_col, text_col).select("doc_id", "line", "n_chars", "h", "class_id", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line"))
+
+
+def deduplicated(docs: DataFrame, tau: int = TAU, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows and columns of `docs`, of each class of lines (from `least` characters on) only the first left in the texts.
+
+    Every document stays, if need be with an empty text. Rows that repeat id and text are treated alike.
+    """
+    first = F.col("first")
+    gone = _lines(docs, tau, least, id_col, text_col).filter((F.col("n_chars") >= least) & ((F.col("row") != first["row"]) | (F.col("line") != first["line"])))
+    gone = gone.groupBy("row").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("row", "__row")
+    own = F.xxhash64(docs[id_col], F.coalesce(docs[text_col], F.lit("")))
+    at = docs.columns.index(text_col)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t if not g else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in set_) for t, g in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True) for set_ in [frozenset(g or ())]]
+            columns = batch.columns[:-1]
+            columns[at] = pa.array(texts, batch.column(at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1]))
+
+    return docs.withColumn("__row", own).join(gone, "__row", "left").select(*(F.col(f"`{c}`") for c in docs.columns), "__gone").mapInArrow(cut, docs.schema)

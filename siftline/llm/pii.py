@@ -191,6 +191,21 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     return narrow.mapInArrow(scan, f"doc_id {kind}, spans array<struct<kind string, start bigint, `end` bigint, score double>>" + ", masked string" * with_text)
 
 
+def masked(docs: DataFrame, text_col: str = "text", reach: int = 50, threshold: float = 0.6) -> DataFrame:
+    """All rows and columns of `docs`, with each span in a text replaced by its kind in brackets; null texts stay null."""
+    bounded_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def hidden(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns)
+            texts = ((t, find_spans(t or "", reach, threshold)) for t in columns[at].to_pylist())
+            columns[at] = pa.array([mask(t, found) if found else t for t, found in texts], columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(hidden, docs.schema)
+
+
 def pii_digest(found: DataFrame) -> DataFrame:
     """Counts of the base kinds, a digest of the base spans, and all spans as text."""
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -12,6 +12,16 @@ with each other, and a spanning forest of those that link goes on to
 A key with more than `most` fingerprints is split: its rows are dealt by hash
 into parts, and each pair of parts is compared on its own, which loses no pair.
 
+`copies` finds near-copies by similarity of word shingles instead (five words,
+0.8 or more). Such pairs differ in up to 14 of 64 bits, which no few blocks of
+a 64-bit fingerprint survive. So its fingerprint is wide (`WIDE` bits), and its
+blocks are the 64-bit SimHashes of classes of shingles: the shingles of a
+document are dealt by hash into classes of about three, and a change in a text
+leaves most classes, hence their blocks, as they are. The first `CLASSES` of
+them are joined on; at a similarity of 0.8 each is unchanged with a chance of
+at least 0.4, so all differ in less than one pair of a thousand. Pairs that
+share a block are verified by the Hamming distance of the wide fingerprints.
+
 Defined cases: a null or blank text has no words and fingerprint zero, linked
 like any other; texts of fewer words than a shingle have their whole sequence
 as one; repeated rows give repeated results; null ids stay, and count for a
@@ -34,6 +44,7 @@ from siftline.llm.common import bounded_batches, id_and_text, written
 from siftline.llm.components import components
 
 _BLOCK = 1 << 16
+WIDE, CLASSES = 1024, 16
 
 
 def shingle_hashes(text: str, words: int, seed: int = 42) -> Iterator[np.ndarray]:
@@ -174,3 +185,108 @@ def clusters(docs: DataFrame, words: int = 3, radius: int = 3, blocks: int = 6,
     rooted = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return printed.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def _mixed(h: np.ndarray, n: int) -> np.ndarray:
+    """The n-th 64-bit hash derived from each of `h`."""
+    x = h + np.uint64((n + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _majority(h: np.ndarray) -> int:
+    ones = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h)).view(">u8")[0])
+
+
+def wide_blocks(text: str, words: int = 5, similarity: float = 0.8) -> tuple[bytes, list[int]]:
+    """The wide fingerprint of a text, and the keys of its blocks."""
+    parts = list(shingle_hashes(text, words))
+    if not parts:
+        return bytes(WIDE // 8), [0]
+    h = np.unique(np.concatenate(parts))
+    wide = b"".join(_majority(_mixed(h, n)).to_bytes(8, "big") for n in range(WIDE // 64))
+    n, out = len(h), []
+    # as many classes as a text that is as similar as asked for can have
+    levels = {max(0, int(np.ceil(np.log2(m / 4)))) for m in (n * similarity, n, n / similarity)}
+    for level in sorted(levels):
+        of = _mixed(h, 99) & np.uint64((1 << level) - 1)
+        for c in range(min(CLASSES, 1 << level)):
+            own = h[of == np.uint64(c)]
+            if len(own) >= 2 or n < 4 and len(own):
+                out.append(int(_mixed(np.array([_majority(own)], np.uint64), 100 + level * CLASSES + c)[0]))
+    return wide, out
+
+
+def _apart(similarity: float) -> int:
+    """The Hamming distance expected of wide fingerprints at a Jaccard similarity, and a standard deviation more."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(WIDE * p + np.sqrt(WIDE * p * (1 - p)))
+
+
+def wide_forest(prints: np.ndarray, apart: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among wide fingerprints (rows of 64-bit words)."""
+    n, out = len(prints), []
+    label = np.arange(n)
+    for i in range(n - 1):
+        other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        near = other[np.bitwise_count(prints[i] ^ prints[other]).sum(axis=1, dtype=np.int64) <= apart]
+        for j in near.tolist():
+            if label[j] != label[i]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each (id, text): row (their hash), doc_id, n (rows that repeat it), first_row (of its group of near-copies)."""
+    bounded_batches(docs.sparkSession)
+    narrow = id_and_text(docs, id_col, text_col)
+    kind, apart = narrow.schema["doc_id"].dataType.simpleString(), _apart(similarity)
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_blocks(t, words, similarity) for t in batch.column(2).to_pylist()]
+            prints = pa.array([w for w, _ in found], pa.binary())
+            blocks = pa.array([np.array(b, np.uint64).view(np.int64) for _, b in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints, blocks], names=["row", "doc_id", "print", "blocks"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, fp, prints in _runs(batches, 2):
+            words_ = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
+            if pairs := wide_forest(words_, apart):
+                at = np.array(pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(fp[at[:, 0]]), pa.array(fp[at[:, 1]])], names=["u", "v"])
+
+    row = F.xxhash64("doc_id", "text").alias("row")
+    all_ = written(narrow.select(row, "doc_id", "text").mapInArrow(printed, f"row bigint, doc_id {kind}, print binary, blocks array<bigint>"), "prints")
+    of = all_.select("row", "doc_id", F.xxhash64("print").alias("fp"))
+    # texts of one wide fingerprint are one row from here on
+    classes = written(all_.select(F.xxhash64("print").alias("fp"), "print", "blocks").dropDuplicates(["fp"]), "classes")
+    keys = classes.select("fp", F.explode("blocks").alias("k"))
+    shared = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    cells = keys.join(shared, "k").select("k", "fp", "parts", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    cells = cells.select("k", (F.least("part", "other") * F.col("parts") + F.greatest("part", "other")).alias("cell"), "fp").join(classes.select("fp", "print"), "fp").select("k", "cell", "fp", "print")
+    found = cells.repartition("k", "cell").sortWithinPartitions("k", "cell", "fp").mapInArrow(compared, "u bigint, v bigint")
+    roots = components(found).select(F.col("node").alias("fp"), "root")
+    single = of.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    rooted = written(single.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "groups")
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    named = rooted.select("fp", "root").join(firsts, "root").select("fp", F.col("first.row").alias("first_row"))
+    rows = of.groupBy("row", "doc_id", "fp").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(named, "fp").select("row", "doc_id", "n", "first_row")
+
+
+def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, with all columns, of each group of near-copies: that of the smallest id."""
+    kept = written(copies(docs, words, similarity, id_col=id_col, text_col=text_col).filter("row = first_row").select(F.col("row").alias("__row"), F.col("n").alias("__n")), "kept")
+    own = docs.withColumn("__row", F.xxhash64(docs[id_col], F.coalesce(docs[text_col], F.lit(""))))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = own.join(kept.filter("__n = 1"), "__row", "left_semi").select(*columns)
+    again = kept.filter("__n > 1")
+    if again.isEmpty():
+        return out
+    # rows that repeat id and text: any one of them
+    return out.unionByName(own.join(again, "__row", "left_semi").dropDuplicates(["__row"]).select(*columns))
