@@ -44,7 +44,7 @@ from siftline.llm.common import bounded_batches, id_and_text, written
 from siftline.llm.components import components
 
 _BLOCK = 1 << 16
-WIDE, CLASSES = 1024, 16
+WIDE, CLASSES = 2048, 16
 
 
 def shingle_hashes(text: str, words: int, seed: int = 42) -> Iterator[np.ndarray]:
@@ -220,9 +220,9 @@ def wide_blocks(text: str, words: int = 5, similarity: float = 0.8) -> tuple[byt
 
 
 def _apart(similarity: float) -> int:
-    """The Hamming distance expected of wide fingerprints at a Jaccard similarity, and a standard deviation more."""
+    """The Hamming distance expected of wide fingerprints at a Jaccard similarity, and one and a half standard deviations more."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(WIDE * p + np.sqrt(WIDE * p * (1 - p)))
+    return int(WIDE * p + 1.5 * np.sqrt(WIDE * p * (1 - p)))
 
 
 def wide_forest(prints: np.ndarray, apart: int) -> list[tuple[int, int]]:
