@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe, lines, neighbours, packing, pii, sharding, simhash, tokencounts, toxicity
+from siftline.llm import bpe, images, lines, neighbours, packing, pii, sharding, simhash, tokencounts, toxicity
 from siftline.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op8_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.copies(images.rendered(table(spark, sf_dir, "embeddings"))).withColumnRenamed("id", "vec_id")
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.classes(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
+    "op8_images": op8_images,
     "op9_lines": op9_lines,
     "op10_sharding": op10_sharding,
 }
