@@ -80,11 +80,14 @@ def keys(line: str, tau: int) -> tuple[list[int], list[int]]:
     return [of(line[a:b], s) for a, b, s in filed], [of(line[a:b], s) for a, b, s in looked]
 
 
-def bag(line: str) -> int:
-    """Counts of characters in 16 classes, modulo 16, four bits each."""
-    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")
-    counts = np.bincount((codes * np.uint32(2654435761)) >> np.uint32(28), minlength=16) & 15
-    return int((counts.astype(np.uint64) << (4 * np.arange(16, dtype=np.uint64))).sum())
+def bags(lines: list[str]) -> np.ndarray:
+    """For each line the counts of its characters in 15 classes, modulo 16, four bits each; the lowest four bits are free."""
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
+    # the multiplication spreads neighbouring characters over the classes
+    of = ((codes * np.uint32(2654435761)) >> np.uint32(16)) % np.uint32(15) + 1
+    counts = np.bincount(np.repeat(np.arange(len(lines)) * 16, lengths) + of, minlength=16 * len(lines)).reshape(-1, 16) & 15
+    return (counts.astype(np.uint64) << (4 * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
 
 
 def _nibbles(bags: np.ndarray) -> np.ndarray:
@@ -146,13 +149,13 @@ def within(a: str, b: str, tau: int) -> bool:
 
 def _forest(lines: list[str], filed: np.ndarray, looked: np.ndarray, tau: int) -> Iterator[tuple[int, int]]:
     """Links, as pairs of places, that join what all links between looked-up and filed lines join."""
-    bags = _nibbles(np.array([bag(x) for x in lines], np.uint64))
+    counts = _nibbles(bags(lines))
     lengths = np.array([len(x) for x in lines])
     label = np.arange(len(lines))
     for i in np.flatnonzero(looked).tolist():
         near = filed & (label != label[i]) & (np.abs(lengths - lengths[i]) <= tau)
         places = np.flatnonzero(near)
-        places = places[_far(bags[i], bags[places]) <= 2 * tau]
+        places = places[_far(counts[i], counts[places]) <= 2 * tau]
         for j in places.tolist():
             if label[j] != label[i] and within(lines[i], lines[j], tau):
                 yield i, j
@@ -160,57 +163,84 @@ def _forest(lines: list[str], filed: np.ndarray, looked: np.ndarray, tau: int) -
 
 
 def _filed(texts: DataFrame, tau: int, least: int) -> DataFrame:
-    """k, h, role (0 filed, 1 looked up), bag of each line; a task says a line's once as far as it remembers."""
+    """k, h, bag of each line, the bag's lowest bits 0 if filed and 1 if looked up; a task says a line's once as far as it remembers."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[str] = set()
+        seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                new = set()
+                new: dict[int, str] = {}
                 for text in batch.column(0).slice(at, 200).to_pylist():
-                    new.update(x for x in text.split("\n") if len(x) >= least)
-                new -= seen
+                    for line in text.split("\n"):
+                        if len(line) >= least:
+                            new[xxhash.xxh64_intdigest(line, 42)] = line
+                for h in seen.intersection(new):
+                    del new[h]
+                if not new:
+                    continue
                 seen = set() if len(seen) > _SEEN else seen
-                seen |= {x for x in new if len(x) < 1000}
-                k, h, role, bags = [], [], [], []
-                for line in sorted(new):
+                seen.update(new)
+                k, n_filed, n_looked = [], [], []
+                for line in new.values():
                     filed, looked = keys(line, tau)
-                    own, counts, n = xxhash.xxh64_intdigest(line, 42), bag(line), len(filed) + len(looked)
                     k += filed
                     k += looked
-                    role += [0] * len(filed) + [1] * len(looked)
-                    h += [own] * n
-                    bags += [counts] * n
-                big = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([big(k), big(h), pa.array(role, pa.int8()), big(bags)], names=["k", "h", "role", "bag"])
+                    n_filed.append(len(filed))
+                    n_looked.append(len(looked))
+                each = np.array(n_filed) + np.array(n_looked)
+                role = np.repeat(np.tile(np.array([0, 1], np.uint64), len(new)), np.stack([n_filed, n_looked], axis=1).ravel())
+                big = lambda x: pa.array(x.view(np.int64))
+                yield pa.RecordBatch.from_arrays([big(np.array(k, np.uint64)), big(np.repeat(np.fromiter(new, np.uint64, len(new)), each)), big(np.repeat(bags(list(new.values())), each) | role)], names=["k", "h", "bag"])
 
-    return texts.mapInArrow(rows, "k bigint, h bigint, role tinyint, bag bigint")
+    return texts.mapInArrow(rows, "k bigint, h bigint, bag bigint")
 
 
 def _partnered(tau: int, most: int):
-    """Of the rows under a key, those that have a partner by their counts."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = None
-        for k, h, role, bags in _runs(batches, 1, 4 * most):
-            if len(h) > 4 * most:
-                hot = k[0]
-            if k[0] == hot:  # so many that most have a partner; comparison looks at the counts again
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(h), pa.array(role)], names=["k", "h", "role"])
-                continue
-            if role[0] == role[-1] and (role == role[0]).all() or (h == h[0]).all():
-                continue
-            of = _nibbles(bags)
-            keep = np.zeros(len(h), bool)
-            filed = np.flatnonzero(role == 0)
-            for i in np.flatnonzero(role == 1).tolist():
-                near = filed[(_far(of[i], of[filed]) <= 2 * tau) & (h[filed] != h[i])]
+    """Of the rows under a key, those that have a partner by their counts. Batches come sorted by key."""
+
+    def said(k: np.ndarray, h: np.ndarray, role: np.ndarray) -> pa.RecordBatch:
+        one = np.unique(np.stack([k, h, role.astype(np.int64)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(one[0]), pa.array(one[1]), pa.array(one[2].astype(np.int8))], names=["k", "h", "role"])
+
+    def picked(k: np.ndarray, h: np.ndarray, bag: np.ndarray) -> Iterator[pa.RecordBatch]:
+        role = bag & 15
+        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        stops = np.append(starts[1:], len(k))
+        can = (np.minimum.reduceat(h, starts) < np.maximum.reduceat(h, starts)) & (np.minimum.reduceat(role, starts) < np.maximum.reduceat(role, starts))
+        for a, b in zip(starts[can].tolist(), stops[can].tolist(), strict=True):
+            rows = np.unique(np.stack([h[a:b], role[a:b], bag[a:b]]), axis=1)
+            own, how, of = rows[0], rows[1], _nibbles(rows[2])[:, 1:]
+            keep, filed = np.zeros(len(own), bool), np.flatnonzero(how == 0)
+            for i in np.flatnonzero(how == 1).tolist():
+                near = filed[(_far(of[i], of[filed]) <= 2 * tau) & (own[filed] != own[i])]
                 if len(near):
                     keep[i] = True
                     keep[near] = True
             if keep.any():
-                one = np.unique(np.stack([h[keep], role[keep].astype(np.int64)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(one.shape[1], k[0])), pa.array(one[0]), pa.array(one[1].astype(np.int8))], names=["k", "h", "role"])
+                yield said(np.full(int(keep.sum()), k[a]), own[keep], how[keep])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hot = [np.zeros(0, np.int64)] * 3, None
+        for batch in batches:
+            held = [np.concatenate([a, c.to_numpy(zero_copy_only=False)]) for a, c in zip(held, batch.columns, strict=True)]
+            k = held[0]
+            cut = int(np.searchsorted(k, k[-1])) if len(k) else 0
+            if hot is not None and len(k):
+                # the rest of a key with so many lines that most have a partner; comparison looks at the counts again
+                first = int(np.searchsorted(k, hot, "right"))
+                if first:
+                    yield said(k[:first], held[1][:first], held[2][:first] & 15)
+                    held, cut = [x[first:] for x in held], max(0, cut - first)
+                if len(held[0]):
+                    hot = None
+            if cut:
+                yield from picked(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+            if len(held[0]) > 16 * most:
+                yield said(held[0], held[1], held[2] & 15)
+                held, hot = [x[:0] for x in held], int(held[0][0])
+        if len(held[0]):
+            yield from picked(*held) if hot is None else [said(held[0], held[1], held[2] & 15)]
 
     return rows
 
@@ -218,7 +248,7 @@ def _partnered(tau: int, most: int):
 def links(docs: DataFrame, tau: int = TAU, least: int = LEAST, most: int = MOST, text_col: str = "text") -> DataFrame:
     """u, v: hashes of lines, links that join what all links would join."""
     texts = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    under = _filed(texts, tau, least).repartition("k").sortWithinPartitions("k", "h", "role").mapInArrow(_partnered(tau, most), "k bigint, h bigint, role tinyint")
+    under = _filed(texts, tau, least).repartition("k").sortWithinPartitions("k").mapInArrow(_partnered(tau, most), "k bigint, h bigint, role tinyint")
     under = written(under, "partnered")
     line = F.explode(F.split("text", "\n")).alias("line")
     of = texts.select(line).filter(F.length("line") >= least).select(F.xxhash64("line").alias("h"), "line")
