@@ -41,6 +41,8 @@ from siftline.llm.simhash import _runs
 
 TAU, LEAST, MOST = 2, 24, 4096
 _SEEN = 1_000_000
+#: bits of the sieve that lines pass before their texts are shuffled: 2 MB
+SIEVE = 1 << 24
 
 
 def segments(length: int, tau: int) -> list[tuple[int, int]]:
@@ -245,14 +247,38 @@ def _partnered(tau: int, most: int):
     return rows
 
 
+def _sieve(hashes: DataFrame) -> np.ndarray:
+    """Bits of the hashes, `SIEVE` in all whatever the input, so what the driver collects and sends has a bound."""
+    place = F.pmod("h", F.lit(SIEVE))
+    words = hashes.select(F.floor(place / 64).cast("int").alias("w"), (place % 64).cast("int").alias("b")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits"))
+    table, out = words.toArrow(), np.zeros(SIEVE // 64, np.int64)
+    out[table.column("w").to_numpy()] = table.column("bits").to_numpy()
+    return out
+
+
+def _texts_of(texts: DataFrame, hashes: DataFrame, least: int) -> DataFrame:
+    """h, line of the lines with these hashes. Lines that a sieve can rule out aren't shuffled."""
+    bits = _sieve(hashes)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                lines = list({x for t in batch.column(0).slice(at, 200).to_pylist() for x in t.split("\n") if len(x) >= least})
+                h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in lines), np.uint64, len(lines))
+                place = h.view(np.int64) % SIEVE
+                may = np.flatnonzero((bits[place // 64] >> (place % 64)) & 1)
+                if len(may):
+                    yield pa.RecordBatch.from_arrays([pa.array(h[may].view(np.int64)), pa.array([lines[i] for i in may.tolist()], pa.string())], names=["h", "line"])
+
+    return texts.mapInArrow(rows, "h bigint, line string").join(hashes, "h", "left_semi").dropDuplicates(["h"])
+
+
 def links(docs: DataFrame, tau: int = TAU, least: int = LEAST, most: int = MOST, text_col: str = "text") -> DataFrame:
     """u, v: hashes of lines, links that join what all links would join."""
     texts = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"))
     under = _filed(texts, tau, least).repartition("k").sortWithinPartitions("k").mapInArrow(_partnered(tau, most), "k bigint, h bigint, role tinyint")
     under = written(under, "partnered")
-    line = F.explode(F.split("text", "\n")).alias("line")
-    of = texts.select(line).filter(F.length("line") >= least).select(F.xxhash64("line").alias("h"), "line")
-    held = of.join(under.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
+    held = _texts_of(texts, under.select("h").distinct(), least)
     # parts of a key with many lines: each pair of parts is a cell of its own
     hot = under.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("k", F.ceil(F.col("n") / most).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("h"), F.col("parts")).cast("int")
