@@ -93,6 +93,8 @@ def features(grey: np.ndarray, most: int = 32) -> tuple[np.ndarray, np.ndarray]:
         y, x = np.nonzero(peak)
         best = np.lexsort((x, y, -inner[y, x]))[:most]
         y, x = y[best] + reach, x[best] + reach
+        if not len(x):
+            continue
         smooth = _box(a, 1)
         d = np.arange(-PATCH, PATCH + 1)
         disc = d[:, None] ** 2 + d[None] ** 2 <= PATCH**2
