@@ -23,9 +23,11 @@ is packed whole, over many windows.
 
 from __future__ import annotations
 
+import json
+import re
 from collections import deque
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +35,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.bpe import WHITE, tokenizer
+from siftline.llm.bpe import WHITE, byte_alphabet, tokenizer
 from siftline.llm.common import bounded_batches, id_and_text
 
 SENTENCE, HARD, GRID, BLOCK = 16, 64, 32, 1 << 19
-_CACHED, _LONGEST = 400_000, 40
+_CACHED, _LONGEST = 350_000, 40
 _SPLIT = str.maketrans({c: " " for c in WHITE})
 
 
+#: words of these characters are in normal form, and lower() changes each by itself
+_SIMPLE = re.compile(r"[ -~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+#: the vocabulary's pre-tokens, in lower-case words of these characters
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+_ODD = re.compile(r"[\x1c-\x1f]")
+
+
 class WordBPE:
-    """Ids as the library gives them for a vocabulary that drops white space, so that words can be encoded apart."""
+    """Ids as the library gives them for a vocabulary that drops white space, so that words can be encoded apart.
+
+    A cache of two generations keeps the ids of words. What it lacks is merged
+    by tiktoken, for which a space after a pre-token stands for the
+    vocabulary's end of word; words of other than simple characters, and any
+    vocabulary whose ids aren't in the order of its merges, go to the library.
+    """
 
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
@@ -50,26 +65,66 @@ class WordBPE:
         self.lib, self.end = Tokenizer.from_file(path), np.uint32(end).astype("<u4").tobytes()
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.closes = np.zeros(self.lib.get_vocab_size() + 1, bool)
-        for token, i in self.lib.get_vocab().items():
+        vocab = self.lib.get_vocab()
+        special = set(self.lib.get_added_tokens_decoder())
+        self.closes, self.last = np.zeros(len(vocab) + 1, bool), np.zeros(len(vocab) + 1, bool)
+        for token, i in vocab.items():
             sign = token.removesuffix("</w>")
-            self.closes[i] = sign != token and any(c in ".!?" for c in sign) and not any(c.isalnum() for c in sign)
-        self.cache: dict[str, bytes] = {}
+            self.last[i] = sign != token
+            self.closes[i] = self.last[i] and any(c in ".!?" for c in sign) and not any(c.isalnum() for c in sign)
+        self.fast = self._merger(vocab, special)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _merger(self, vocab: dict[str, int], special: set[int]):
+        import tiktoken
+
+        merges = json.loads(self.lib.to_str())["model"]["merges"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        if [vocab.get(a + b) for a, b in pairs] != list(range(512, 512 + len(pairs))):
+            return None
+        alphabet = byte_alphabet()
+        ranks = {bytes(alphabet[c] for c in t.removesuffix("</w>")) + b" " * t.endswith("</w>"): i for t, i in vocab.items() if i not in special}
+        return tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={}) if len(ranks) == 512 + len(pairs) else None
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """The ids of each word."""
+        joined = " ".join(words)
+        if self.fast and "<|" not in joined and _SIMPLE.fullmatch(joined):
+            return self._merged(joined.lower())
+        simple = [w for w in words if self.fast and "<|" not in w and _SIMPLE.fullmatch(w)]
+        found = dict(zip(simple, self._merged(" ".join(simple).lower()) if simple else (), strict=True))
+        if other := [w for w in words if w not in found]:
+            for w, e in zip(other, self.lib.encode_batch_fast(other, add_special_tokens=False), strict=True):
+                found[w] = np.array(e.ids, "<u4").tobytes()
+        return [found[w] for w in words]
+
+    def _merged(self, joined: str) -> list[bytes]:
+        """The ids of each of the words, lower-case and of simple characters, between single spaces."""
+        words = joined.split(" ")
+        # most are letters, or letters and one sign
+        pieces = [w if w.isalpha() else f"{w[:-1]} {w[-1]}" if w[:-1].isalpha() else " ".join(_PIECES.findall(w)) for w in words]
+        ids = self.fast.encode_to_numpy(" ".join(pieces) + " ", disallowed_special=()).astype("<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        stops = (ends[np.cumsum([p.count(" ") + 1 for p in pieces]) - 1] * 4).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *stops], stops)]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers, the closing id last."""
-        # split() would also take the four separators from 1C on, which the library keeps
-        parts = [t.split() if t.isascii() and not any(c in t for c in "\x1c\x1d\x1e\x1f") else [w for w in t.translate(_SPLIT).split(" ") if w] for t in texts]
-        if new := list(set(chain.from_iterable(parts)).difference(self.cache)):
-            if len(self.cache) + len(new) > _CACHED:
-                self.cache = {}
-                new = list(set(chain.from_iterable(parts)))
-            for w, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(self.cache.__getitem__, p)) + self.end for p in parts]
-        for w in new:
-            if len(w) > _LONGEST:
-                del self.cache[w]
+        # split() would also take four separators that the library keeps
+        parts = [[w for w in t.translate(_SPLIT).split(" ") if w] if _ODD.search(t) else t.split() for t in texts]
+        young, old = self.young, self.old
+        if missing := set(filterfalse(young.__contains__, chain.from_iterable(parts))):
+            for w in [w for w in missing if w in old]:
+                young[w] = old[w]
+            if new := [w for w in missing if w not in young]:
+                young.update(zip(new, self._encoded(new), strict=True))
+        out = [b"".join(map(young.__getitem__, p)) + self.end for p in parts]
+        for w in [w for w in missing if len(w) > _LONGEST]:
+            del young[w]
+        if len(young) > _CACHED:
+            self.young, self.old = {}, young
         return out
 
 
@@ -179,8 +234,8 @@ def pack(docs: DataFrame, path: str, end: int = 1, size: int = 2048, id_col: str
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 for doc_id, ids in zip(part.column(0).to_pylist(), bpe.encode_batch(part.column(1).to_pylist()), strict=True):
                     if rows := list(packer.add(doc_id, ids)):
                         yield batch_of(rows)
