@@ -34,7 +34,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/siftline/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again.siftline_path = path
+    return again
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what `written` wrote for this very frame; nothing may read it any more."""
+    _delete(df.sparkSession, df.siftline_path)
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Deletes all that `written` left in the shared folder. Results not yet written out elsewhere go with it."""
+    _delete(spark, f"{shared_dir(spark).rstrip('/')}/siftline")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

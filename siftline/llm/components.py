@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import written
+from siftline.llm.common import discard, written
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -32,8 +32,9 @@ def components(links: DataFrame) -> DataFrame:
         # small star: smaller neighbours, and the node itself, go to the smallest
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = written(small, "links")
+        last, now = now, written(small, "links")
         before, mark = mark, _mark(now)
+        discard(last)
         if before == mark:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
