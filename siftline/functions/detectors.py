@@ -15,6 +15,8 @@ class Detector:
     description: str
     severity: str
     type: str
+    #: lower-case strings of which any matching line holds one, whatever its case; none: not known
+    needles: tuple[str, ...] = ()
 
     @property
     def group(self) -> int:
@@ -24,28 +26,28 @@ class Detector:
 
 # Patterns, descriptions, severities and types, in the order that decides ties.
 SECRETS = [
-    Detector("aws-access-key", r"AKIA[0-9A-Z]{16}", "AWS access key ID hardcoded in source file", "HIGH", "P-01"),
-    Detector("aws-secret-key", r'(?i)aws[_\-\s]?secret[_\-\s]?(?:access[_\-\s]?)?key\s*[=:]\s*["\']?([A-Za-z0-9/+=]{40})["\']?', "AWS secret access key hardcoded in source file", "HIGH", "P-01"),
-    Detector("postgres-uri", r'postgres(?:ql)?://\S+:\S+@[^\s"\']+', "PostgreSQL connection string with embedded credentials", "HIGH", "P-01"),
-    Detector("mysql-uri", r'mysql(?:\+\w+)?://\S+:\S+@[^\s"\']+', "MySQL connection string with embedded credentials", "HIGH", "P-01"),
-    Detector("mongodb-uri", r'mongodb(?:\+srv)?://\S+:\S+@[^\s"\']+', "MongoDB connection string with embedded credentials", "HIGH", "P-01"),
-    Detector("redis-uri", r'redis://\S+:\S+@[^\s"\']+', "Redis connection string with embedded credentials", "HIGH", "P-01"),
-    Detector("api-key", r'(?i)api[_\-]?key\s*[=:]\s*["\']([A-Za-z0-9\-_]{20,})["\']', "Hardcoded API key assignment detected", "HIGH", "P-01"),
-    Detector("secret-or-token", r'(?i)(?:secret|token|private[_\-]?key)\s*[=:]\s*["\']([A-Za-z0-9\-_/+=.]{16,})["\']', "Hardcoded secret or token value detected", "HIGH", "P-01"),
-    Detector("password", r'(?i)password\s*[=:]\s*["\']([^"\']{6,})["\']', "Hardcoded password value detected", "HIGH", "P-01"),
-    Detector("github-token", r"gh[pousr]_[A-Za-z0-9]{36,}", "GitHub personal access token detected", "HIGH", "P-01"),
-    Detector("slack-token", r"xox[baprs]-[0-9]{10,}-[0-9]{10,}-[A-Za-z0-9]{24,}", "Slack API token detected", "HIGH", "P-01"),
-    Detector("stripe-key", r"(?:sk|pk)_(?:live|test)_[A-Za-z0-9]{24,}", "Stripe API key (live or test) detected", "HIGH", "P-01"),
-    Detector("sendgrid-key", r"SG\.[A-Za-z0-9\-_]{22,}\.[A-Za-z0-9\-_]{43,}", "SendGrid API key detected", "HIGH", "P-01"),
+    Detector("aws-access-key", r"AKIA[0-9A-Z]{16}", "AWS access key ID hardcoded in source file", "HIGH", "P-01", ("akia",)),
+    Detector("aws-secret-key", r'(?i)aws[_\-\s]?secret[_\-\s]?(?:access[_\-\s]?)?key\s*[=:]\s*["\']?([A-Za-z0-9/+=]{40})["\']?', "AWS secret access key hardcoded in source file", "HIGH", "P-01", ("aws",)),
+    Detector("postgres-uri", r'postgres(?:ql)?://\S+:\S+@[^\s"\']+', "PostgreSQL connection string with embedded credentials", "HIGH", "P-01", ("postgres",)),
+    Detector("mysql-uri", r'mysql(?:\+\w+)?://\S+:\S+@[^\s"\']+', "MySQL connection string with embedded credentials", "HIGH", "P-01", ("mysql",)),
+    Detector("mongodb-uri", r'mongodb(?:\+srv)?://\S+:\S+@[^\s"\']+', "MongoDB connection string with embedded credentials", "HIGH", "P-01", ("mongodb",)),
+    Detector("redis-uri", r'redis://\S+:\S+@[^\s"\']+', "Redis connection string with embedded credentials", "HIGH", "P-01", ("redis://",)),
+    Detector("api-key", r'(?i)api[_\-]?key\s*[=:]\s*["\']([A-Za-z0-9\-_]{20,})["\']', "Hardcoded API key assignment detected", "HIGH", "P-01", ("api",)),
+    Detector("secret-or-token", r'(?i)(?:secret|token|private[_\-]?key)\s*[=:]\s*["\']([A-Za-z0-9\-_/+=.]{16,})["\']', "Hardcoded secret or token value detected", "HIGH", "P-01", ("secret", "token", "private")),
+    Detector("password", r'(?i)password\s*[=:]\s*["\']([^"\']{6,})["\']', "Hardcoded password value detected", "HIGH", "P-01", ("password",)),
+    Detector("github-token", r"gh[pousr]_[A-Za-z0-9]{36,}", "GitHub personal access token detected", "HIGH", "P-01", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    Detector("slack-token", r"xox[baprs]-[0-9]{10,}-[0-9]{10,}-[A-Za-z0-9]{24,}", "Slack API token detected", "HIGH", "P-01", ("xox",)),
+    Detector("stripe-key", r"(?:sk|pk)_(?:live|test)_[A-Za-z0-9]{24,}", "Stripe API key (live or test) detected", "HIGH", "P-01", ("k_live_", "k_test_")),
+    Detector("sendgrid-key", r"SG\.[A-Za-z0-9\-_]{22,}\.[A-Za-z0-9\-_]{43,}", "SendGrid API key detected", "HIGH", "P-01", ("sg.",)),
     Detector("twilio-sid", r"AC[a-z0-9]{32}", "Twilio Account SID detected", "HIGH", "P-01"),
-    Detector("gcp-key", r"AIza[0-9A-Za-z\-_]{35}", "Google Cloud / Firebase API key detected", "HIGH", "P-01"),
-    Detector("private-key-block", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----", "Private key PEM block detected in source file", "HIGH", "P-01"),
-    Detector("jwt", r"eyJ[A-Za-z0-9\-_]+\.eyJ[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_]+", "JWT token hardcoded in source file", "HIGH", "P-01"),
+    Detector("gcp-key", r"AIza[0-9A-Za-z\-_]{35}", "Google Cloud / Firebase API key detected", "HIGH", "P-01", ("aiza",)),
+    Detector("private-key-block", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----", "Private key PEM block detected in source file", "HIGH", "P-01", ("private key-----",)),
+    Detector("jwt", r"eyJ[A-Za-z0-9\-_]+\.eyJ[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_]+", "JWT token hardcoded in source file", "HIGH", "P-01", ("eyj",)),
     Detector("env-known-prefix", r'^(?:SECRET|TOKEN|KEY|PASSWORD|PRIVATE|CREDENTIAL|AUTH)[_A-Z0-9]*\s*=\s*["\']?(\S{8,})["\']?', "Secret value assigned in environment configuration file", "HIGH", "P-02"),
     Detector("env-known-suffix", r'^[A-Z][A-Z0-9_]*(?:TOKEN|SECRET|KEY|PASS|PWD|CREDENTIAL)\s*=\s*["\']?(\S{8,})["\']?', "Secret value assigned in environment configuration file", "HIGH", "P-02"),
-    Detector("auth-header", r"(?i)(?:Authorization|X-Api-Key|Bearer):\s*([A-Za-z0-9\-_=+/]{20,})", "Authorization header with token recorded in VCR cassette", "HIGH", "P-07"),
-    Detector("basic-auth", r"Authorization:\s*Basic\s+([A-Za-z0-9+/=]{8,})", "Basic auth credentials recorded in VCR cassette file", "HIGH", "P-07"),
-    Detector("ide-value", r'(?i)"(?:value|secret|token|password|key)"\s*:\s*"([A-Za-z0-9\-_=+/]{16,})"', "Secret value found inside IDE configuration artifact", "MEDIUM", "P-08"),
+    Detector("auth-header", r"(?i)(?:Authorization|X-Api-Key|Bearer):\s*([A-Za-z0-9\-_=+/]{20,})", "Authorization header with token recorded in VCR cassette", "HIGH", "P-07", ("authorization:", "x-api-key:", "bearer:")),
+    Detector("basic-auth", r"Authorization:\s*Basic\s+([A-Za-z0-9+/=]{8,})", "Basic auth credentials recorded in VCR cassette file", "HIGH", "P-07", ("authorization:",)),
+    Detector("ide-value", r'(?i)"(?:value|secret|token|password|key)"\s*:\s*"([A-Za-z0-9\-_=+/]{16,})"', "Secret value found inside IDE configuration artifact", "MEDIUM", "P-08", ('value"', 'secret"', 'token"', 'password"', 'key"')),
 ]
 
 # Labels and patterns of personal data, in the order that decides which one a line keeps.

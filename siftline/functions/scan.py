@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,11 +24,29 @@ def _secret(line: Column, d: Detector) -> Column:
     return finding(F.lit(d.type), F.lit(d.severity), redact_secret(value), F.lit(d.description), half_even(entropy(value)))
 
 
-def scan_secrets(line: Column, env_file: Column | None = None, detectors: list[Detector] = SECRETS) -> Column:
-    """At most one finding of each type, the first in the registry's order. Types P-02 count only where `env_file` holds."""
+def folded(line: Column) -> Column:
+    """The line in one case, as case-insensitive patterns see it: long s, Kelvin sign, and i with another or no dot are s, k and i."""
+    out = F.lower(line)
+    for other, plain in (("\u017f", "s"), ("\u0131", "i"), ("\u0307", "")):
+        out = F.replace(out, F.lit(other), F.lit(plain))
+    return out
+
+
+def _hit(line: Column, d: Detector, fold: Column) -> Column:
+    """Whether the pattern matches; cheap searches for what a match must hold come first."""
+    match = F.regexp_like(line, F.lit(java(d.regex)))
+    return reduce(lambda a, b: a | b, (fold.contains(n) for n in d.needles)) & match if d.needles else match
+
+
+def scan_secrets(line: Column, env_file: Column | None = None, detectors: list[Detector] = SECRETS, fold: Column | None = None) -> Column:
+    """At most one finding of each type, the first in the registry's order. Types P-02 count only where `env_file` holds.
+
+    `fold`: a column that holds `folded(line)`, so that it is made once.
+    """
+    fold = folded(line) if fold is None else fold
     chains: dict[str, Column] = {}
     for d in detectors:
-        hit = F.regexp_like(line, F.lit(java(d.regex)))
+        hit = _hit(line, d, fold)
         if d.type == "P-02":
             hit = (env_file if env_file is not None else F.lit(False)) & hit
         chains[d.type] = chains[d.type].when(hit, _secret(line, d)) if d.type in chains else F.when(hit, _secret(line, d))
@@ -35,10 +55,12 @@ def scan_secrets(line: Column, env_file: Column | None = None, detectors: list[D
 
 def scan_personal(line: Column, detectors: list[Detector] = PERSONAL) -> Column:
     """A finding for each label that matches, in order."""
-    of = []
+    of, digits = [], F.regexp_like(line, F.lit(r"(?U)\d"))
     for d in detectors:
         value = F.regexp_extract(line, java(d.regex), 0)
-        of.append(F.when(F.regexp_like(line, F.lit(java(d.regex))), finding(F.lit(d.type), F.lit(d.severity), redact_personal(value, d.name), F.lit(d.description), F.lit(0.0))))
+        # all but e-mail addresses have a digit
+        first = F.lit(True) if d not in PERSONAL else line.contains("@") if d is PERSONAL[0] else digits
+        of.append(F.when(first & F.regexp_like(line, F.lit(java(d.regex))), finding(F.lit(d.type), F.lit(d.severity), redact_personal(value, d.name), F.lit(d.description), F.lit(0.0))))
     return F.array_compact(F.array(*of))
 
 

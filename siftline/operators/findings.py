@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.detectors import PERSONAL, SECRETS, Detector
-from siftline.functions.scan import FIELDS, FINDING, first_of_type, prefixed, retyped, scan_entropy, scan_personal, scan_secrets
+from siftline.functions.scan import FIELDS, FINDING, first_of_type, folded, prefixed, retyped, scan_entropy, scan_personal, scan_secrets
 from siftline.functions.text import percent
 from siftline.operators.routing import PERSONAL_ROUTES, env_file, suffix
 
@@ -26,7 +26,7 @@ def scan_lines(lines: DataFrame, secrets: list[Detector] = SECRETS, personal: li
     """`lines`: file, route, line, text and, for notebooks, cell ([Cell i/type] ). Adds found, has_pii, kept side by side on the row."""
     text, route = F.col("text"), F.col("route")
     notebook = route == "notebook"
-    rows = lines.withColumn("secret", scan_secrets(text, env_file(F.col("file")), secrets))
+    rows = lines.withColumn("fold", folded(text)).withColumn("secret", scan_secrets(text, env_file(F.col("file")), secrets, F.col("fold")))
     rows = rows.withColumn("high", F.when(F.size("secret") == 0, scan_entropy(text, F.when(notebook, "P-05").otherwise("P-01"))).otherwise(F.array().cast(f"array<{FINDING}>")))
     rows = rows.withColumn("pii", F.when(route.isin(*PERSONAL_ROUTES), scan_personal(text, personal)).otherwise(F.array().cast(f"array<{FINDING}>")))
     typed = F.when(route == "ide", retyped(F.col("secret"), F.lit("P-08"))).otherwise(F.col("secret"))

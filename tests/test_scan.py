@@ -5,6 +5,7 @@ import math
 import shutil
 import subprocess
 import sys
+from functools import reduce
 from pathlib import Path
 
 import pytest
@@ -13,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siftline.functions.detectors import PERSONAL, SECRETS, build_detectors, java, skipped
+from siftline.functions.scan import scan_secrets
 from siftline.functions.text import entropy, half_even, looks_like_value, percent, redact_secret, tokens
 from siftline.operators.findings import findings, per_file, scan_lines, split_lines
 from siftline.operators.routing import extension, route
@@ -107,6 +109,16 @@ def test_unicode_patterns(spark):
     assert [r[0] for r in df.select(F.regexp_like("x", F.lit(phone))).collect()] == [True, True, False]
 
 
+def test_cheap_searches_lose_no_match(spark):
+    """Letters of other scripts that a case-insensitive pattern takes for its own."""
+    of = ["\u017fecret = 'abcdefghij0123456789'", "to\u212aen = 'abcdefghij0123456789'", "pr\u0130vate_key = 'abcdefghij0123456789'", "AP\u0130_KEY = 'abcdefghij0123456789'", "SECRET: \"abcdefghij0123456789\""]
+    df = spark.createDataFrame([(x,) for x in of], "x string")
+    plain = [F.regexp_like("x", F.lit(java(d.regex))) for d in SECRETS if d.type == "P-01"]
+    gated = F.exists(scan_secrets(F.col("x")), lambda y: y["type"] == "P-01")
+    assert all(r[0] == r[1] for r in df.select(reduce(lambda a, b: a | b, plain), gated).collect())
+    assert df.filter(gated).count() >= 4
+
+
 def test_registries():
     assert len(SECRETS) == 22 and len(PERSONAL) == 9
     records = [dict(name="a", regex="x(y)", description="d", severity="LOW", type="P-99"), dict(name="b", regex="(", description="d", severity="LOW", type="P-99")]
