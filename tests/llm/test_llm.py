@@ -11,7 +11,6 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siftline.llm import bpe, images, lines, neighbours, packing, pii, sharding, simhash, tokencounts, toxicity
