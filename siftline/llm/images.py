@@ -111,6 +111,20 @@ def features(grey: np.ndarray, most: int = 32) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(chunks)
 
 
+def packed(places: np.ndarray) -> np.ndarray:
+    """Places in 64 bits each: x and y in sixteenths of a pixel (22 bits each), the scale's number (4), the angle (16)."""
+    x, y = (np.rint(places[:, i] * 16).astype(np.uint64) & np.uint64((1 << 22) - 1) for i in (0, 1))
+    scale = np.searchsorted(SCALES, places[:, 2] - 1e-6).astype(np.uint64)
+    angle = np.rint((places[:, 3] + np.pi) / (2 * np.pi) * 65535).astype(np.uint64)
+    return (x << np.uint64(42) | y << np.uint64(20) | scale << np.uint64(16) | angle).view(np.int64)
+
+
+def unpacked(at: np.ndarray) -> np.ndarray:
+    p, few = at.view(np.uint64), np.uint64((1 << 22) - 1)
+    angle = (p & np.uint64(65535)) / 65535 * 2 * np.pi - np.pi
+    return np.stack([(p >> np.uint64(42)) / 16, ((p >> np.uint64(20)) & few) / 16, np.array(SCALES)[((p >> np.uint64(16)) & np.uint64(15)).astype(int)], angle], axis=1)
+
+
 def consensus(a: np.ndarray, b: np.ndarray, tolerance: float = 4.0) -> int:
     """Of matches between places of two images, how many agree with one turn, scale and shift."""
     both = np.unique(np.round(np.concatenate([a, b], axis=1), 3), axis=0)
@@ -142,43 +156,42 @@ def copies(rows: DataFrame, most: int = 32, id_col: str = "id", image_col: str =
                 h = xxhash.xxh64_intdigest(data, 42) if grey is not None else xxhash.xxh64_intdigest(f"no image {i}", 43)
                 own.append(int(np.uint64(h).astype(np.int64)))
                 of.append(features(grey, most) if grey is not None else (np.zeros((0, 4)), np.zeros((0, TABLES), np.int64)))
-            at = pa.array([p.ravel() for p, _ in of], pa.list_(pa.float64()))
-            chunks = pa.array([c.ravel() for _, c in of], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own), at, chunks], names=["id", "h", "places", "chunks"])
+            at = pa.array([packed(p).tobytes() + c.tobytes() for p, c in of], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own), pa.array([len(p) for p, _ in of], pa.int64()), at], names=["id", "h", "n_corners", "corners"])
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()  # a task files an image once as far as it remembers
         for batch in batches:
-            for h, places, chunks in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                p, c = np.array(places).reshape(-1, 4), np.array(chunks, np.int64).reshape(-1, TABLES)
-                n = c.size
-                if n:
+            for h, n, corners in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if n and h not in done:
+                    done = set() if len(done) > 1_000_000 else done
+                    done.add(h)
+                    numbers = np.frombuffer(corners, np.int64)
                     # a chunk's bits are fewer than 48, so its number goes above them
-                    key = c + (np.arange(TABLES, dtype=np.int64)[None] << 48)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.full(n, h)), *(pa.array(np.repeat(p[:, i], TABLES).astype(np.float32)) for i in range(4))], names=["k", "h", "x", "y", "scale", "angle"])
+                    key = numbers[n:].reshape(n, TABLES) + (np.arange(TABLES, dtype=np.int64)[None] << 48)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.full(key.size, h)), pa.array(np.repeat(numbers[:n], TABLES))], names=["k", "h", "at"])
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, 1):
-            h, at = run[1], np.stack(run[2:], axis=1)
+        for _, h, at in _runs(batches, 1):
             if h[0] == h[-1]:
                 continue
             own = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))  # each image's first place under the key
             pairs = sorted({(own[0], j) for j in own[1:]} | set(zip(own[:-1], own[1:], strict=True)))
             i, j = np.array(pairs).T
-            yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(h[j]), *(pa.array(at[i, c]) for c in range(4)), *(pa.array(at[j, c]) for c in range(4))], names=["u", "v", *(f"a{c}" for c in range(4)), *(f"b{c}" for c in range(4))])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[i], h[j], at[i], at[j])], names=["u", "v", "a", "b"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches, 2):
-            if len(run[0]) >= LEAST and consensus(np.stack(run[2:6], axis=1).astype(float), np.stack(run[6:], axis=1).astype(float)) >= LEAST:
+            if len(run[0]) >= LEAST and consensus(unpacked(run[2]), unpacked(run[3])) >= LEAST:
                 yield pa.RecordBatch.from_arrays([pa.array(run[0][:1]), pa.array(run[1][:1])], names=["u", "v"])
 
-    seen = written(given.mapInArrow(described, f"id {kind}, h bigint, places array<double>, chunks array<bigint>"), "images")
-    different = seen.select("h", "places", "chunks").dropDuplicates(["h"])
-    table = different.mapInArrow(filed, "k bigint, h bigint, x float, y float, scale float, angle float")
-    met = table.repartition("k").sortWithinPartitions("k", "h").mapInArrow(paired, "u bigint, v bigint, " + ", ".join(f"{s}{c} float" for s in "ab" for c in range(4)))
+    seen = written(given.mapInArrow(described, f"id {kind}, h bigint, n_corners bigint, corners binary"), "images")
+    table = seen.select("h", "n_corners", "corners").mapInArrow(filed, "k bigint, h bigint, at bigint")
+    met = table.repartition("k").sortWithinPartitions("k", "h", "at").mapInArrow(paired, "u bigint, v bigint, a bigint, b bigint")
     found = written(met.repartition("u", "v").sortWithinPartitions("u", "v").mapInArrow(verified, "u bigint, v bigint"), "image-links")
     roots = components(found).select(F.col("node").alias("h"), "root")
     degree = found.select("u").unionAll(found.select("v")).groupBy(F.col("u").alias("h")).agg(F.count(F.lit(1)).alias("n_links"))
-    single = seen.groupBy("h").agg(F.min("id").alias("least"), F.first(F.size("places") / 4).cast("long").alias("n_corners"))
+    single = seen.groupBy("h").agg(F.min("id").alias("least"), F.max("n_corners").alias("n_corners"))
     rooted = single.join(roots, "h", "left").join(degree, "h", "left").select("h", "least", "n_corners", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "h").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
     return seen.select("id", "h").join(rooted.join(named, "root").drop("root", "least"), "h").select("id", "n_corners", "n_links", "class_id")
