@@ -4,7 +4,7 @@ Proposal and confirmation:
 
 * base kinds: `email`, `ip` (parts at most 255), `card` (14 to 19 digits, Luhn),
   `phone` (international, 10 to 15 digits). What these find always stays.
-* added kinds: `iban` (ISO 7064 mod-97), `card13` (13 digits, Luhn), `ssn`
+* added kinds: `iban` (length of its country, ISO 7064 mod-97), `card13` (13 digits, Luhn), `ssn`
   (issued ranges) and `phone_local`. They stay if their score, moved by words
   nearby, reaches `threshold`.
 
@@ -39,7 +39,18 @@ _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _DIGIT_GROUPS = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+_IBAN_RUN = re.compile(r"(?:\x20?[A-Z0-9]){11,30}+")
+#: lengths of IBANs by country, of the registry of ISO 13616
+_IBAN_LENGTHS = {
+    code: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for code in codes.split()
+}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _PHONE_LOCAL = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 
@@ -74,6 +85,27 @@ def mod97(iban: str) -> bool:
     return rest == 1
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Of each start the prefix that has its country's length, ends where no letter or digit follows and passes mod-97.
+
+    A run also takes in capitals and digits after a space, so its end says nothing of
+    the IBAN's. Of codes that the registry lacks, the longest prefix of 15 to 34 characters that passes.
+    """
+    done = 0
+    for m in _IBAN.finditer(text):
+        run = _IBAN_RUN.match(text, m.end()) if m.start() >= done else None
+        end, fixed = run.end() if run else 0, _IBAN_LENGTHS.get(m.group()[:2])
+        while end:
+            near = text[m.start() : end].replace(" ", "")
+            if len(near) < 15:
+                break
+            if (not fixed or len(near) == fixed) and not (text[end : end + 1].isascii() and text[end : end + 1].isalnum()) and mod97(near):
+                yield m.start(), end
+                done = end
+                break
+            end -= 2 if text[end - 2] == " " else 1
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost, non-overlapping. `@` is in neither class, so one outward walk from each finds them in linear time."""
     done, at = 0, text.find("@")
@@ -122,10 +154,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def added_spans(text: str) -> list[tuple[str, int, int]]:
     """Proposals of the other kinds that pass their check."""
-    out = []
-    for m in _IBAN.finditer(text):
-        if mod97(m.group().replace(" ", "")):
-            out.append(("iban", *m.span()))
+    out = [("iban", a, b) for a, b in ibans(text)]
     out += [("card13", a, b) for a, b, d in _checked(text) if len(d) == 13]
     if "-" in text:
         out += [("ssn", *m.span()) for m in _SSN.finditer(text)]

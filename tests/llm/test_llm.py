@@ -153,6 +153,15 @@ def test_pii_kinds_and_context():
     assert pii.score("my card 1", "card", 8, 9, 50) > pii.score("my serial 1", "card", 10, 11, 50)
 
 
+@pytest.mark.parametrize("iban", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606"])
+@pytest.mark.parametrize("after", ["", ".", " Please pay", " BIC: X", " COBADEFF 12", " A", "\n2 x", " 7 days"])
+def test_pii_iban_before_other_words(iban, after):
+    text = f"pay to IBAN AB12 {iban}{after}"
+    assert [(k, text[a:b]) for k, a, b, _ in pii.find_spans(text)] == [("iban", iban)]
+    assert pii.mask(text, pii.find_spans(text)) == f"pay to IBAN AB12 [IBAN]{after}"
+    assert not [k for k, *_ in pii.find_spans(f"IBAN {iban[:-1]}{(int(iban[-1]) + 1) % 10}{after}") if k == "iban"]
+
+
 def test_pii_fuzz():
     rng = random.Random(2)
     for _ in range(4000):
