@@ -1,4 +1,4 @@
-"""Line deduplication by a segment-partition edit join.
+"""Line deduplication by a segment-partition edit join, and by prefixes of word triples for passages.
 
 Lines of at least `least` characters link if at most `tau` edits (insertions,
 deletions, substitutions of one character) turn one into the other; linked
@@ -15,6 +15,14 @@ lines, and what links reach, are a class. Shorter lines match exactly only.
    bit-parallel edit distance. A spanning forest of the links goes to
    `components`: a line already in a partner's component isn't compared again.
 
+Two edits are little in a passage. So lines also link if both have at least
+`PASSAGE` words and at most a tenth of the longer one's words must be inserted,
+deleted or substituted. An edit touches at most three word triples, so of two
+such lines neither has more than 3 t triples that the other lacks, t being the
+tenth. Their smallest common triple (by hash) is then among the first 3 t + 1 of
+each, and a line is filed under these, t taken for the longest partner it can
+have. Steps 2 and 3 are as above, with counts of words for those of characters.
+
 A key with more than `most` lines is split into parts by hash; each pair of
 parts is compared on its own, so no pair is lost.
 
@@ -40,6 +48,8 @@ from siftline.llm.components import components
 from siftline.llm.simhash import _runs
 
 TAU, LEAST, MOST = 2, 24, 4096
+#: least words of a passage, what part of its words may differ (one in so many), and words to a key
+PASSAGE, PART, GRAM = 20, 10, 3
 _SEEN = 1_000_000
 #: bits of the sieve that lines pass before their texts are shuffled: 2 MB
 SIEVE = 1 << 24
@@ -164,6 +174,124 @@ def _forest(lines: list[str], filed: np.ndarray, looked: np.ndarray, tau: int) -
                 label[label == label[j]] = label[i]
 
 
+def _hashed(words: list[str], known: dict[str, int]) -> np.ndarray:
+    if len(known) > _SEEN:
+        known.clear()
+    of = xxhash.xxh64_intdigest
+    return np.fromiter((known[w] if w in known else known.setdefault(w, of(w, 42)) for w in words), np.uint64, len(words))
+
+
+def passage_keys(h: np.ndarray) -> np.ndarray:
+    """The keys of a passage, given the hashes of its words."""
+    x = h[: len(h) - GRAM + 1].copy()
+    for i in range(1, GRAM):
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - GRAM + 1 + i]
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    # the longest partner has len(h) * PART / (PART - 1) words
+    return np.unique(x ^ (x >> np.uint64(29)))[: GRAM * (len(h) // (PART - 1)) + 1]
+
+
+def _word_bag(h: np.ndarray) -> int:
+    """As in `bags`, of a passage's words."""
+    counts = np.bincount((h % np.uint64(15)).astype(np.int64) + 1, minlength=16) & 15
+    return int((counts.astype(np.uint64) << (4 * np.arange(16, dtype=np.uint64))).sum(dtype=np.uint64))
+
+
+def _passages(texts: DataFrame) -> DataFrame:
+    """k, h, bag, n (words) of each passage; a task says a passage's once as far as it remembers."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        known: dict[str, int] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                keys_, own, bag, n = [], [], [], []
+                for text in batch.column(0).slice(at, 200).to_pylist():
+                    for line in text.split("\n"):
+                        if len(line) < 2 * PASSAGE - 1 or (h := xxhash.xxh64_intdigest(line, 42)) in seen or len(words := line.split()) < PASSAGE:
+                            continue
+                        seen = set() if len(seen) > _SEEN else seen
+                        seen.add(h)
+                        of = _hashed(words, known)
+                        keys_.append(passage_keys(of))
+                        own.append(h)
+                        bag.append(_word_bag(of))
+                        n.append(len(words))
+                if own:
+                    each = [len(k) for k in keys_]
+                    big = lambda x: pa.array(np.repeat(np.array(x, np.uint64), each).view(np.int64))  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys_).view(np.int64)), big(own), big(bag), pa.array(np.repeat(np.array(n, np.int32), each))], names=["k", "h", "bag", "n"])
+
+    return texts.mapInArrow(rows, "k bigint, h bigint, bag bigint, n int")
+
+
+def _near_passages(most: int):
+    """Of the rows under a key, those that have a partner by their counts of words. Batches come sorted by key and line."""
+
+    def said(k: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(h)], names=["k", "h"])
+
+    def picked(k: np.ndarray, h: np.ndarray, bag: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        of, n, keep = _nibbles(bag)[:, 1:], n.astype(np.int64), np.zeros(len(k), bool)
+        i, d = np.arange(len(k) - 1), 1
+        while len(i := i[i + d < len(k)]) and len(i := i[k[i] == k[i + d]]):  # each row with the d-th after it
+            t = np.maximum(n[i], n[i + d]) // PART
+            near = i[(h[i] != h[i + d]) & (np.abs(n[i] - n[i + d]) <= t)]
+            gap = np.abs(of[near] - of[near + d])
+            near = near[np.minimum(gap, 16 - gap).sum(axis=1, dtype=np.int32) <= 2 * (np.maximum(n[near], n[near + d]) // PART)]
+            keep[near] = keep[near + d] = True
+            d += 1
+        if keep.any():
+            yield said(k[keep], h[keep])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hot = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if hot is not None:
+                # the rest of a key with so many lines that most have a partner; comparison looks at the counts again
+                first = int(np.searchsorted(new[0], hot, "right"))
+                if first:
+                    yield said(new[0][:first], new[1][:first])
+                if first == len(new[0]):
+                    continue
+                new, hot = [x[first:] for x in new], None
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            cut = int(np.searchsorted(held[0], held[0][-1]))
+            if cut:
+                yield from picked(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+            if len(held[0]) > 4 * most:
+                yield said(held[0], held[1])
+                held, hot = None, int(held[0][0])
+        if held is not None and len(held[0]):
+            yield from picked(*held)
+
+    return rows
+
+
+def _passage_forest(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """Links, as pairs of places, that join what all links between passages join."""
+    code: dict[str, str] = {}
+    known: dict[str, int] = {}
+    parts = [x.split() for x in lines]
+    # a character for each word, so that edits of words are edits of characters
+    said = ["".join(code[w] if w in code else code.setdefault(w, chr(len(code))) for w in p) for p in parts]
+    counts = _nibbles(np.array([_word_bag(_hashed(p, known)) for p in parts], np.uint64))[:, 1:]
+    lengths = np.array([len(p) for p in parts])
+    label = np.arange(len(lines))
+    for i in range(len(lines) - 1):
+        t = np.maximum(lengths[i], lengths[i + 1 :]) // PART
+        places = np.flatnonzero((label[i + 1 :] != label[i]) & (np.abs(lengths[i] - lengths[i + 1 :]) <= t))
+        places = places[_far(counts[i], counts[i + 1 + places]) <= 2 * t[places]]
+        for j in (places + i + 1).tolist():
+            if label[j] != label[i] and within(said[i], said[j], int(max(lengths[i], lengths[j])) // PART):
+                yield i, j
+                label[label == label[j]] = label[i]
+
+
 def _filed(texts: DataFrame, tau: int, least: int) -> DataFrame:
     """k, h, bag of each line, the bag's lowest bits 0 if filed and 1 if looked up; a task says a line's once as far as it remembers."""
 
@@ -277,7 +405,23 @@ def links(docs: DataFrame, tau: int = TAU, least: int = LEAST, most: int = MOST,
     """u, v: hashes of lines, links that join what all links would join."""
     texts = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"))
     under = _filed(texts, tau, least).repartition("k").sortWithinPartitions("k").mapInArrow(_partnered(tau, most), "k bigint, h bigint, role tinyint")
-    under = written(under, "partnered")
+
+    def near(h: np.ndarray, role: np.ndarray, own: np.ndarray, lines: list[str]) -> Iterator[tuple[int, int]]:
+        return _forest(lines, np.isin(own, h[role == 0]), np.isin(own, h[role == 1]), tau)
+
+    return _compared(texts, written(under, "partnered"), least, most, near)
+
+
+def passage_links(docs: DataFrame, most: int = MOST, text_col: str = "text") -> DataFrame:
+    """u, v: hashes of passages, links that join what all links of passages would join."""
+    texts = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    under = _passages(texts).repartition("k").sortWithinPartitions("k", "h").mapInArrow(_near_passages(most), "k bigint, h bigint")
+    under = written(under.distinct().withColumn("role", F.lit(0).cast("tinyint")), "partnered")
+    return _compared(texts, under, 2 * PASSAGE - 1, most, lambda h, role, own, lines: _passage_forest(lines))
+
+
+def _compared(texts: DataFrame, under: DataFrame, least: int, most: int, near) -> DataFrame:
+    """Links, by `near`, among the lines under each key of `under` (k, h, role)."""
     held = _texts_of(texts, under.select("h").distinct(), least)
     # parts of a key with many lines: each pair of parts is a cell of its own
     hot = under.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("k", F.ceil(F.col("n") / most).cast("int").alias("parts"))
@@ -291,8 +435,7 @@ def links(docs: DataFrame, tau: int = TAU, least: int = LEAST, most: int = MOST,
             own, first = np.unique(h, return_index=True)
             if len(own) < 2:
                 continue
-            filed, looked = np.isin(own, h[role == 0]), np.isin(own, h[role == 1])
-            if pairs := list(_forest([lines[i] for i in first], filed, looked, tau)):
+            if pairs := list(near(h, role, own, [lines[i] for i in first])):
                 at = np.array(pairs)
                 yield pa.RecordBatch.from_arrays([pa.array(own[at[:, 0]]), pa.array(own[at[:, 1]])], names=["u", "v"])
 
@@ -307,7 +450,8 @@ def _lines(docs: DataFrame, tau: int, least: int, id_col: str, text_col: str) ->
     lines = narrow.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode(hashed).alias("line", "of")).select("doc_id", "row", "line", F.col("of.h").alias("h"), F.col("of.n").cast("long").alias("n_chars"))
     # one row for each different line from here on; ids that are null come last
     single = lines.groupBy("h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")).alias("first"))
-    roots = components(links(docs, tau, least, text_col=text_col)).select(F.col("node").alias("h"), "root")
+    linked = links(docs, tau, least, text_col=text_col).unionByName(passage_links(docs, text_col=text_col))
+    roots = components(linked).select(F.col("node").alias("h"), "root")
     rooted = written(single.join(roots, "h", "left").select("h", "first", F.coalesce("root", "h").alias("class_id")), "lines")
     firsts = rooted.groupBy("class_id").agg(F.min("first").alias("first"))
     return lines.join(rooted.select("h", "class_id").join(firsts, "class_id"), "h")

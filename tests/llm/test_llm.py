@@ -306,6 +306,34 @@ def test_line_classes(spark, odd):
     assert {r.doc_id: r.text for r in out.collect()}[6] == "" and lines.classes(odd.limit(0)).count() == 0
 
 
+def test_passages_with_changed_words(spark):
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 9))) for _ in range(600)]
+    rows = []
+    for p in range(8):
+        base = [rng.choice(vocabulary) for _ in range((25, 55, 70, 130)[p % 4])]
+        rows.append((100 * p, " ".join(base)))
+        for j in range(1, 9):
+            words = base[:]
+            for _ in range(rng.randint(1, len(words) // 7)):
+                i, how = rng.randrange(len(words)), rng.random()
+                words[i : i + 1] = [rng.choice(vocabulary)] if how < 0.5 else [] if how < 0.75 else [words[i], rng.choice(vocabulary)]
+            rows.append((100 * p + j, " ".join(words)))
+    rows += [(9000 + i, " ".join(["a"] * n)) for i, n in enumerate((20, 22, 25, 40, 44, 60))]
+    split = {t: t.split() for _, t in rows}
+    tenth = lambda a, b: max(len(split[a]), len(split[b])) // 10
+    linked = lambda a, b: abs(len(split[a]) - len(split[b])) <= tenth(a, b) and 2 * len({*split[a]} & {*split[b]}) > len({*split[a]}) and distance(split[a], split[b]) <= tenth(a, b)
+    root, first = classes_of(sorted(split), linked), {}
+    for d, t in rows:
+        first[root[t]] = min(first.get(root[t], d), d)
+    assert 8 < len(first) < len(rows) - 20
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {(r.doc_id, r.first_doc_id) for r in lines.classes(df).collect()} == {(d, first[root[t]]) for d, t in rows}
+    assert {r.doc_id for r in lines.deduplicated(df).collect() if r.text} == set(first.values())
+    whole, parted = ({(r.node, r.root) for r in components(lines.passage_links(df, most=m)).collect()} for m in (4096, 2))
+    assert whole == parted and whole
+
+
 def test_token_counts(spark, docs, texts, odd, tmp_path, monkeypatch):
     lib = Tokenizer.from_file(BYTES)
     lib.encode_special_tokens = True
