@@ -465,6 +465,7 @@ def classes(docs: DataFrame, tau: int = TAU, least: int = LEAST, id_col: str = "
 def deduplicated(docs: DataFrame, tau: int = TAU, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of `docs`, of each class of lines (from `least` characters on) only the first left in the texts.
 
+    Lines of fewer than `least` characters all stay, repeats of them too, though `classes` has those in one class.
     Every document stays, if need be with an empty text. Rows that repeat id and text are treated alike.
     """
     first = F.col("first")
