@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: most rows of small tables that are broadcast, counted first
+BROADCAST_ROWS = 500_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,19 +24,27 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share, the one that spark.checkpoint.dir names.
 
-    It is the one that spark.checkpoint.dir names. Only where that is unset, as
-    in tests on one machine, a folder under the warehouse is taken.
+    Only where that is unset and all runs on one machine, as in tests, a folder under
+    the warehouse is taken; on a cluster that would be a guess, so it is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/siftline/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """`df` as a table in the shared folder, read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/siftline/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again.siftline_path = path
@@ -45,8 +57,8 @@ def discard(df: DataFrame) -> None:
 
 
 def clear_shared(spark: SparkSession) -> None:
-    """Deletes all that `written` left in the shared folder. Results not yet written out elsewhere go with it."""
-    _delete(spark, f"{shared_dir(spark).rstrip('/')}/siftline")
+    """Deletes all that `written` left in the shared folder for this application. Results not yet written out elsewhere go with it."""
+    _delete(spark, _own_dir(spark))
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -62,3 +74,23 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def cells(members: DataFrame, member: str, most: int, weight: str | None = None, heaviest: int = 32 << 20) -> DataFrame:
+    """`members`: k, the column `member` and others. Adds `cell`, so that any two members of a key meet in one of its cells.
+
+    A key with more than `most` rows, or whose `weight` adds up to more than `heaviest`, is split: its
+    members are dealt by hash into parts, and each pair of parts is a cell. All other keys have one cell.
+    """
+    sums = [F.count(F.lit(1)).alias("n"), F.sum(weight if weight else F.lit(0)).alias("w")]
+    parts = F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("w") / heaviest)).cast("int")
+    hot = written(members.groupBy("k").agg(*sums).filter((F.col("n") > most) | (F.col("w") > heaviest)).select("k", parts.alias("parts")), "hot")
+    n_hot = hot.count()
+    if not n_hot:
+        return members.withColumn("cell", F.lit(0))
+    # a row of 12 bytes each; more of them than fit a broadcast are joined by adaptive execution
+    held = members.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, "k", "left")
+    part = F.pmod(F.xxhash64(member), F.col("parts")).cast("int")
+    dealt = held.withColumn("part", part).withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    cell = F.coalesce(F.least("part", "other") * F.col("parts") + F.greatest("part", "other"), F.lit(0))
+    return dealt.withColumn("cell", cell).drop("parts", "part", "other")

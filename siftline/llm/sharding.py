@@ -1,15 +1,17 @@
 """Sharding by vector bin packing: bytes, tokens and rows balanced jointly.
 
-Groups (equal texts) have a vector of bytes, tokens and rows. Each is placed
-in the shard where the dot product of its vector with the shard's residual
-capacity is highest, largest first. Two steps bound what the driver packs,
-whatever the input's size:
+Groups (equal texts) have a vector of bytes, tokens and rows. Each item is
+placed in the shard where the dot product of its vector with the shard's
+residual capacity is highest, largest first. Items are groups, but for two
+steps that bound what the driver packs, whatever the input's size:
 
-* groups of more than `1 / (shards * fine)` of any total are cut into equal
-  parts by a hash of the row, so one hot group can't unbalance a shard; there
-  can be at most `3 * shards * fine` such groups;
-* the other groups are dealt by hash into `cells` cells, which are the items
-  to be packed. A cell keeps equal texts together.
+* a group of more than a shard's share of any total can't be whole in a
+  balanced shard, so it is cut by a hash of the row into parts of about
+  `1 / (shards * fine)` of that total; no other group is cut;
+* a group of more than that part is an item of its own; there can be at most
+  `3 * shards * fine` such. The smaller ones are dealt by hash into `cells`
+  cells, which are items. So a small group isn't placed by its own vector but
+  by its cell's, and balance is met to within a cell, not a group.
 
 The law that holds is `bytes`: after packing, whole items move from the
 largest to the smallest shard while that lowers their difference in bytes.
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from siftline.llm.common import written
 
 
-def place(items: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each item; `items` has a row of bytes, tokens and rows for each."""
+def packed(items: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each item by the dot products alone; `items` has a row of bytes, tokens and rows for each."""
     if not len(items):
         return np.zeros(0, int)
     total = np.maximum(items.sum(axis=0), 1)
@@ -41,7 +43,12 @@ def place(items: np.ndarray, shards: int) -> np.ndarray:
         gain = room @ share[i]
         home[i] = int(np.argmax(np.where(fits, gain, -np.inf))) if fits.any() else int(np.argmax(gain))
         room[home[i]] -= share[i]
-    return _levelled(items[:, 0], home, shards)
+    return home
+
+
+def place(items: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each item: `packed`, then levelled by bytes."""
+    return _levelled(items[:, 0], packed(items, shards), shards)
 
 
 def _levelled(size: np.ndarray, home: np.ndarray, shards: int) -> np.ndarray:
@@ -92,14 +99,15 @@ def shards(docs: DataFrame, n: int = 8, cells: int = 4096, fine: int = 64, id_co
     size, tokens, rows = (x or 0 for x in base.agg(*sums).first())
     most = [max(1.0, x / (n * fine)) for x in (size, tokens, rows)]
     groups = base.groupBy("h").agg(*sums)
-    parts = F.ceil(F.greatest(*(F.col(c) / F.lit(m) for c, m in zip(("size", "tokens", "rows"), most, strict=True))))
-    # at most 3 * n * fine groups are over a limit that so many of them would fill
-    hot = [(r["h"], r["parts"]) for r in groups.filter((F.col("rows") > 1) & (parts > 1)).select("h", F.least(parts, F.col("rows")).cast("int").alias("parts")).collect()]
+    shares = F.greatest(*(F.col(c) / F.lit(m) for c, m in zip(("size", "tokens", "rows"), most, strict=True)))
+    # at most 3 * n * fine groups are over a limit that so many of them would fill; those of more than a shard are cut
+    parts = F.when(shares > fine, F.least(F.ceil(shares), F.col("rows"))).otherwise(1).cast("int")
+    hot = [(r["h"], r["parts"]) for r in groups.filter(shares > 1).select("h", parts.alias("parts")).collect()]
     hot = spark.createDataFrame(hot, "h bigint, parts int")
     cell = F.pmod("h", F.lit(cells)).cast("long")
     part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
-    named = base.join(F.broadcast(hot), "h", "left").select("doc_id", "size", "text_crc32", "tokens", "row", F.when(F.col("parts").isNull(), cell).otherwise(F.col("h")).alias("item"), F.when(F.col("parts").isNull(), -1).otherwise(part).alias("part"))
-    # at most cells plus the parts of the hot groups
+    named = base.join(F.broadcast(hot), "h", "left").select("doc_id", "size", "text_crc32", "tokens", "row", F.when(F.col("parts").isNull(), cell).otherwise(F.col("h")).alias("item"), F.coalesce(part, F.lit(-1)).alias("part"))
+    # at most cells, groups of their own, and parts of groups
     items = named.groupBy("item", "part").agg(*sums).orderBy("item", "part").collect()
     home = place(np.array([[r["size"], r["tokens"], r["rows"]] for r in items], float).reshape(-1, 3), n)
     homes = spark.createDataFrame([(r["item"], r["part"], int(s)) for r, s in zip(items, home, strict=True)], "item bigint, part int, shard int")
