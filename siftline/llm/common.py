@@ -79,10 +79,10 @@ def shuffle_parts(spark: SparkSession) -> int:
 def cells(members: DataFrame, member: str, most: int, weight: str | None = None, heaviest: int = 32 << 20) -> DataFrame:
     """`members`: k, the column `member` and others. Adds `cell`, so that any two members of a key meet in one of its cells.
 
-    A key with more than `most` rows, or whose `weight` adds up to more than `heaviest`, is split: its
+    A key with more than `most` rows, or whose `weight` (an expression) adds up to more than `heaviest`, is split: its
     members are dealt by hash into parts, and each pair of parts is a cell. All other keys have one cell.
     """
-    sums = [F.count(F.lit(1)).alias("n"), F.sum(weight if weight else F.lit(0)).alias("w")]
+    sums = [F.count(F.lit(1)).alias("n"), F.sum(F.expr(weight or "0")).alias("w")]
     parts = F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("w") / heaviest)).cast("int")
     hot = written(members.groupBy("k").agg(*sums).filter((F.col("n") > most) | (F.col("w") > heaviest)).select("k", parts.alias("parts")), "hot")
     n_hot = hot.count()

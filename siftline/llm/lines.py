@@ -1,16 +1,18 @@
 """Line deduplication by a segment-partition edit join, and by prefixes of word triples for passages.
 
-Lines of at least `least` characters link if at most `tau` edits (insertions,
-deletions, substitutions of one character) turn one into the other; linked
-lines, and what links reach, are a class. Shorter lines match exactly only.
-
-1. Each different line is cut into tau + 1 segments. If a line r is within tau
-   edits of a line s that isn't shorter, a segment of r stands in s unchanged
-   near its place. So r is filed under each segment (with its length and the
-   segment's number), and s looks up, for each length from its own less tau,
-   the few substrings that can be such a segment (multi-match-aware choice).
+Lines link if few edits (insertions, deletions, substitutions of one character)
+turn one into the other: one for each `each` characters of the longer line, at
+most `edits`. Linked lines, and what links reach, are a class. So lines of fewer
+than `each` characters are of one class only if they are equal.
+
+1. Let t be the edits that a line s allows as the longer one. Each different
+   line r is cut into t + 1 segments. If r is within t edits of s, a segment of r
+   stands in s unchanged near its place. So r is filed under each segment (with
+   its length, t and the segment's number), for each t that a partner can allow,
+   and s looks up, for each length from its own less t, the few substrings that
+   can be such a segment (multi-match-aware choice).
 2. Under a key, a line goes on if it has a partner: looked up against filed,
-   and counts of characters no further apart than tau edits can bring them.
+   and counts of characters no further apart than so many edits can bring them.
 3. The lines that go on get their texts, and each key's are compared by banded
    bit-parallel edit distance. A spanning forest of the links goes to
    `components`: a line already in a partner's component isn't compared again.
@@ -23,14 +25,15 @@ tenth. Their smallest common triple (by hash) is then among the first 3 t + 1 of
 each, and a line is filed under these, t taken for the longest partner it can
 have. Steps 2 and 3 are as above, with counts of words for those of characters.
 
-A key with more than `most` lines is split into parts by hash; each pair of
-parts is compared on its own, so no pair is lost.
+A key with more than `most` lines, or with very long ones, is split into parts by
+hash; each pair of parts is compared on its own, so no pair is lost.
 
 Defined cases: a null text counts as empty and has one empty line; a line that
 repeats, within a text or across texts, is of one class; null ids pass through
-and come after all others; repeated rows have all their lines in classes of the first; an
-empty table gives no rows; other columns are ignored. Lines of any length are
-compared whole. Lines are told apart by 64-bit hashes.
+and come after all others; repeated rows have all their lines in classes of the
+first; an empty table gives no rows; other columns are ignored, or returned as
+they are, whatever their names. Lines of any length are compared whole. Lines
+are told apart by 64-bit hashes and their lengths.
 """
 
 from __future__ import annotations
@@ -43,11 +46,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import bounded_batches, id_and_text, written
+from siftline.llm.common import bounded_batches, cells, id_and_text, written
 from siftline.llm.components import components
 from siftline.llm.simhash import _runs
 
-TAU, LEAST, MOST = 2, 24, 4096
+EDITS, EACH, MOST = 2, 12, 512
 #: least words of a passage, what part of its words may differ (one in so many), and words to a key
 PASSAGE, PART, GRAM = 20, 10, 3
 _SEEN = 1_000_000
@@ -78,17 +81,31 @@ def lookups(length: int, tau: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-_PLANS: dict[tuple[int, int], list] = {}
+def allowed(length: int, edits: int = EDITS, each: int = EACH) -> int:
+    """Edits that a pair may be apart whose longer line has this length."""
+    return min(edits, length // each)
 
 
-def keys(line: str, tau: int) -> tuple[list[int], list[int]]:
-    """The keys that a line is filed under, and those that it looks up."""
-    n, of = len(line), xxhash.xxh64_intdigest
-    if (n, tau) not in _PLANS:
+_PLANS: dict[tuple[int, int, int], tuple[list, list]] = {}
+
+
+def _plan(n: int, edits: int, each: int) -> tuple[list, list]:
+    """Begin, end and seed of the keys that a line of n characters is filed under, and of those that it looks up."""
+    if (n, edits, each) not in _PLANS:
         if len(_PLANS) > 20_000:
             _PLANS.clear()
-        _PLANS[n, tau] = ([(at, at + k, n * 8 + i) for i, (at, k) in enumerate(segments(n, tau))], [(k, k + w, m * 8 + i) for m, i, k, w in lookups(n, tau)])
-    filed, looked = _PLANS[n, tau]
+        seed = lambda m, t, i: (m * 16 + t) * 16 + i
+        of = {t for m in range(n, n + edits + 1) if (t := allowed(m, edits, each)) and m - n <= t}
+        filed = [(at, at + k, seed(n, t, i)) for t in sorted(of) if n > t for i, (at, k) in enumerate(segments(n, t))]
+        t = allowed(n, edits, each)
+        _PLANS[n, edits, each] = filed, [(k, k + w, seed(m, t, i)) for m, i, k, w in lookups(n, t)] if t else []
+    return _PLANS[n, edits, each]
+
+
+def keys(line: str, edits: int = EDITS, each: int = EACH) -> tuple[list[int], list[int]]:
+    """The keys that a line is filed under, and those that it looks up."""
+    of = xxhash.xxh64_intdigest
+    filed, looked = _plan(len(line), edits, each)
     return [of(line[a:b], s) for a, b, s in filed], [of(line[a:b], s) for a, b, s in looked]
 
 
@@ -159,13 +176,14 @@ def within(a: str, b: str, tau: int) -> bool:
     return distance <= tau
 
 
-def _forest(lines: list[str], filed: np.ndarray, looked: np.ndarray, tau: int) -> Iterator[tuple[int, int]]:
+def _forest(lines: list[str], filed: np.ndarray, looked: np.ndarray, edits: int, each: int) -> Iterator[tuple[int, int]]:
     """Links, as pairs of places, that join what all links between looked-up and filed lines join."""
     counts = _nibbles(bags(lines))
     lengths = np.array([len(x) for x in lines])
     label = np.arange(len(lines))
     for i in np.flatnonzero(looked).tolist():
-        near = filed & (label != label[i]) & (np.abs(lengths - lengths[i]) <= tau)
+        tau = allowed(int(lengths[i]), edits, each)
+        near = filed & (label != label[i]) & (lengths <= lengths[i]) & (lengths >= lengths[i] - tau)
         places = np.flatnonzero(near)
         places = places[_far(counts[i], counts[places]) <= 2 * tau]
         for j in places.tolist():
@@ -292,7 +310,7 @@ def _passage_forest(lines: list[str]) -> Iterator[tuple[int, int]]:
                 label[label == label[j]] = label[i]
 
 
-def _filed(texts: DataFrame, tau: int, least: int) -> DataFrame:
+def _filed(texts: DataFrame, edits: int, each: int) -> DataFrame:
     """k, h, bag of each line, the bag's lowest bits 0 if filed and 1 if looked up; a task says a line's once as far as it remembers."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +320,7 @@ def _filed(texts: DataFrame, tau: int, least: int) -> DataFrame:
                 new: dict[int, str] = {}
                 for text in batch.column(0).slice(at, 200).to_pylist():
                     for line in text.split("\n"):
-                        if len(line) >= least:
+                        if any(_plan(len(line), edits, each)):
                             new[xxhash.xxh64_intdigest(line, 42)] = line
                 for h in seen.intersection(new):
                     del new[h]
@@ -312,15 +330,15 @@ def _filed(texts: DataFrame, tau: int, least: int) -> DataFrame:
                 seen.update(new)
                 k, n_filed, n_looked = [], [], []
                 for line in new.values():
-                    filed, looked = keys(line, tau)
+                    filed, looked = keys(line, edits, each)
                     k += filed
                     k += looked
                     n_filed.append(len(filed))
                     n_looked.append(len(looked))
-                each = np.array(n_filed) + np.array(n_looked)
+                times = np.array(n_filed) + np.array(n_looked)
                 role = np.repeat(np.tile(np.array([0, 1], np.uint64), len(new)), np.stack([n_filed, n_looked], axis=1).ravel())
                 big = lambda x: pa.array(x.view(np.int64))
-                yield pa.RecordBatch.from_arrays([big(np.array(k, np.uint64)), big(np.repeat(np.fromiter(new, np.uint64, len(new)), each)), big(np.repeat(bags(list(new.values())), each) | role)], names=["k", "h", "bag"])
+                yield pa.RecordBatch.from_arrays([big(np.array(k, np.uint64)), big(np.repeat(np.fromiter(new, np.uint64, len(new)), times)), big(np.repeat(bags(list(new.values())), times) | role)], names=["k", "h", "bag"])
 
     return texts.mapInArrow(rows, "k bigint, h bigint, bag bigint")
 
@@ -401,15 +419,15 @@ def _texts_of(texts: DataFrame, hashes: DataFrame, least: int) -> DataFrame:
     return texts.mapInArrow(rows, "h bigint, line string").join(hashes, "h", "left_semi").dropDuplicates(["h"])
 
 
-def links(docs: DataFrame, tau: int = TAU, least: int = LEAST, most: int = MOST, text_col: str = "text") -> DataFrame:
+def links(docs: DataFrame, edits: int = EDITS, each: int = EACH, most: int = MOST, text_col: str = "text") -> DataFrame:
     """u, v: hashes of lines, links that join what all links would join."""
     texts = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    under = _filed(texts, tau, least).repartition("k").sortWithinPartitions("k").mapInArrow(_partnered(tau, most), "k bigint, h bigint, role tinyint")
+    under = _filed(texts, edits, each).repartition("k").sortWithinPartitions("k").mapInArrow(_partnered(edits, most), "k bigint, h bigint, role tinyint")
 
     def near(h: np.ndarray, role: np.ndarray, own: np.ndarray, lines: list[str]) -> Iterator[tuple[int, int]]:
-        return _forest(lines, np.isin(own, h[role == 0]), np.isin(own, h[role == 1]), tau)
+        return _forest(lines, np.isin(own, h[role == 0]), np.isin(own, h[role == 1]), edits, each)
 
-    return _compared(texts, written(under, "partnered"), least, most, near)
+    return _compared(texts, written(under.distinct(), "partnered"), max(1, each - edits), most, near)
 
 
 def passage_links(docs: DataFrame, most: int = MOST, text_col: str = "text") -> DataFrame:
@@ -422,13 +440,8 @@ def passage_links(docs: DataFrame, most: int = MOST, text_col: str = "text") ->
 
 def _compared(texts: DataFrame, under: DataFrame, least: int, most: int, near) -> DataFrame:
     """Links, by `near`, among the lines under each key of `under` (k, h, role)."""
-    held = _texts_of(texts, under.select("h").distinct(), least)
-    # parts of a key with many lines: each pair of parts is a cell of its own
-    hot = under.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("k", F.ceil(F.col("n") / most).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("h"), F.col("parts")).cast("int")
-    cells = under.join(hot, "k", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).select("k", "h", "role", "parts", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    cells = cells.select("k", (F.least("part", "other") * F.col("parts") + F.greatest("part", "other")).alias("cell"), "h", "role")
-    full = cells.join(held, "h").select("k", "cell", "h", "role", "line")
+    held = written(_texts_of(texts, under.select("h").distinct(), least), "held")
+    full = cells(under.join(held, "h"), "h", most, "octet_length(line)").select("k", "cell", "h", "role", "line")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, h, role, lines in _runs(batches, 2):
@@ -442,43 +455,47 @@ def _compared(texts: DataFrame, under: DataFrame, least: int, most: int, near) -
     return full.repartition("k", "cell").sortWithinPartitions("k", "cell", "h", "role").mapInArrow(compared, "u bigint, v bigint")
 
 
-def _lines(docs: DataFrame, tau: int, least: int, id_col: str, text_col: str) -> DataFrame:
-    """A row for each line: doc_id, row (a hash of id and text), line, n_chars, h, class_id, first (none, doc_id, row, line)."""
+def _lines(docs: DataFrame, edits: int, each: int, id_col: str, text_col: str) -> DataFrame:
+    """A row for each line: doc_id, row (a hash of id and text), line, n_chars, blank, h, class_id, first (none, doc_id, row, line)."""
     bounded_batches(docs.sparkSession)
     narrow = id_and_text(docs, id_col, text_col)
-    hashed = F.transform(F.split("text", "\n"), lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n")))
-    lines = narrow.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode(hashed).alias("line", "of")).select("doc_id", "row", "line", F.col("of.h").alias("h"), F.col("of.n").cast("long").alias("n_chars"))
+    hashed = F.transform(F.split("text", "\n"), lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).cast("long").alias("n_chars"), (F.btrim(x, F.lit(" \t\r")) == "").alias("blank")))
+    lines = narrow.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode(hashed).alias("line", "of")).select("doc_id", "row", "line", "of.*")
     # one row for each different line from here on; ids that are null come last
-    single = lines.groupBy("h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")).alias("first"))
-    linked = links(docs, tau, least, text_col=text_col).unionByName(passage_links(docs, text_col=text_col))
+    single = lines.groupBy("h", "n_chars").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")).alias("first"))
+    linked = links(docs, edits, each, text_col=text_col).unionByName(passage_links(docs, text_col=text_col))
     roots = components(linked).select(F.col("node").alias("h"), "root")
-    rooted = written(single.join(roots, "h", "left").select("h", "first", F.coalesce("root", "h").alias("class_id")), "lines")
-    firsts = rooted.groupBy("class_id").agg(F.min("first").alias("first"))
-    return lines.join(rooted.select("h", "class_id").join(firsts, "class_id"), "h")
+    roots = roots.unionByName(roots.select(F.col("root").alias("h"), "root").distinct())
+    rooted = written(single.join(roots, "h", "left").select("h", "n_chars", "first", F.coalesce("root", "h").alias("class_id"), F.when(F.col("root").isNull(), F.col("n_chars")).alias("alone")), "lines")
+    # equal hashes of different lengths that no link joins are classes of their own
+    firsts = rooted.groupBy("class_id", "alone").agg(F.min("first").alias("first"))
+    named = rooted.select("h", "n_chars", "class_id", "alone").join(firsts.withColumnRenamed("class_id", "c").withColumnRenamed("alone", "a"), (F.col("class_id") == F.col("c")) & F.col("alone").eqNullSafe(F.col("a")))
+    return lines.join(named.select("h", "n_chars", "class_id", "first"), ["h", "n_chars"])
 
 
-def classes(docs: DataFrame, tau: int = TAU, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, edits: int = EDITS, each: int = EACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each line: doc_id, line (from 0), n_chars, h, class_id (a hash), first_doc_id, first_line (the class's first line)."""
-    return _lines(docs, tau, least, id_col, text_col).select("doc_id", "line", "n_chars", "h", "class_id", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line"))
+    return _lines(docs, edits, each, id_col, text_col).select("doc_id", "line", "n_chars", "h", "class_id", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line"))
 
 
-def deduplicated(docs: DataFrame, tau: int = TAU, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of `docs`, of each class of lines (from `least` characters on) only the first left in the texts.
+def deduplicated(docs: DataFrame, edits: int = EDITS, each: int = EACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows and columns of `docs`, of each class of lines only the first left in the texts.
 
-    Lines of fewer than `least` characters all stay, repeats of them too, though `classes` has those in one class.
-    Every document stays, if need be with an empty text. Rows that repeat id and text are treated alike.
+    Blank lines all stay, and so does every document, if need be with an empty text. Rows that repeat id and text are treated alike.
     """
     first = F.col("first")
-    gone = _lines(docs, tau, least, id_col, text_col).filter((F.col("n_chars") >= least) & ((F.col("row") != first["row"]) | (F.col("line") != first["line"])))
-    gone = gone.groupBy("row").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("row", "__row")
-    own = F.xxhash64(docs[id_col], F.coalesce(docs[text_col], F.lit("")))
+    gone = _lines(docs, edits, each, id_col, text_col).filter(~F.col("blank") & ((F.col("row") != first["row"]) | (F.col("line") != first["line"])))
+    gone = gone.groupBy("doc_id", "row").agg(F.collect_set("line").alias("gone")).withColumnRenamed("row", "gone_row")
+    # the given columns stay apart in one of their own, so that no name can clash
+    own = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("given"), docs[id_col].alias("id"), F.xxhash64(docs[id_col], F.coalesce(docs[text_col], F.lit(""))).alias("row"))
+    both = own.join(gone, (F.col("row") == F.col("gone_row")) & F.col("id").eqNullSafe(F.col("doc_id")), "left").select("given", "gone")
     at = docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if not g else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in set_) for t, g in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True) for set_ in [frozenset(g or ())]]
-            columns = batch.columns[:-1]
-            columns[at] = pa.array(texts, batch.column(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1]))
+            columns = batch.column(0).flatten()
+            texts = zip(columns[at].to_pylist(), batch.column(1).to_pylist(), strict=True)
+            columns[at] = pa.array(["\n".join(x for i, x in enumerate(t.split("\n")) if i not in out) if out else t for t, g in texts for out in [frozenset(g or ())]], columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in batch.schema.field(0).type])
 
-    return docs.withColumn("__row", own).join(gone, "__row", "left").select(*(F.col(f"`{c}`") for c in docs.columns), "__gone").mapInArrow(cut, docs.schema)
+    return both.mapInArrow(cut, docs.schema)

@@ -36,7 +36,7 @@ ODD = [
     (5, "the same text of several words in a row", 6, "z", 6, 6), (6, "the same text of several words in a row", 6, "z", 6, 6), (6, "the same text of several words in a row", 6, "z", 6, 6),
     (7, "\n\n a@b.com\t\x1c<|endoftext|> é日本   end", 7, "z", 7, 7), (8, "!" * 9000 + "\n" + " " * 9000 + "x", 8, "z", 8, 8),
 ]
-ODD_SCHEMA = "doc_id bigint, text string, h bigint, row string, k bigint, shard int"
+ODD_SCHEMA = "doc_id bigint, text string, h bigint, `__row` string, `__gone` bigint, shard int"
 
 
 @pytest.fixture(scope="module")
@@ -276,34 +276,39 @@ def test_edit_distance_and_keys():
         a = "".join(rng.choice("abc") for _ in range(rng.randint(0, 30)))
         b = changed(rng, a)
         d = distance(a, b)
-        for tau in (1, 2, 3):
-            assert lines.within(a, b, tau) == (d <= tau)
-            if d <= tau and min(len(a), len(b)) > tau:
+        for edits in (1, 2, 3):
+            assert lines.within(a, b, edits) == (d <= edits)
+            for each in (3, 5, 12):
                 short, long = sorted((a, b), key=len)
-                assert set(lines.keys(short, tau)[0]) & set(lines.keys(long, tau)[1])
-                assert lines._far(lines._nibbles(lines.bags([a]))[0], lines._nibbles(lines.bags([b])))[0] <= 2 * tau
+                if a != b and d <= lines.allowed(len(long), edits, each):
+                    assert set(lines.keys(short, edits, each)[0]) & set(lines.keys(long, edits, each)[1])
+                    assert lines._far(lines._nibbles(lines.bags([a]))[0], lines._nibbles(lines.bags([b])))[0] <= 2 * edits
 
 
 def test_line_classes(spark, odd):
+    """Lines of 0 to 60 characters against all pairs."""
     rng = random.Random(9)
-    base = ["".join(rng.choice("abcdef gh") for _ in range(rng.randint(10, 60))) for _ in range(25)]
-    rows = [(d, "\n".join(changed(rng, rng.choice(base), 3) for _ in range(rng.randint(1, 5)))) for d in range(120)]
-    rows += [(500 + i, f"the same long beginning of a line {i:06d}") for i in range(60)]
+    base = ["".join(rng.choice("abcdef gh") for _ in range(n)) for n in [*range(0, 60, 2), 11, 12, 13, 22, 23, 24, 25]]
+    rows = [(d, "\n".join(changed(rng, rng.choice(base), 3) for _ in range(rng.randint(1, 6)))) for d in range(160)]
+    rows += [(500 + i, f"the same long beginning of a line {i:06d}") for i in range(60)] + [(600, "a\n\n \nb\na"), (601, "a\n\n\t")]
     all_ = [(d, n, x) for d, t in rows for n, x in enumerate(t.split("\n"))]
-    root = classes_of(sorted({x for *_, x in all_}), lambda a, b: min(len(a), len(b)) >= lines.LEAST and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2)
+    near = lambda a, b: abs(len(a) - len(b)) <= (t := lines.allowed(max(len(a), len(b)))) and distance(a, b) <= t
+    root = classes_of(sorted({x for *_, x in all_}), near)
     first = {}
     for d, n, x in all_:
         first[root[x]] = min(first.get(root[x], (d, n)), (d, n))
+    assert {len(x) for x in root if root[x] != x} & {11, 12, 13} and {len(x) for x in root if root[x] != x} & {22, 23, 24, 25}
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {(r.doc_id, r.line, r.first_doc_id, r.first_line) for r in lines.classes(df).collect()}
     assert got == {(d, n, *first[root[x]]) for d, n, x in all_}
     links = components(lines.links(df, most=5))  # keys split into parts
     assert links.count() == components(lines.links(df)).count()
     left = {r.doc_id: r.text for r in lines.deduplicated(df).collect()}
-    assert left == {d: "\n".join(x for n, x in enumerate(t.split("\n")) if len(x) < lines.LEAST or first[root[x]] == (d, n)) for d, t in rows}
+    assert left == {d: "\n".join(x for n, x in enumerate(t.split("\n")) if not x.strip() or first[root[x]] == (d, n)) for d, t in rows}
     out = lines.deduplicated(odd)
     assert out.columns == odd.columns and out.count() == len(ODD)
-    assert {r.doc_id: r.text for r in out.collect()}[6] == "" and lines.classes(odd.limit(0)).count() == 0
+    kept = {r.doc_id: r for r in out.collect()}
+    assert kept[6].text == "" and kept[5].text == ODD[6][1] and kept[5]["__row"] == "z" and lines.classes(odd.limit(0)).count() == 0 and lines.deduplicated(odd.limit(0)).count() == 0
 
 
 def test_passages_with_changed_words(spark):
