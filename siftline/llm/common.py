@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: bits of a sieve that rows pass before they are shuffled: 2 MB
+SIEVE = 1 << 24
 #: most rows of small tables that are broadcast, counted first
 BROADCAST_ROWS = 500_000
 
@@ -76,20 +79,44 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cells(members: DataFrame, member: str, most: int, weight: str | None = None, heaviest: int = 32 << 20) -> DataFrame:
-    """`members`: k, the column `member` and others. Adds `cell`, so that any two members of a key meet in one of its cells.
+def sieve(hashes: DataFrame) -> np.ndarray:
+    """Bits of the hashes (column h), `SIEVE` in all whatever the input, so what the driver collects and sends has a bound."""
+    place = F.pmod("h", F.lit(SIEVE))
+    words = hashes.select(F.floor(place / 64).cast("int").alias("w"), (place % 64).cast("int").alias("b")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits"))
+    table, out = words.toArrow(), np.zeros(SIEVE // 64, np.int64)
+    out[table.column("w").to_numpy()] = table.column("bits").to_numpy()
+    return out
 
-    A key with more than `most` rows, or whose `weight` (an expression) adds up to more than `heaviest`, is split: its
-    members are dealt by hash into parts, and each pair of parts is a cell. All other keys have one cell.
-    """
+
+def _with_parts(members: DataFrame, key: str, most: int, weight: str | None, heaviest: int) -> DataFrame | None:
+    """Adds `parts` to rows whose key has more than `most` rows, or whose `weight` (an expression) adds up to more than `heaviest`; None if no key has."""
     sums = [F.count(F.lit(1)).alias("n"), F.sum(F.expr(weight or "0")).alias("w")]
     parts = F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("w") / heaviest)).cast("int")
-    hot = written(members.groupBy("k").agg(*sums).filter((F.col("n") > most) | (F.col("w") > heaviest)).select("k", parts.alias("parts")), "hot")
+    hot = written(members.groupBy(key).agg(*sums).filter((F.col("n") > most) | (F.col("w") > heaviest)).select(key, parts.alias("parts")), "hot")
     n_hot = hot.count()
     if not n_hot:
-        return members.withColumn("cell", F.lit(0))
+        return None
     # a row of 12 bytes each; more of them than fit a broadcast are joined by adaptive execution
-    held = members.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, "k", "left")
+    return members.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, key, "left")
+
+
+def hot_parts(members: DataFrame, key: str, member: str, most: int) -> DataFrame:
+    """Adds `part`: a key's rows dealt by the hash of `member` into parts of about `most`."""
+    held = _with_parts(members, key, most, None, 1)
+    if held is None:
+        return members.withColumn("part", F.lit(0))
+    return held.withColumn("part", F.coalesce(F.pmod(F.xxhash64(member), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+
+
+def cells(members: DataFrame, member: str, most: int, weight: str | None = None, heaviest: int = 32 << 20) -> DataFrame:
+    """`members`: k, the column `member` and others. Adds `cell`, so that any two members of a key meet in one of its cells.
+
+    A key with more than `most` rows, or whose `weight` adds up to more than `heaviest`, is split: its
+    members are dealt by hash into parts, and each pair of parts is a cell. All other keys have one cell.
+    """
+    held = _with_parts(members, "k", most, weight, heaviest)
+    if held is None:
+        return members.withColumn("cell", F.lit(0))
     part = F.pmod(F.xxhash64(member), F.col("parts")).cast("int")
     dealt = held.withColumn("part", part).withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
     cell = F.coalesce(F.least("part", "other") * F.col("parts") + F.greatest("part", "other"), F.lit(0))

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import bounded_batches, cells, id_and_text, written
+from siftline.llm.common import SIEVE, bounded_batches, cells, id_and_text, sieve, written
 from siftline.llm.components import components
 from siftline.llm.simhash import _runs
 
@@ -54,8 +54,6 @@ EDITS, EACH, MOST = 2, 12, 512
 #: least words of a passage, what part of its words may differ (one in so many), and words to a key
 PASSAGE, PART, GRAM = 20, 10, 3
 _SEEN = 1_000_000
-#: bits of the sieve that lines pass before their texts are shuffled: 2 MB
-SIEVE = 1 << 24
 
 
 def segments(length: int, tau: int) -> list[tuple[int, int]]:
@@ -393,18 +391,9 @@ def _partnered(tau: int, most: int):
     return rows
 
 
-def _sieve(hashes: DataFrame) -> np.ndarray:
-    """Bits of the hashes, `SIEVE` in all whatever the input, so what the driver collects and sends has a bound."""
-    place = F.pmod("h", F.lit(SIEVE))
-    words = hashes.select(F.floor(place / 64).cast("int").alias("w"), (place % 64).cast("int").alias("b")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits"))
-    table, out = words.toArrow(), np.zeros(SIEVE // 64, np.int64)
-    out[table.column("w").to_numpy()] = table.column("bits").to_numpy()
-    return out
-
-
 def _texts_of(texts: DataFrame, hashes: DataFrame, least: int) -> DataFrame:
     """h, line of the lines with these hashes. Lines that a sieve can rule out aren't shuffled."""
-    bits = _sieve(hashes)
+    bits = sieve(hashes)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,21 +12,31 @@ with each other, and a spanning forest of those that link goes on to
 A key with more than `most` fingerprints is split: its rows are dealt by hash
 into parts, and each pair of parts is compared on its own, which loses no pair.
 
-`copies` finds near-copies by similarity of word shingles instead (five words,
-0.8 or more). Such pairs differ in up to 14 of 64 bits, which no few blocks of
-a 64-bit fingerprint survive. So its fingerprint is wide (`WIDE` bits), and its
-blocks are the 64-bit SimHashes of classes of shingles: the shingles of a
-document are dealt by hash into classes of about three, and a change in a text
-leaves most classes, hence their blocks, as they are. The first `CLASSES` of
-them are joined on; at a similarity of 0.8 each is unchanged with a chance of
-at least 0.4, so all differ in less than one pair of a thousand. Pairs that
-share a block are verified by the Hamming distance of the wide fingerprints.
+`copies` finds near-copies by similarity of word shingles instead: five words,
+a Jaccard similarity of 0.8 or more, exactly. Two texts of a and b different
+shingles that are so similar differ in at most D = (a + b) / 9 of them. So a
+fingerprint is made of D + 1 words: shingles are dealt by hash into so many
+classes, and each class's SimHash is a word. At most D words differ, hence one at
+least agrees: the pigeonhole rule, with words as blocks, and all blocks are
+joined on. (An empty class is no block. That all agreeing classes are empty has
+a chance under one in a million: D + 16 classes are taken where D is small, and
+texts of under nine shingles have each as a class.) D depends on the level of a
+text's length, levels growing by half; a text near a level's end is filed under
+the next one too.
+
+1. Under a key, each text is compared with the key's first one, by their whole
+   sets of shingles. That joins most groups.
+2. Of keys whose texts are still of different components, every pair of texts of
+   different components is compared: by the Hamming distance of 128-bit SimHashes
+   with a bound that no pair of 0.8 exceeds, but for one in many millions, then by
+   their sets. Keys with many or long texts are split as above.
 
 Defined cases: a null or blank text has no words and fingerprint zero, linked
 like any other; texts of fewer words than a shingle have their whole sequence
 as one; repeated rows give repeated results; null ids stay, and count for a
 component's smallest id only if it has no other; an empty table gives no rows;
-other columns are ignored. Whole texts are read, in blocks of shingles.
+other columns are ignored, or returned as they are, whatever their names. Whole
+texts are read, in blocks of shingles.
 """
 
 from __future__ import annotations
@@ -40,11 +50,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import bounded_batches, id_and_text, written
+from siftline.llm.common import SIEVE, bounded_batches, cells, hot_parts, id_and_text, sieve, written
 from siftline.llm.components import components
 
 _BLOCK = 1 << 16
-WIDE, CLASSES = 2048, 16
+#: texts of fewer shingles than this have each as a class; the next levels are longer by half each
+LEAST_LEVEL = 9
+#: most bits of 128 in which near-copies differ: at 0.8 they differ in 19.4 with a deviation of 4.1 (24 and 4.4 for 4 against 5 shingles)
+APART = 48
 
 
 def shingle_hashes(text: str, words: int, seed: int = 42) -> Iterator[np.ndarray]:
@@ -148,7 +161,6 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: int, limit: int | None = N
 
 def links(fps: DataFrame, radius: int = 3, blocks: int = 6, most: int = 4096) -> DataFrame:
     """`fps`: distinct fingerprints (column fp). Returns u, v: links that join what all links would join."""
-    spark = fps.sparkSession
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,16 +175,7 @@ def links(fps: DataFrame, radius: int = 3, blocks: int = 6, most: int = 4096) ->
                 yield pa.RecordBatch.from_arrays([pa.array(fp[at[:, 0]]), pa.array(fp[at[:, 1]])], names=["u", "v"])
 
     keys = written(fps.select("fp").mapInArrow(filed, "k bigint, fp bigint"), "blocks")
-    hot = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("k", F.ceil(F.col("n") / most).cast("int").alias("parts"))
-    if hot.isEmpty():
-        cells = keys.select("k", F.lit(0).alias("cell"), "fp")
-    else:
-        part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        other = F.sequence(F.lit(0), F.col("parts") - 1)
-        split = keys.join(hot, "k").select("k", "fp", "parts", part.alias("part"), F.explode(other).alias("other"))
-        split = split.select("k", (F.least("part", "other") * F.col("parts") + F.greatest("part", "other")).alias("cell"), "fp")
-        cells = keys.join(hot, "k", "left_anti").select("k", F.lit(0).alias("cell"), "fp").unionByName(split)
-    sorted_cells = cells.repartition("k", "cell").sortWithinPartitions("k", "cell", "fp")
+    sorted_cells = cells(keys, "fp", most).select("k", "cell", "fp").repartition("k", "cell").sortWithinPartitions("k", "cell", "fp")
     return sorted_cells.mapInArrow(compared, "u bigint, v bigint")
 
 
@@ -195,98 +198,202 @@ def _mixed(h: np.ndarray, n: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _majority(h: np.ndarray) -> int:
-    ones = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h)).view(">u8")[0])
+def _majorities(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The SimHash of each run of hashes."""
+    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    n = np.diff(np.append(starts, len(h)))
+    return np.packbits(ones * 2 > n[:, None], axis=1).view(">u8")[:, 0].astype(np.uint64)
 
 
-def wide_blocks(text: str, words: int = 5, similarity: float = 0.8) -> tuple[bytes, list[int]]:
-    """The wide fingerprint of a text, and the keys of its blocks."""
+def shingle_set(text: str, words: int = 5) -> np.ndarray:
+    """The different hashes of a text's shingles, sorted."""
     parts = list(shingle_hashes(text, words))
-    if not parts:
-        return bytes(WIDE // 8), [0]
-    h = np.unique(np.concatenate(parts))
-    wide = b"".join(_majority(_mixed(h, n)).to_bytes(8, "big") for n in range(WIDE // 64))
-    n, out = len(h), []
-    # as many classes as a text that is as similar as asked for can have
-    levels = {max(0, int(np.ceil(np.log2(m / 4)))) for m in (n * similarity, n, n / similarity)}
-    for level in sorted(levels):
-        of = _mixed(h, 99) & np.uint64((1 << level) - 1)
-        for c in range(min(CLASSES, 1 << level)):
-            own = h[of == np.uint64(c)]
-            if len(own) >= 2 or n < 4 and len(own):
-                out.append(int(_mixed(np.array([_majority(own)], np.uint64), 100 + level * CLASSES + c)[0]))
-    return wide, out
-
-
-def _apart(similarity: float) -> int:
-    """The Hamming distance expected of wide fingerprints at a Jaccard similarity, and one and a half standard deviations more."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(WIDE * p + 1.5 * np.sqrt(WIDE * p * (1 - p)))
-
-
-def wide_forest(prints: np.ndarray, apart: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among wide fingerprints (rows of 64-bit words)."""
-    n, out = len(prints), []
-    label = np.arange(n)
-    for i in range(n - 1):
-        other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-        near = other[np.bitwise_count(prints[i] ^ prints[other]).sum(axis=1, dtype=np.int64) <= apart]
-        for j in near.tolist():
-            if label[j] != label[i]:
-                out.append((i, j))
-                label[label == label[j]] = label[i]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; 1 for two empty ones."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    short, long = sorted((a, b), key=len)
+    both = int((long[np.minimum(np.searchsorted(long, short), len(long) - 1)] == short).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def levels(n: int, similarity: float) -> list[tuple[int, int]]:
+    """(level, classes) that a text of n shingles is filed under; no classes: each shingle is one."""
+    out, level, end = [], 0, LEAST_LEVEL
+    while len(out) < 2:
+        if n < end:
+            apart = int(2 * (end - 1) * (1 - similarity) / (1 + similarity) + 1e-9)
+            out.append((level, (apart + (1 if apart >= 12 else 16)) if level else 0))
+            if int(n / similarity + 1e-9) < end:
+                break
+        level, end = level + 1, -(-end * 3 // 2)
     return out
 
 
-def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each (id, text): row (their hash), doc_id, n (rows that repeat it), first_row (of its group of near-copies)."""
+def wide_blocks(h: np.ndarray, similarity: float = 0.8) -> np.ndarray:
+    """The keys of the blocks of a set of shingles' hashes."""
+    out = []
+    for level, classes in levels(len(h), similarity):
+        if not classes:
+            out.append(_mixed(h, 100 + level))
+            continue
+        of = _mixed(h, 99) % np.uint64(classes)
+        order = np.argsort(of, kind="stable")
+        of = of[order]
+        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        out.append(_mixed(_majorities(h[order], starts) ^ _mixed(of[starts], 98), 100 + level))
+    return np.concatenate(out)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (k, fp) sorted by both and all different, those whose key others share: k, u (the key's first), v. Holds a batch and a row."""
+    held = first = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if held is not None:
+            k, fp = np.append(held[0], k), np.append(held[1], fp)
+        same = np.append(held is not None and held[2], k[1:] == k[:-1])  # as the row before
+        place = np.maximum.accumulate(np.where(same, 0, np.arange(len(k))))
+        u = fp[place]
+        if same[0]:
+            u[place == 0] = first
+        keep = same[:-1] | same[1:]  # the last row waits for the next batch
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep]) for x in (k, u, fp)], names=["k", "u", "v"])
+        held, first = (k[-1:], fp[-1:], bool(same[-1])), u[-1]
+    if held is not None and held[2]:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (held[0], np.array([first]), held[1])], names=["k", "u", "v"])
+
+
+def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each (id, text): row (their hash), doc_id, n (rows that repeat it), first_id and first_row (of its group of near-copies)."""
     bounded_batches(docs.sparkSession)
     narrow = id_and_text(docs, id_col, text_col)
-    kind, apart = narrow.schema["doc_id"].dataType.simpleString(), _apart(similarity)
+    kind = narrow.schema["doc_id"].dataType.simpleString()
+    texts = narrow.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_blocks(t, words, similarity) for t in batch.column(2).to_pylist()]
-            prints = pa.array([w for w, _ in found], pa.binary())
-            blocks = pa.array([np.array(b, np.uint64).view(np.int64) for _, b in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints, blocks], names=["row", "doc_id", "print", "blocks"])
+            own, size, prints, blocks = [], [], [], []
+            for text in batch.column(2).to_pylist():
+                h = shingle_set(text, words)
+                own.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
+                size.append(len(h))
+                prints.append(np.concatenate([_majorities(_mixed(h, i), np.zeros(1, int)) for i in (0, 1)]).tobytes() if len(h) else bytes(16))
+                blocks.append(wide_blocks(h, similarity).view(np.int64) if len(h) else np.zeros(0, np.int64))
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(own, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(prints, pa.binary()), pa.array(blocks, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "fp", "size", "print", "blocks"])
+
+    # texts of one set of shingles are one row from here on, so no group of copies is one task's
+    all_ = written(texts.mapInArrow(printed, f"row bigint, doc_id {kind}, fp bigint, size int, print binary, blocks array<bigint>"), "prints")
+    keys = all_.select("fp", "blocks").dropDuplicates(["fp"]).select(F.explode("blocks").alias("k"), "fp")
+    shared = written(keys.repartition("k").sortWithinPartitions("k", "fp").mapInArrow(_shared, "k bigint, u bigint, v bigint"), "shared")
+    single = all_.groupBy("fp").agg(F.min("row").alias("row"), F.min("size").alias("size"), F.min("print").alias("print"))
+    held = written(shared.select(F.col("v").alias("fp")).distinct().join(single, "fp"), "held")
+
+    # the sets of shingles of texts that share a key
+    bits = sieve(held.select(F.col("row").alias("h")))
+
+    def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column(0).to_numpy(zero_copy_only=False) % SIEVE
+            may = batch.filter(pa.array(((bits[place // 64] >> (place % 64)) & 1).astype(bool)))
+            sets = pa.array([shingle_set(t, words).tobytes() for t in may.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([may.column(0), sets], names=["row", "shingles"])
+
+    of_rows = texts.select("row", "text").mapInArrow(sifted, "row bigint, shingles binary")
+    sets = written(of_rows.join(held.select("row", "fp"), "row").groupBy("fp").agg(F.min("shingles").alias("shingles")), "sets")
+
+    # 1. each text with the first of each of its keys
+    edges = shared.select("u", "v").filter("u <> v").distinct()
+    dealt = hot_parts(written(edges, "edges"), "u", "v", 4 * most)
+    member = dealt.join(sets.select(F.col("fp").alias("v"), "shingles"), "v").select("u", "part", F.lit(1).alias("kind"), "v", "shingles")
+    centre = dealt.select("u", "part").distinct().join(sets.select(F.col("fp").alias("u"), "shingles"), "u").select("u", "part", F.lit(0).alias("kind"), F.col("u").alias("v"), "shingles")
+
+    def starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = np.zeros(0, np.uint64)
+        for batch in batches:
+            out = []
+            for u, centre_or_not, v, data in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                h = np.frombuffer(data, np.uint64)
+                if not centre_or_not:
+                    now = h
+                elif jaccard(now, h) >= similarity:
+                    out.append((u, v))
+            at = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1])], names=["u", "v"])
+
+    both = member.unionByName(centre).repartition("u", "part").sortWithinPartitions("u", "part", "kind")
+    roots = components(both.mapInArrow(starred, "u bigint, v bigint"))
+
+    # 2. pairs of different components under a key
+    joined = shared.select("k", F.col("v").alias("fp")).join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("k", "fp", F.coalesce("root", "fp").alias("c"))
+    mixed = joined.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b").select("k")
+    left = written(joined.join(mixed, "k"), "mixed")
+    if not left.isEmpty():
+        first = cells(left.join(held.select("fp", "size", "print"), "fp"), "fp", most)
+
+        def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for k, cell, fp, c, size, prints in _runs(batches, 2):
+                x, near = np.frombuffer(b"".join(prints), np.uint64).reshape(-1, 2), np.zeros(len(fp), bool)
+                for i in range(len(fp) - 1):
+                    j = np.flatnonzero(_may(x[i], x[i + 1 :], size[i], size[i + 1 :], similarity) & (c[i + 1 :] != c[i])) + i + 1
+                    near[i] |= len(j) > 0
+                    near[j] = True
+                if near.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(y[near]) for y in (k, cell, fp)], names=["k", "cell", "fp"])
+
+        found = first.select("k", "cell", "fp", "c", "size", "print").repartition("k", "cell").sortWithinPartitions("k", "cell").mapInArrow(close, "k bigint, cell int, fp bigint")
+        near = written(found.select(F.xxhash64("k", "cell").alias("k"), "fp").distinct(), "near")
+        components_ = left.select("fp", "c").distinct()
+        full = near.join(components_, "fp").join(held.select("fp", "size", "print"), "fp").join(sets, "fp")
+
+        def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, _, fp, c, size, prints, data in _runs(batches, 2):
+                x, own, out = np.frombuffer(b"".join(prints), np.uint64).reshape(-1, 2), [np.frombuffer(d, np.uint64) for d in data], []
+                label = c.copy()
+                for i in range(len(fp) - 1):
+                    for j in (np.flatnonzero(_may(x[i], x[i + 1 :], size[i], size[i + 1 :], similarity)) + i + 1).tolist():
+                        if label[j] != label[i] and jaccard(own[i], own[j]) >= similarity:
+                            out.append((fp[i], fp[j]))
+                            label[label == label[j]] = label[i]
+                if out:
+                    at = np.array(out)
+                    yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1])], names=["u", "v"])
+
+        last = cells(full, "fp", most, "octet_length(shingles)").select("k", "cell", "fp", "c", "size", "print", "shingles")
+        more = last.repartition("k", "cell").sortWithinPartitions("k", "cell", "fp").mapInArrow(compared, "u bigint, v bigint")
+        roots = components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+
+    rows = all_.groupBy("row", "doc_id", "fp").agg(F.count(F.lit(1)).alias("n"))
+    ids = all_.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    rooted = written(ids.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "groups")
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    named = rooted.select("fp", "root").join(firsts, "root").select("fp", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row"))
+    return rows.join(named, "fp").select("row", "doc_id", "n", "first_id", "first_row")
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, fp, prints in _runs(batches, 2):
-            words_ = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
-            if pairs := wide_forest(words_, apart):
-                at = np.array(pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(fp[at[:, 0]]), pa.array(fp[at[:, 1]])], names=["u", "v"])
 
-    row = F.xxhash64("doc_id", "text").alias("row")
-    all_ = written(narrow.select(row, "doc_id", "text").mapInArrow(printed, f"row bigint, doc_id {kind}, print binary, blocks array<bigint>"), "prints")
-    of = all_.select("row", "doc_id", F.xxhash64("print").alias("fp"))
-    # texts of one wide fingerprint are one row from here on
-    classes = written(all_.select(F.xxhash64("print").alias("fp"), "print", "blocks").dropDuplicates(["fp"]), "classes")
-    keys = classes.select("fp", F.explode("blocks").alias("k"))
-    shared = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k", F.ceil(F.col("n") / most).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    cells = keys.join(shared, "k").select("k", "fp", "parts", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    cells = cells.select("k", (F.least("part", "other") * F.col("parts") + F.greatest("part", "other")).alias("cell"), "fp").join(classes.select("fp", "print"), "fp").select("k", "cell", "fp", "print")
-    found = cells.repartition("k", "cell").sortWithinPartitions("k", "cell", "fp").mapInArrow(compared, "u bigint, v bigint")
-    roots = components(found).select(F.col("node").alias("fp"), "root")
-    single = of.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
-    rooted = written(single.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "groups")
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    named = rooted.select("fp", "root").join(firsts, "root").select("fp", F.col("first.row").alias("first_row"))
-    rows = of.groupBy("row", "doc_id", "fp").agg(F.count(F.lit(1)).alias("n"))
-    return rows.join(named, "fp").select("row", "doc_id", "n", "first_row")
+def _may(x: np.ndarray, others: np.ndarray, size: int, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the others can be near-copies, by Hamming distance and size."""
+    apart = np.bitwise_count(x ^ others).sum(axis=1, dtype=np.int32)
+    return (apart <= APART) & (np.minimum(size, sizes) >= similarity * np.maximum(size, sizes) - 1e-9)
 
 
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row, with all columns, of each group of near-copies: that of the smallest id."""
-    kept = written(copies(docs, words, similarity, id_col=id_col, text_col=text_col).filter("row = first_row").select(F.col("row").alias("__row"), F.col("n").alias("__n")), "kept")
-    own = docs.withColumn("__row", F.xxhash64(docs[id_col], F.coalesce(docs[text_col], F.lit(""))))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    out = own.join(kept.filter("__n = 1"), "__row", "left_semi").select(*columns)
-    again = kept.filter("__n > 1")
+    found = copies(docs, words, similarity, id_col=id_col, text_col=text_col).filter("row = first_row and doc_id <=> first_id")
+    kept = written(found.select(F.col("row").alias("kept_row"), F.col("doc_id").alias("kept_id"), "n"), "kept")
+    # the given columns stay apart in one of their own, so that no name can clash
+    own = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("given"), docs[id_col].alias("id"), F.xxhash64(docs[id_col], F.coalesce(docs[text_col], F.lit(""))).alias("row"))
+    same = (F.col("row") == F.col("kept_row")) & F.col("id").eqNullSafe(F.col("kept_id"))
+    out = own.join(kept.filter("n = 1"), same, "left_semi").select("given.*")
+    again = kept.filter("n > 1")
     if again.isEmpty():
         return out
     # rows that repeat id and text: any one of them
-    return out.unionByName(own.join(again, "__row", "left_semi").dropDuplicates(["__row"]).select(*columns))
+    return out.unionByName(own.join(again, same, "left_semi").dropDuplicates(["id", "row"]).select("given.*"))
