@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one
 before kept; all but the last return the columns of `documents`, `n_chars`
-being that of the text as the stage leaves it.
+being that of the text as the stage leaves it. An empty table gives an empty one.
+Further columns, whatever their names, come along.
 """
 
 from __future__ import annotations
@@ -20,27 +21,27 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier calls toxic go."""
+    """Documents that the classifier calls toxic go. Null and empty texts are judged as empty, null ids and equal rows like any other."""
     return toxicity.kept(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of lines of at least 24 characters only the first stays; shorter lines all stay, and no document goes."""
+    """Of each class of lines only the first stays, blank lines all stay, and no document goes. Null texts become empty; rows that repeat id and text keep the same lines."""
     return _measured(lines.deduplicated(docs))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies stays."""
+    """One document of each group of near-copies stays, that of the smallest id. Texts without words are one group; a null id stays only if its group has no other."""
     return simhash.deduplicated(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data give way to their kind; no document goes."""
+    """Spans of personal data give way to their kind; no document goes, and null texts stay null."""
     return _measured(pii.masked(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 ids."""
+    """Pieces of documents in sequences of at most 2048 ids. A null or empty text has its end's id alone; rows that repeat an id are packed each."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
