@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: members of a key up to which pairs are named one by one: at most half as many for each member
+PAIRS = 32
 #: bits of a sieve that rows pass before they are shuffled: 2 MB
 SIEVE = 1 << 24
 #: most rows of small tables that are broadcast, counted first
@@ -49,6 +53,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    # the shuffles behind it are no longer needed; Spark deletes them once their plan is collected
+    spark.sparkContext._jvm.System.gc()
     again = spark.read.schema(df.schema).parquet(path)
     again.siftline_path = path
     return again
@@ -108,6 +114,32 @@ def hot_parts(members: DataFrame, key: str, member: str, most: int) -> DataFrame
     return held.withColumn("part", F.coalesce(F.pmod(F.xxhash64(member), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
 
 
+def alike(edges: DataFrame, held: DataFrame, most: int, prepare, same) -> DataFrame:
+    """Of the edges (u, v, all different) those for which `same(prepare(data of u), data of v)` holds; `held` has id and data.
+
+    The rows of a node u lie behind that node's own, so a task holds one node's data and a batch; a node with many edges is split.
+    """
+    dealt = hot_parts(written(edges, "edges"), "u", "v", most)
+    of = held.select(F.col("id").alias("v"), "data")
+    member = dealt.join(of, "v").select("u", "part", F.lit(1).alias("kind"), "v", "data")
+    centre = dealt.select(F.col("u").alias("v"), "part").distinct().join(of, "v").select(F.col("v").alias("u"), "part", F.lit(0).alias("kind"), "v", "data")
+
+    def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for batch in batches:
+            out = []
+            for u, kind, v, data in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                if not kind:
+                    now = prepare(data)
+                elif same(now, data):
+                    out.append((u, v))
+            at = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1])], names=["u", "v"])
+
+    both = member.unionByName(centre).repartition("u", "part").sortWithinPartitions("u", "part", "kind")
+    return both.mapInArrow(tested, "u bigint, v bigint")
+
+
 def cells(members: DataFrame, member: str, most: int, weight: str | None = None, heaviest: int = 32 << 20) -> DataFrame:
     """`members`: k, the column `member` and others. Adds `cell`, so that any two members of a key meet in one of its cells.
 

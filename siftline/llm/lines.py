@@ -21,9 +21,12 @@ Two edits are little in a passage. So lines also link if both have at least
 `PASSAGE` words and at most a tenth of the longer one's words must be inserted,
 deleted or substituted. An edit touches at most three word triples, so of two
 such lines neither has more than 3 t triples that the other lacks, t being the
-tenth. Their smallest common triple (by hash) is then among the first 3 t + 1 of
-each, and a line is filed under these, t taken for the longest partner it can
-have. Steps 2 and 3 are as above, with counts of words for those of characters.
+tenth. So in any one order of all triples their first common triple is among the
+first 3 t + 1 of each, and a line is filed under these, t taken for the longest
+partner it can have. The order is by length, the longest triple first, as long
+ones are rare, then by hash. Under a key, rows of few lines become pairs, and
+each pair of lines is compared once; of many lines, each is compared with the
+first, and if that doesn't join them all, all of the key's are as in step 3.
 
 A key with more than `most` lines, or with very long ones, is split into parts by
 hash; each pair of parts is compared on its own, so no pair is lost.
@@ -46,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import SIEVE, bounded_batches, cells, id_and_text, sieve, written
+from siftline.llm.common import PAIRS, SIEVE, alike, bounded_batches, cells, id_and_text, sieve, written
 from siftline.llm.components import components
 from siftline.llm.simhash import _runs
 
@@ -197,14 +200,18 @@ def _hashed(words: list[str], known: dict[str, int]) -> np.ndarray:
     return np.fromiter((known[w] if w in known else known.setdefault(w, of(w, 42)) for w in words), np.uint64, len(words))
 
 
-def passage_keys(h: np.ndarray) -> np.ndarray:
-    """The keys of a passage, given the hashes of its words."""
-    x = h[: len(h) - GRAM + 1].copy()
+def passage_keys(h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The keys of a passage, given the hashes of its words and their lengths."""
+    n = len(h) - GRAM + 1
+    x, long = h[:n].copy(), lengths[:n].copy()
     for i in range(1, GRAM):
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - GRAM + 1 + i]
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[i : n + i]
+        long += lengths[i : n + i]
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    # a triple's length stands above its hash, so that keys sort by length first
+    x = (np.uint64(255) - np.minimum(long, 255).astype(np.uint64)) << np.uint64(56) | (x ^ (x >> np.uint64(29))) >> np.uint64(8)
     # the longest partner has len(h) * PART / (PART - 1) words
-    return np.unique(x ^ (x >> np.uint64(29)))[: GRAM * (len(h) // (PART - 1)) + 1]
+    return np.unique(x)[: GRAM * (len(h) // (PART - 1)) + 1]
 
 
 def _word_bag(h: np.ndarray) -> int:
@@ -229,7 +236,7 @@ def _passages(texts: DataFrame) -> DataFrame:
                         seen = set() if len(seen) > _SEEN else seen
                         seen.add(h)
                         of = _hashed(words, known)
-                        keys_.append(passage_keys(of))
+                        keys_.append(passage_keys(of, np.fromiter(map(len, words), np.int64, len(words))))
                         own.append(h)
                         bag.append(_word_bag(of))
                         n.append(len(words))
@@ -242,23 +249,32 @@ def _passages(texts: DataFrame) -> DataFrame:
 
 
 def _near_passages(most: int):
-    """Of the rows under a key, those that have a partner by their counts of words. Batches come sorted by key and line."""
+    """Of the rows under a key those that have a partner by their counts of words: pairs u, v under few rows, else k, u and v, the key's first.
 
-    def said(k: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(h)], names=["k", "h"])
+    Batches come sorted by key and line.
+    """
+
+    def said(k: np.ndarray | None, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()) if k is None else pa.array(k), pa.array(u), pa.array(v)], names=["k", "u", "v"])
 
     def picked(k: np.ndarray, h: np.ndarray, bag: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         of, n, keep = _nibbles(bag)[:, 1:], n.astype(np.int64), np.zeros(len(k), bool)
-        i, d = np.arange(len(k) - 1), 1
+        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        size = np.diff(np.append(starts, len(k)))
+        few, first = np.repeat(size <= PAIRS, size), np.repeat(h[starts], size)
+        i, d, pairs = np.arange(len(k) - 1), 1, []
         while len(i := i[i + d < len(k)]) and len(i := i[k[i] == k[i + d]]):  # each row with the d-th after it
             t = np.maximum(n[i], n[i + d]) // PART
             near = i[(h[i] != h[i + d]) & (np.abs(n[i] - n[i + d]) <= t)]
             gap = np.abs(of[near] - of[near + d])
             near = near[np.minimum(gap, 16 - gap).sum(axis=1, dtype=np.int32) <= 2 * (np.maximum(n[near], n[near + d]) // PART)]
+            pairs.append(np.stack([h[near], h[near + d]])[:, few[near]])
             keep[near] = keep[near + d] = True
             d += 1
-        if keep.any():
-            yield said(k[keep], h[keep])
+        if pairs and (both := np.unique(np.concatenate(pairs, axis=1), axis=1)).size:
+            yield said(None, both[0], both[1])
+        if (keep := keep & ~few).any():
+            yield said(k[keep], h[keep], first[keep])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, hot = None, None
@@ -268,36 +284,55 @@ def _near_passages(most: int):
             new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if hot is not None:
                 # the rest of a key with so many lines that most have a partner; comparison looks at the counts again
-                first = int(np.searchsorted(new[0], hot, "right"))
-                if first:
-                    yield said(new[0][:first], new[1][:first])
-                if first == len(new[0]):
+                rest = int(np.searchsorted(new[0], hot[0], "right"))
+                if rest:
+                    yield said(new[0][:rest], new[1][:rest], np.full(rest, hot[1]))
+                if rest == len(new[0]):
                     continue
-                new, hot = [x[first:] for x in new], None
+                new, hot = [x[rest:] for x in new], None
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             cut = int(np.searchsorted(held[0], held[0][-1]))
             if cut:
                 yield from picked(*(x[:cut] for x in held))
                 held = [x[cut:] for x in held]
             if len(held[0]) > 4 * most:
-                yield said(held[0], held[1])
-                held, hot = None, int(held[0][0])
+                hot = int(held[0][0]), int(held[1][0])
+                yield said(held[0], held[1], np.full(len(held[0]), hot[1]))
+                held = None
         if held is not None and len(held[0]):
             yield from picked(*held)
 
     return rows
 
 
-def _passage_forest(lines: list[str]) -> Iterator[tuple[int, int]]:
-    """Links, as pairs of places, that join what all links between passages join."""
-    code: dict[str, str] = {}
+class _Words:
+    """Lines with a character for each word, so that edits of words are edits of characters."""
+
+    def __init__(self):
+        self.code: dict[str, str] = {}
+
+    def said(self, line: str) -> str:
+        code = self.code
+        return "".join(code[w] if w in code else code.setdefault(w, chr(len(code))) for w in line.split())
+
+    def centre(self, line: str) -> str:
+        """As `said`, for a line that others will be compared with; all others before it are done with."""
+        if len(self.code) > 500_000:
+            self.code.clear()
+        return self.said(line)
+
+    def near(self, a: str, line: str) -> bool:
+        b = self.said(line)
+        return within(a, b, max(len(a), len(b)) // PART)
+
+
+def _passage_forest(lines: list[str], label: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links, as pairs of places, that join what all links between passages join, but for what the labels say is joined."""
     known: dict[str, int] = {}
-    parts = [x.split() for x in lines]
-    # a character for each word, so that edits of words are edits of characters
-    said = ["".join(code[w] if w in code else code.setdefault(w, chr(len(code))) for w in p) for p in parts]
+    words, parts, label = _Words(), [x.split() for x in lines], label.copy()
+    said = [words.said(x) for x in lines]
     counts = _nibbles(np.array([_word_bag(_hashed(p, known)) for p in parts], np.uint64))[:, 1:]
     lengths = np.array([len(p) for p in parts])
-    label = np.arange(len(lines))
     for i in range(len(lines) - 1):
         t = np.maximum(lengths[i], lengths[i + 1 :]) // PART
         places = np.flatnonzero((label[i + 1 :] != label[i]) & (np.abs(lengths[i] - lengths[i + 1 :]) <= t))
@@ -413,35 +448,53 @@ def links(docs: DataFrame, edits: int = EDITS, each: int = EACH, most: int = MOS
     texts = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"))
     under = _filed(texts, edits, each).repartition("k").sortWithinPartitions("k").mapInArrow(_partnered(edits, most), "k bigint, h bigint, role tinyint")
 
-    def near(h: np.ndarray, role: np.ndarray, own: np.ndarray, lines: list[str]) -> Iterator[tuple[int, int]]:
+    under = written(under.distinct(), "partnered")
+    held = written(_texts_of(texts, under.select("h").distinct(), max(1, each - edits)), "held")
+
+    def near(own: np.ndarray, h: np.ndarray, role: np.ndarray, lines: list[str]) -> Iterator[tuple[int, int]]:
         return _forest(lines, np.isin(own, h[role == 0]), np.isin(own, h[role == 1]), edits, each)
 
-    return _compared(texts, written(under.distinct(), "partnered"), max(1, each - edits), most, near)
+    return _compared(under.join(held, "h").withColumnRenamed("role", "mark"), most, near)
 
 
 def passage_links(docs: DataFrame, most: int = MOST, text_col: str = "text") -> DataFrame:
     """u, v: hashes of passages, links that join what all links of passages would join."""
     texts = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    under = _passages(texts).repartition("k").sortWithinPartitions("k", "h").mapInArrow(_near_passages(most), "k bigint, h bigint")
-    under = written(under.distinct().withColumn("role", F.lit(0).cast("tinyint")), "partnered")
-    return _compared(texts, under, 2 * PASSAGE - 1, most, lambda h, role, own, lines: _passage_forest(lines))
-
-
-def _compared(texts: DataFrame, under: DataFrame, least: int, most: int, near) -> DataFrame:
-    """Links, by `near`, among the lines under each key of `under` (k, h, role)."""
-    held = written(_texts_of(texts, under.select("h").distinct(), least), "held")
-    full = cells(under.join(held, "h"), "h", most, "octet_length(line)").select("k", "cell", "h", "role", "line")
+    found = _passages(texts).repartition("k").sortWithinPartitions("k", "h").mapInArrow(_near_passages(most), "k bigint, u bigint, v bigint")
+    found = written(found.distinct(), "near")
+    edges = found.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    # a pair's lines, and all lines of keys of many
+    held = written(_texts_of(texts, found.select("u").unionAll(found.select("v")).select(F.col("u").alias("h")).distinct(), 2 * PASSAGE - 1), "held")
+    words = _Words()
+    linked = written(alike(edges, held.select(F.col("h").alias("id"), F.col("line").alias("data")), 4 * most, words.centre, words.near), "links")
+    many = found.filter("k is not null").select("k", F.col("u").alias("h"))
+    if many.isEmpty():
+        return linked
+    roots = components(linked)
+    known = many.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("k", "h", F.coalesce("root", "h").alias("mark"))
+    mixed = known.groupBy("k").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).filter("a < b").select("k")
+    left = known.join(mixed, "k").join(held, "h")
+
+    def near(own: np.ndarray, h: np.ndarray, mark: np.ndarray, lines: list[str]) -> Iterator[tuple[int, int]]:
+        return _passage_forest(lines, mark[np.unique(h, return_index=True)[1]])
+
+    return linked.unionByName(_compared(left, most, near))
+
+
+def _compared(rows: DataFrame, most: int, near) -> DataFrame:
+    """Links, by `near`, among the lines under each key of `rows` (k, h, mark, line)."""
+    full = cells(rows, "h", most, "octet_length(line)").select("k", "cell", "h", "mark", "line")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, h, role, lines in _runs(batches, 2):
+        for _, _, h, mark, lines in _runs(batches, 2):
             own, first = np.unique(h, return_index=True)
             if len(own) < 2:
                 continue
-            if pairs := list(near(h, role, own, [lines[i] for i in first])):
+            if pairs := list(near(own, h, mark, [lines[i] for i in first])):
                 at = np.array(pairs)
                 yield pa.RecordBatch.from_arrays([pa.array(own[at[:, 0]]), pa.array(own[at[:, 1]])], names=["u", "v"])
 
-    return full.repartition("k", "cell").sortWithinPartitions("k", "cell", "h", "role").mapInArrow(compared, "u bigint, v bigint")
+    return full.repartition("k", "cell").sortWithinPartitions("k", "cell", "h", "mark").mapInArrow(compared, "u bigint, v bigint")
 
 
 def _lines(docs: DataFrame, edits: int, each: int, id_col: str, text_col: str) -> DataFrame:

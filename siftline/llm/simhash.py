@@ -24,12 +24,14 @@ texts of under nine shingles have each as a class.) D depends on the level of a
 text's length, levels growing by half; a text near a level's end is filed under
 the next one too.
 
-1. Under a key, each text is compared with the key's first one, by their whole
-   sets of shingles. That joins most groups.
-2. Of keys whose texts are still of different components, every pair of texts of
-   different components is compared: by the Hamming distance of 128-bit SimHashes
-   with a bound that no pair of 0.8 exceeds, but for one in many millions, then by
-   their sets. Keys with many or long texts are split as above.
+Pairs are compared by the Hamming distance of 128-bit SimHashes, with a bound that
+no pair of 0.8 exceeds but for one in many millions, and then by their whole sets.
+
+1. Each text is compared with the first one under each of its keys. That joins
+   most groups, and what follows leaves out keys whose texts it has joined.
+2. Keys of few texts name their other pairs, each of which is compared once.
+3. Under a key of many texts that still aren't joined, texts are compared in
+   cells, as above; a pair of one component isn't compared again.
 
 Defined cases: a null or blank text has no words and fingerprint zero, linked
 like any other; texts of fewer words than a shingle have their whole sequence
@@ -50,7 +52,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import SIEVE, bounded_batches, cells, hot_parts, id_and_text, sieve, written
+from siftline.llm.common import PAIRS, SIEVE, alike, bounded_batches, cells, id_and_text, sieve, written
 from siftline.llm.components import components
 
 _BLOCK = 1 << 16
@@ -270,6 +272,53 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (held[0], np.array([first]), held[1])], names=["k", "u", "v"])
 
 
+def _compared(left: DataFrame, of: DataFrame, sets: DataFrame, roots: DataFrame, joined, similarity: float, most: int, near, set_of) -> DataFrame:
+    """Steps 2 and 3 of `copies`: the components after them."""
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs u, v of few texts, and of many texts those that have a partner (v null)."""
+        for k, _, fp, c, size, p, q in _runs(batches, 2):
+            x, found, few = np.stack([p, q], axis=1).view(np.uint64), [], len(fp) <= PAIRS
+            keep = np.zeros(len(fp), bool)
+            for i in range(len(fp) - 1):
+                j = np.flatnonzero(_may(x[i], x[i + 1 :], size[i], size[i + 1 :], similarity) & (c[i + 1 :] != c[i])) + i + 1
+                if few:
+                    found += [(fp[i], y) for y in fp[j]]
+                else:
+                    keep[i] |= len(j) > 0
+                    keep[j] = True
+            if found:
+                at = np.array(found)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(at[:, 0]), pa.array(at[:, 1])], names=["k", "u", "v"])
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(fp[keep]), pa.nulls(int(keep.sum()), pa.int64())], names=["k", "u", "v"])
+
+    dealt = cells(left.join(of, "fp"), "fp", most).select("k", "cell", "fp", "c", "size", "p", "q")
+    found = written(dealt.repartition("k", "cell").sortWithinPartitions("k", "cell", "fp").mapInArrow(close, "k bigint, u bigint, v bigint").distinct(), "near")
+    again = lambda more: components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    roots = again(alike(found.filter("v is not null").select("u", "v").distinct(), sets, 4 * most, set_of, near))
+    left = joined(roots, found.filter("v is null").select("k", F.col("u").alias("fp")))
+    if left.isEmpty():
+        return roots
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, fp, c, size, p, q, data in _runs(batches, 2):
+            x, own, out = np.stack([p, q], axis=1).view(np.uint64), [set_of(d) for d in data], []
+            label = c.copy()
+            for i in range(len(fp) - 1):
+                for j in (np.flatnonzero(_may(x[i], x[i + 1 :], size[i], size[i + 1 :], similarity)) + i + 1).tolist():
+                    if label[j] != label[i] and jaccard(own[i], own[j]) >= similarity:
+                        out.append((fp[i], fp[j]))
+                        label[label == label[j]] = label[i]
+            if out:
+                at = np.array(out)
+                yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1])], names=["u", "v"])
+
+    full = left.join(of, "fp").join(sets.withColumnRenamed("id", "fp"), "fp")
+    dealt = cells(full, "fp", most, "octet_length(data)").select("k", "cell", "fp", "c", "size", "p", "q", "data")
+    return again(dealt.repartition("k", "cell").sortWithinPartitions("k", "cell", "fp").mapInArrow(compared, "u bigint, v bigint"))
+
+
 def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each (id, text): row (their hash), doc_id, n (rows that repeat it), first_id and first_row (of its group of near-copies)."""
     bounded_batches(docs.sparkSession)
@@ -284,16 +333,17 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int =
                 h = shingle_set(text, words)
                 own.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
                 size.append(len(h))
-                prints.append(np.concatenate([_majorities(_mixed(h, i), np.zeros(1, int)) for i in (0, 1)]).tobytes() if len(h) else bytes(16))
+                prints.append([int(_majorities(_mixed(h, i), np.zeros(1, int))[0]) if len(h) else 0 for i in (0, 1)])
                 blocks.append(wide_blocks(h, similarity).view(np.int64) if len(h) else np.zeros(0, np.int64))
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(own, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(prints, pa.binary()), pa.array(blocks, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "fp", "size", "print", "blocks"])
+            p = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(own, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(blocks, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "fp", "size", "p", "q", "blocks"])
 
     # texts of one set of shingles are one row from here on, so no group of copies is one task's
-    all_ = written(texts.mapInArrow(printed, f"row bigint, doc_id {kind}, fp bigint, size int, print binary, blocks array<bigint>"), "prints")
+    all_ = written(texts.mapInArrow(printed, f"row bigint, doc_id {kind}, fp bigint, size int, p bigint, q bigint, blocks array<bigint>"), "prints")
     keys = all_.select("fp", "blocks").dropDuplicates(["fp"]).select(F.explode("blocks").alias("k"), "fp")
     shared = written(keys.repartition("k").sortWithinPartitions("k", "fp").mapInArrow(_shared, "k bigint, u bigint, v bigint"), "shared")
-    single = all_.groupBy("fp").agg(F.min("row").alias("row"), F.min("size").alias("size"), F.min("print").alias("print"))
+    single = all_.groupBy("fp").agg(F.min("row").alias("row"), F.min("size").alias("size"), F.min("p").alias("p"), F.min("q").alias("q"))
     held = written(shared.select(F.col("v").alias("fp")).distinct().join(single, "fp"), "held")
 
     # the sets of shingles of texts that share a key
@@ -307,69 +357,27 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int =
             yield pa.RecordBatch.from_arrays([may.column(0), sets], names=["row", "shingles"])
 
     of_rows = texts.select("row", "text").mapInArrow(sifted, "row bigint, shingles binary")
-    sets = written(of_rows.join(held.select("row", "fp"), "row").groupBy("fp").agg(F.min("shingles").alias("shingles")), "sets")
+    sets = written(of_rows.join(held.select("row", "fp"), "row").groupBy(F.col("fp").alias("id")).agg(F.min("shingles").alias("data")), "sets")
+    of = held.select("fp", "size", "p", "q")
+    set_of = lambda data: np.frombuffer(data, np.uint64)
+    near = lambda a, b: jaccard(a, set_of(b)) >= similarity
+
+    def joined(roots: DataFrame, rows: DataFrame) -> DataFrame:
+        """Of rows (k, fp) those whose key has different components, with their component c."""
+        known = rows.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("k", "fp", F.coalesce("root", "fp").alias("c"))
+        mixed = known.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b").select("k")
+        return written(known.join(mixed, "k"), "mixed")
 
     # 1. each text with the first of each of its keys
     edges = shared.select("u", "v").filter("u <> v").distinct()
-    dealt = hot_parts(written(edges, "edges"), "u", "v", 4 * most)
-    member = dealt.join(sets.select(F.col("fp").alias("v"), "shingles"), "v").select("u", "part", F.lit(1).alias("kind"), "v", "shingles")
-    centre = dealt.select("u", "part").distinct().join(sets.select(F.col("fp").alias("u"), "shingles"), "u").select("u", "part", F.lit(0).alias("kind"), F.col("u").alias("v"), "shingles")
-
-    def starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = np.zeros(0, np.uint64)
-        for batch in batches:
-            out = []
-            for u, centre_or_not, v, data in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
-                h = np.frombuffer(data, np.uint64)
-                if not centre_or_not:
-                    now = h
-                elif jaccard(now, h) >= similarity:
-                    out.append((u, v))
-            at = np.array(out, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1])], names=["u", "v"])
-
-    both = member.unionByName(centre).repartition("u", "part").sortWithinPartitions("u", "part", "kind")
-    roots = components(both.mapInArrow(starred, "u bigint, v bigint"))
-
-    # 2. pairs of different components under a key
-    joined = shared.select("k", F.col("v").alias("fp")).join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("k", "fp", F.coalesce("root", "fp").alias("c"))
-    mixed = joined.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b").select("k")
-    left = written(joined.join(mixed, "k"), "mixed")
+    for c in ("u", "v"):
+        edges = edges.join(of.select(F.col("fp").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("size", "p", "q"))), c)
+    apart = F.bit_count(F.col("u_p").bitwiseXOR(F.col("v_p"))) + F.bit_count(F.col("u_q").bitwiseXOR(F.col("v_q")))
+    sizes = F.least("u_size", "v_size") >= similarity * F.greatest("u_size", "v_size") - 1e-9
+    roots = components(alike(edges.filter((apart <= APART) & sizes).select("u", "v"), sets, 4 * most, set_of, near))
+    left = joined(roots, shared.select("k", F.col("v").alias("fp")))
     if not left.isEmpty():
-        first = cells(left.join(held.select("fp", "size", "print"), "fp"), "fp", most)
-
-        def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for k, cell, fp, c, size, prints in _runs(batches, 2):
-                x, near = np.frombuffer(b"".join(prints), np.uint64).reshape(-1, 2), np.zeros(len(fp), bool)
-                for i in range(len(fp) - 1):
-                    j = np.flatnonzero(_may(x[i], x[i + 1 :], size[i], size[i + 1 :], similarity) & (c[i + 1 :] != c[i])) + i + 1
-                    near[i] |= len(j) > 0
-                    near[j] = True
-                if near.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(y[near]) for y in (k, cell, fp)], names=["k", "cell", "fp"])
-
-        found = first.select("k", "cell", "fp", "c", "size", "print").repartition("k", "cell").sortWithinPartitions("k", "cell").mapInArrow(close, "k bigint, cell int, fp bigint")
-        near = written(found.select(F.xxhash64("k", "cell").alias("k"), "fp").distinct(), "near")
-        components_ = left.select("fp", "c").distinct()
-        full = near.join(components_, "fp").join(held.select("fp", "size", "print"), "fp").join(sets, "fp")
-
-        def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, _, fp, c, size, prints, data in _runs(batches, 2):
-                x, own, out = np.frombuffer(b"".join(prints), np.uint64).reshape(-1, 2), [np.frombuffer(d, np.uint64) for d in data], []
-                label = c.copy()
-                for i in range(len(fp) - 1):
-                    for j in (np.flatnonzero(_may(x[i], x[i + 1 :], size[i], size[i + 1 :], similarity)) + i + 1).tolist():
-                        if label[j] != label[i] and jaccard(own[i], own[j]) >= similarity:
-                            out.append((fp[i], fp[j]))
-                            label[label == label[j]] = label[i]
-                if out:
-                    at = np.array(out)
-                    yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1])], names=["u", "v"])
-
-        last = cells(full, "fp", most, "octet_length(shingles)").select("k", "cell", "fp", "c", "size", "print", "shingles")
-        more = last.repartition("k", "cell").sortWithinPartitions("k", "cell", "fp").mapInArrow(compared, "u bigint, v bigint")
-        roots = components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-
+        roots = _compared(left, of, sets, roots, joined, similarity, most, near, set_of)
     rows = all_.groupBy("row", "doc_id", "fp").agg(F.count(F.lit(1)).alias("n"))
     ids = all_.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
     rooted = written(ids.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "groups")
