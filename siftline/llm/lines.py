@@ -1,4 +1,4 @@
-"""Line deduplication by a segment-partition edit join, and by prefixes of word triples for passages.
+"""Line deduplication by a segment-partition edit join, and by prefixes of word pairs for passages.
 
 Lines link if few edits (insertions, deletions, substitutions of one character)
 turn one into the other: one for each `each` characters of the longer line, at
@@ -19,14 +19,14 @@ than `each` characters are of one class only if they are equal.
 
 Two edits are little in a passage. So lines also link if both have at least
 `PASSAGE` words and at most a tenth of the longer one's words must be inserted,
-deleted or substituted. An edit touches at most three word triples, so of two
-such lines neither has more than 3 t triples that the other lacks, t being the
-tenth. So in any one order of all triples their first common triple is among the
-first 3 t + 1 of each, and a line is filed under these, t taken for the longest
-partner it can have. The order is by length, the longest triple first, as long
+deleted or substituted. An edit touches at most two pairs of neighbouring words,
+so of two such lines neither has more than 2 t pairs that the other lacks, t being
+the tenth. So in any one order of all pairs their first common one is among the
+first 2 t + 1 of each, and a line is filed under these, t taken for the longest
+partner it can have. The order is by length, the longest first, as long
 ones are rare, then by hash. Under a key, rows of few lines become pairs, and
 each pair of lines is compared once; of many lines, each is compared with the
-first, and if that doesn't join them all, all of the key's are as in step 3.
+one that has most partners by counts, and if that doesn't join them all, all of the key's are as in step 3.
 
 A key with more than `most` lines, or with very long ones, is split into parts by
 hash; each pair of parts is compared on its own, so no pair is lost.
@@ -55,7 +55,7 @@ from siftline.llm.simhash import _runs
 
 EDITS, EACH, MOST = 2, 12, 512
 #: least words of a passage, what part of its words may differ (one in so many), and words to a key
-PASSAGE, PART, GRAM = 20, 10, 3
+PASSAGE, PART, GRAM = 20, 10, 2
 _SEEN = 1_000_000
 
 
@@ -193,31 +193,44 @@ def _forest(lines: list[str], filed: np.ndarray, looked: np.ndarray, edits: int,
                 label[label == label[j]] = label[i]
 
 
-def _hashed(words: list[str], known: dict[str, int]) -> np.ndarray:
+def _word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """The words' hashes, the lowest byte replaced: words sort by length, the longest first, then by hash."""
     if len(known) > _SEEN:
         known.clear()
     of = xxhash.xxh64_intdigest
-    return np.fromiter((known[w] if w in known else known.setdefault(w, of(w, 42)) for w in words), np.uint64, len(words))
-
-
-def passage_keys(h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The keys of a passage, given the hashes of its words and their lengths."""
-    n = len(h) - GRAM + 1
-    x, long = h[:n].copy(), lengths[:n].copy()
-    for i in range(1, GRAM):
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[i : n + i]
-        long += lengths[i : n + i]
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-    # a triple's length stands above its hash, so that keys sort by length first
-    x = (np.uint64(255) - np.minimum(long, 255).astype(np.uint64)) << np.uint64(56) | (x ^ (x >> np.uint64(29))) >> np.uint64(8)
-    # the longest partner has len(h) * PART / (PART - 1) words
-    return np.unique(x)[: GRAM * (len(h) // (PART - 1)) + 1]
-
-
-def _word_bag(h: np.ndarray) -> int:
-    """As in `bags`, of a passage's words."""
-    counts = np.bincount((h % np.uint64(15)).astype(np.int64) + 1, minlength=16) & 15
-    return int((counts.astype(np.uint64) << (4 * np.arange(16, dtype=np.uint64))).sum(dtype=np.uint64))
+    fresh = lambda w: of(w, 42) >> 8 | (255 - min(len(w), 255)) << 56
+    return np.fromiter((known[w] if w in known else known.setdefault(w, fresh(w)) for w in words), np.uint64, len(words))
+
+
+def passage_keys(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of passages, given all their words' hashes and how many words each has, and whose key each is."""
+    x, of = h, np.repeat(np.arange(len(n)), n)
+    if GRAM > 1:
+        ends = np.cumsum(n)
+        inner = np.ones(len(h), bool)
+        length = np.uint64(255) - (h >> np.uint64(56))
+        for i in range(1, GRAM):
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + np.roll(h, -i)
+            length = length + np.uint64(255) - (np.roll(h, -i) >> np.uint64(56))
+            inner[ends - i] = False
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (np.uint64(255) - np.minimum(length, np.uint64(255))) << np.uint64(56) | (x ^ (x >> np.uint64(29))) >> np.uint64(8)
+        x, of = x[inner], of[inner]
+    order = np.lexsort((x, of))
+    x, of = x[order], of[order]
+    new = np.concatenate([[True], (x[1:] != x[:-1]) | (of[1:] != of[:-1])])
+    x, of = x[new], of[new]
+    rank = np.arange(len(x)) - np.searchsorted(of, np.arange(len(n)))[of]
+    # the longest partner has n * PART / (PART - 1) words
+    first = rank < (GRAM * (n // (PART - 1)) + 1)[of]
+    return x[first], of[first]
+
+
+def _word_bags(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """As in `bags`, of the words of passages."""
+    place = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(15)
+    counts = np.bincount(np.repeat(np.arange(len(n)) * 16, n) + place.astype(np.int64) + 1, minlength=16 * len(n)).reshape(-1, 16) & 15
+    return (counts.astype(np.uint64) << (4 * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
 
 
 def _passages(texts: DataFrame) -> DataFrame:
@@ -228,28 +241,28 @@ def _passages(texts: DataFrame) -> DataFrame:
         known: dict[str, int] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                keys_, own, bag, n = [], [], [], []
+                all_, own, n = [], [], []
                 for text in batch.column(0).slice(at, 200).to_pylist():
                     for line in text.split("\n"):
-                        if len(line) < 2 * PASSAGE - 1 or (h := xxhash.xxh64_intdigest(line, 42)) in seen or len(words := line.split()) < PASSAGE:
+                        if len(line) < 2 * PASSAGE - 1 or (h := xxhash.xxh64_intdigest(line, 42)) in seen:
                             continue
                         seen = set() if len(seen) > _SEEN else seen
                         seen.add(h)
-                        of = _hashed(words, known)
-                        keys_.append(passage_keys(of, np.fromiter(map(len, words), np.int64, len(words))))
-                        own.append(h)
-                        bag.append(_word_bag(of))
-                        n.append(len(words))
+                        if len(words := line.split()) >= PASSAGE:
+                            all_ += words
+                            own.append(h)
+                            n.append(len(words))
                 if own:
-                    each = [len(k) for k in keys_]
-                    big = lambda x: pa.array(np.repeat(np.array(x, np.uint64), each).view(np.int64))  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys_).view(np.int64)), big(own), big(bag), pa.array(np.repeat(np.array(n, np.int32), each))], names=["k", "h", "bag", "n"])
+                    of, many = _word_hashes(all_, known), np.array(n, np.int64)
+                    k, whose = passage_keys(of, many)
+                    big = lambda x: pa.array(x.view(np.int64))
+                    yield pa.RecordBatch.from_arrays([big(k), big(np.array(own, np.uint64)[whose]), big(_word_bags(of, many)[whose]), pa.array(many[whose].astype(np.int32))], names=["k", "h", "bag", "n"])
 
     return texts.mapInArrow(rows, "k bigint, h bigint, bag bigint, n int")
 
 
 def _near_passages(most: int):
-    """Of the rows under a key those that have a partner by their counts of words: pairs u, v under few rows, else k, u and v, the key's first.
+    """Of the rows under a key those that have a partner by their counts of words: pairs u, v under few rows, else k, u and v, the one with most partners.
 
     Batches come sorted by key and line.
     """
@@ -258,10 +271,10 @@ def _near_passages(most: int):
         return pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()) if k is None else pa.array(k), pa.array(u), pa.array(v)], names=["k", "u", "v"])
 
     def picked(k: np.ndarray, h: np.ndarray, bag: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        of, n, keep = _nibbles(bag)[:, 1:], n.astype(np.int64), np.zeros(len(k), bool)
+        of, n = _nibbles(bag)[:, 1:], n.astype(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         size = np.diff(np.append(starts, len(k)))
-        few, first = np.repeat(size <= PAIRS, size), np.repeat(h[starts], size)
+        few, partners = np.repeat(size <= PAIRS, size), np.zeros(len(k), np.int64)
         i, d, pairs = np.arange(len(k) - 1), 1, []
         while len(i := i[i + d < len(k)]) and len(i := i[k[i] == k[i + d]]):  # each row with the d-th after it
             t = np.maximum(n[i], n[i + d]) // PART
@@ -269,12 +282,16 @@ def _near_passages(most: int):
             gap = np.abs(of[near] - of[near + d])
             near = near[np.minimum(gap, 16 - gap).sum(axis=1, dtype=np.int32) <= 2 * (np.maximum(n[near], n[near + d]) // PART)]
             pairs.append(np.stack([h[near], h[near + d]])[:, few[near]])
-            keep[near] = keep[near + d] = True
+            partners[near] += 1  # no place twice among them
+            partners[near + d] += 1
             d += 1
+        keep = partners > 0
         if pairs and (both := np.unique(np.concatenate(pairs, axis=1), axis=1)).size:
             yield said(None, both[0], both[1])
         if (keep := keep & ~few).any():
-            yield said(k[keep], h[keep], first[keep])
+            run = np.repeat(np.arange(len(starts)), size)
+            best = np.lexsort((h, -partners, run))[starts]
+            yield said(k[keep], h[keep], h[best][run][keep])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, hot = None, None
@@ -331,8 +348,8 @@ def _passage_forest(lines: list[str], label: np.ndarray) -> Iterator[tuple[int,
     known: dict[str, int] = {}
     words, parts, label = _Words(), [x.split() for x in lines], label.copy()
     said = [words.said(x) for x in lines]
-    counts = _nibbles(np.array([_word_bag(_hashed(p, known)) for p in parts], np.uint64))[:, 1:]
     lengths = np.array([len(p) for p in parts])
+    counts = _nibbles(_word_bags(_word_hashes([w for p in parts for w in p], known), lengths))[:, 1:]
     for i in range(len(lines) - 1):
         t = np.maximum(lengths[i], lengths[i + 1 :]) // PART
         places = np.flatnonzero((label[i + 1 :] != label[i]) & (np.abs(lengths[i] - lengths[i + 1 :]) <= t))
