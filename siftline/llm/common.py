@@ -153,3 +153,38 @@ def cells(members: DataFrame, member: str, most: int, weight: str | None = None,
     dealt = held.withColumn("part", part).withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
     cell = F.coalesce(F.least("part", "other") * F.col("parts") + F.greatest("part", "other"), F.lit(0))
     return dealt.withColumn("cell", cell).drop("parts", "part", "other")
+
+
+def runs(batches: Iterator[pa.RecordBatch], columns: int, limit: int | None = None) -> Iterator[list[np.ndarray]]:
+    """Rows whose first `columns` columns agree, of batches sorted by these; rows that stand alone are left out.
+
+    With a `limit`, a run of more rows comes in parts: the first of more than `limit` rows, others of any size.
+    """
+    parted: list = [None]
+    held: list[np.ndarray] | None = None
+
+    def picked(table: list[np.ndarray], starts: np.ndarray) -> list[int]:
+        out = np.flatnonzero(np.diff(starts) > 1).tolist()
+        more = len(starts) > 1 and starts[1] == 1 and [c[0] for c in table[:columns]] == parted
+        return [0, *out] if more else out  # the single row that ends a run given in parts
+
+    def cut(table: list[np.ndarray], last: bool):
+        change = np.zeros(len(table[0]), bool)
+        for c in table[:columns]:
+            change[1:] |= c[1:] != c[:-1]
+        starts = np.concatenate([[0], np.flatnonzero(change), [len(change)]])
+        stop = len(starts) - (1 if last else 2)
+        found = [[c[starts[k] : starts[k + 1]] for c in table] for k in picked(table, starts[: stop + 1])]
+        return found, [c[starts[stop] :] for c in table]
+
+    for batch in batches:
+        if batch.num_rows:
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            found, held = cut(held, False)
+            yield from found
+            if limit and len(held[0]) > limit:
+                yield held
+                held, parted = [c[:0] for c in held], [c[-1] for c in held[:columns]]
+    if held is not None and len(held[0]):
+        yield from cut(held, True)[0]

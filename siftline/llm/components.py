@@ -8,10 +8,14 @@ no longer change: then each links a node to the smallest of its component.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import discard, written
+from siftline.llm.common import alike, cells, discard, runs, written
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -38,3 +42,32 @@ def components(links: DataFrame) -> DataFrame:
         if before == mark:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def joined(found: DataFrame, held: DataFrame, most: int, prepare, same, forest) -> DataFrame:
+    """u, v: links that join what all links between nodes that share a key would join.
+
+    `found` has a row (null, u, v) for each pair under keys of few nodes, and (k, u, v) for each node u of a key of
+    many, v being one of them; `held` has id and data of all of these. Pairs, and each node with the v of its key,
+    are tested by `same(prepare(data), data)`. Under keys of many that this doesn't join, all pairs are: in cells,
+    by `forest(data, labels)`, which gives the places of pairs that join what the labels don't say is joined.
+    """
+    edges = found.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    first = written(alike(edges, held, 4 * most, prepare, same), "links")
+    many = found.filter("k is not null").select("k", F.col("u").alias("id"))
+    if many.isEmpty():
+        return first
+    roots = components(first)
+    known = many.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("k", "id", F.coalesce("root", "id").alias("label"))
+    mixed = known.groupBy("k").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("k")
+    dealt = cells(known.join(mixed, "k").join(held, "id"), "id", most, "octet_length(data)").select("k", "cell", "id", "label", "data")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, id_, label, data in runs(batches, 2):
+            own, at = np.unique(id_, return_index=True)
+            if len(own) > 1 and (pairs := list(forest([data[i] for i in at], label[at]))):
+                places = np.array(pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(own[places[:, 0]]), pa.array(own[places[:, 1]])], names=["u", "v"])
+
+    more = dealt.repartition("k", "cell").sortWithinPartitions("k", "cell", "id").mapInArrow(compared, "u bigint, v bigint")
+    return first.unionByName(more)

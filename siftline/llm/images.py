@@ -1,18 +1,23 @@
 """Cropped or edited copies of images, by local descriptors.
 
-An image's corners are found at several scales (Harris response, local
-maxima, the `most` strongest). Each gets an orientation, that of the intensity
-centroid of its patch, and a binary descriptor: `BITS` comparisons of smoothed
-intensities at a fixed random pattern, turned by the orientation. A crop keeps
-the corners inside it, and changes of brightness or contrast keep the order of
+An image's corners are found at several scales: all local maxima of the Harris
+response within `APART` pixels. That rule is local, so a crop keeps the corners
+inside it, whatever the image's size, and their number grows with the area. Each
+gets an orientation, that of the intensity centroid of its patch, and a binary
+descriptor: `BITS` comparisons of smoothed intensities at a fixed random pattern,
+turned by the orientation. Changes of brightness or contrast keep the order of
 intensities, hence the bits.
 
 Descriptors are cut into `TABLES` chunks; two that differ in fewer bits than
-that agree in a chunk, so descriptors are joined on (chunk, bits) tables. Under
-a key each image is paired with the key's first and with the one before it,
-not with all. Pairs that meet in at least `LEAST` places are verified by
-geometric consensus: each match proposes a turn, a scale and a shift, and
-enough others must agree with one proposal. Verified pairs go to `components`.
+that agree in a chunk, so images are joined on (chunk, bits) tables. (Copies that
+differ more share other corners' chunks; the tests measure the recall.) Two images
+that share a key are verified: descriptors are matched by their whole Hamming
+distance, and by geometric consensus each match proposes a turn, a scale and a
+shift, with which at least `LEAST` places must agree. Under keys of few images
+all pairs are named, and each is verified once; under keys of many, as of a
+common logo, each image is verified with one of them, and if that doesn't join
+them, all pairs are, in cells of bounded size.
+Verified pairs go to `components`, so classes are what all such links reach.
 
 Images are bytes in PGM or PPM (P5, P6). Equal bytes are one image, so copies
 meet once. Defined cases: bytes that are null, empty or no such image have no
@@ -32,12 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import bounded_batches, written
-from siftline.llm.components import components
-from siftline.llm.simhash import _runs
+from siftline.llm.common import PAIRS, bounded_batches, runs, written
+from siftline.llm.components import components, joined
 
-BITS, TABLES, LEAST, SCALES, PATCH = 252, 6, 6, (1.0, 1.5, 2.0), 7
+BITS, TABLES, LEAST, SCALES, PATCH, APART = 256, 4, 6, (1.0, 1.5, 2.0), 7, 4
+#: most bits in which the descriptors of a match differ
+RADIUS = 48
 _PATTERN = np.random.default_rng(11).integers(-PATCH, PATCH + 1, (BITS, 4))
+# the orientation says which side is brighter, so tests along it would tell little
+_PATTERN[:, 2] = np.clip(_PATTERN[:, 0] + _PATTERN[:, 2] % 3 - 1, -PATCH, PATCH)
 _HEADER = re.compile(rb"(P[56])(?:\s+(?:#[^\n]*\n\s*)*)(\d+)\s+(\d+)\s+(\d+)\s")
 
 
@@ -77,9 +85,16 @@ def _scaled(a: np.ndarray, by: float) -> np.ndarray:
     return (1 - v) * ((1 - u) * a[np.ix_(i, j)] + u * a[np.ix_(i, j + 1)]) + v * ((1 - u) * a[np.ix_(i + 1, j)] + u * a[np.ix_(i + 1, j + 1)])
 
 
-def features(grey: np.ndarray, most: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """Places (x, y, scale, angle) and descriptors (chunks as numbers) of an image's strongest corners at each scale."""
-    places, chunks = [], []
+def _highest(a: np.ndarray, r: int) -> np.ndarray:
+    """Whether each value is the highest within squares of 2 r + 1."""
+    p = np.pad(a, r, constant_values=-np.inf)
+    rows = np.lib.stride_tricks.sliding_window_view(p, 2 * r + 1, axis=0).max(axis=-1)
+    return a >= np.lib.stride_tricks.sliding_window_view(rows, 2 * r + 1, axis=1).max(axis=-1)
+
+
+def features(grey: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (x, y, scale, angle) and descriptors (rows of bytes) of an image's corners at each scale."""
+    places, bits_ = [], []
     reach = int(np.ceil(PATCH * 2**0.5)) + 1
     for scale in SCALES:
         a = _scaled(grey, scale)
@@ -88,11 +103,8 @@ def features(grey: np.ndarray, most: int = 32) -> tuple[np.ndarray, np.ndarray]:
         gy, gx = np.gradient(a)
         xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
         response = xx * yy - xy**2 - 0.05 * (xx + yy) ** 2
-        inner = response[reach:-reach, reach:-reach]
-        peak = (inner > 1e-6) & (inner >= np.max([response[reach + i : response.shape[0] - reach + i, reach + j : response.shape[1] - reach + j] for i in (-1, 0, 1) for j in (-1, 0, 1)], axis=0))
-        y, x = np.nonzero(peak)
-        best = np.lexsort((x, y, -inner[y, x]))[:most]
-        y, x = y[best] + reach, x[best] + reach
+        y, x = np.nonzero(((response > 1e-6) & _highest(response, APART))[reach:-reach, reach:-reach])
+        y, x = y + reach, x + reach
         if not len(x):
             continue
         smooth = _box(a, 1)
@@ -103,12 +115,11 @@ def features(grey: np.ndarray, most: int = 32) -> tuple[np.ndarray, np.ndarray]:
         cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
         at = lambda px, py: smooth[np.rint(y[:, None] + sin * px + cos * py).astype(int), np.rint(x[:, None] + cos * px - sin * py).astype(int)]  # noqa: B023, E731
         bits = at(_PATTERN[:, 0], _PATTERN[:, 1]) < at(_PATTERN[:, 2], _PATTERN[:, 3])
-        weights = 1 << np.arange(BITS // TABLES, dtype=np.int64)
-        chunks.append((bits.reshape(len(bits), TABLES, -1) * weights).sum(axis=2))
+        bits_.append(np.packbits(bits, axis=1))
         places.append(np.stack([x * scale, y * scale, np.full(len(x), scale), angle], axis=1))
     if not places:
-        return np.zeros((0, 4)), np.zeros((0, TABLES), np.int64)
-    return np.concatenate(places), np.concatenate(chunks)
+        return np.zeros((0, 4)), np.zeros((0, BITS // 8), np.uint8)
+    return np.concatenate(places), np.concatenate(bits_)
 
 
 def packed(places: np.ndarray) -> np.ndarray:
@@ -141,60 +152,101 @@ def consensus(a: np.ndarray, b: np.ndarray, tolerance: float = 4.0) -> int:
     return best
 
 
-def copies(rows: DataFrame, most: int = 32, id_col: str = "id", image_col: str = "image") -> DataFrame:
-    """A row for each image: id, n_corners, n_links (other different images verified as copies), class_id (smallest id of its class)."""
+def corners(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places and descriptors (rows of 64-bit words) of what `copies` holds of an image."""
+    n = len(data) // (8 + BITS // 8)
+    return unpacked(np.frombuffer(data, np.int64, n)), np.frombuffer(data, np.uint64, offset=8 * n).reshape(n, -1)
+
+
+def keys_of(bits: np.ndarray) -> np.ndarray:
+    """The keys of an image's descriptors (rows of bytes), each once: a hash of a chunk and its number."""
+    size = BITS // 8 // TABLES
+    chunks = np.pad(bits.reshape(len(bits), TABLES, size), ((0, 0), (0, 0), (0, 8 - size))).view("<u8")[:, :, 0]
+    x = (chunks + np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique((x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)).view(np.int64)
+
+
+def matches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in both of each descriptor of `a` and its nearest of `b`, if that is near enough."""
+    at, to = [], []
+    for i in range(0, len(a), 256):  # bounded memory, whatever the number of corners
+        far = np.bitwise_count(a[i : i + 256, None, :] ^ b[None]).sum(axis=2, dtype=np.int32)
+        best = far.argmin(axis=1)
+        near = np.flatnonzero(far[np.arange(len(best)), best] <= RADIUS)
+        at.append(near + i)
+        to.append(best[near])
+    return np.concatenate(at), np.concatenate(to)
+
+
+def same(a: tuple[np.ndarray, np.ndarray], data: bytes) -> bool:
+    """Whether matches of two images agree on one geometry."""
+    b = corners(data)
+    if not len(a[0]) or not len(b[0]):
+        return False
+    i, j = matches(a[1], b[1])
+    return len(i) >= LEAST and consensus(a[0][i], b[0][j]) >= LEAST
+
+
+def _forest(data: list[bytes], label: np.ndarray) -> Iterator[tuple[int, int]]:
+    label, of = label.copy(), [corners(d) for d in data]
+    for i in range(len(data) - 1):
+        for j in range(i + 1, len(data)):
+            if label[i] != label[j] and same(of[i], data[j]):
+                yield i, j
+                label[label == label[j]] = label[i]
+
+
+def copies(rows: DataFrame, most: int = 256, id_col: str = "id", image_col: str = "image") -> DataFrame:
+    """A row for each image: id, n_corners, class_id (smallest id of the images that links reach, itself included)."""
     bounded_batches(rows.sparkSession)
     given = rows.select(rows[id_col].alias("id"), rows[image_col].alias("image"))
     kind = given.schema["id"].dataType.simpleString()
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, of = [], []
+            own, n, held = [], [], []
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 grey = decoded(data)
                 # what can't be read is alike to nothing: told apart by its row's id
-                h = xxhash.xxh64_intdigest(data, 42) if grey is not None else xxhash.xxh64_intdigest(f"no image {i}", 43)
-                own.append(int(np.uint64(h).astype(np.int64)))
-                of.append(features(grey, most) if grey is not None else (np.zeros((0, 4)), np.zeros((0, TABLES), np.int64)))
-            at = pa.array([packed(p).tobytes() + c.tobytes() for p, c in of], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own), pa.array([len(p) for p, _ in of], pa.int64()), at], names=["id", "h", "n_corners", "corners"])
+                own.append(xxhash.xxh64_intdigest(data, 42) if grey is not None else xxhash.xxh64_intdigest(f"no image {i}", 43))
+                places, bits = features(grey) if grey is not None else (np.zeros((0, 4)), np.zeros((0, BITS // 8), np.uint8))
+                n.append(len(places))
+                held.append(packed(places).tobytes() + bits.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(own, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(held, pa.binary())], names=["id", "h", "n_corners", "data"])
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # a task files an image once as far as it remembers
         for batch in batches:
-            for h, n, corners in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if n and h not in done:
+            for h, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if data and h not in done:
                     done = set() if len(done) > 1_000_000 else done
                     done.add(h)
-                    numbers = np.frombuffer(corners, np.int64)
-                    # a chunk's bits are fewer than 48, so its number goes above them
-                    key = numbers[n:].reshape(n, TABLES) + (np.arange(TABLES, dtype=np.int64)[None] << 48)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.full(key.size, h)), pa.array(np.repeat(numbers[:n], TABLES))], names=["k", "h", "at"])
-
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, h, at in _runs(batches, 1):
-            if h[0] == h[-1]:
-                continue
-            own = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))  # each image's first place under the key
-            pairs = sorted({(own[0], j) for j in own[1:]} | set(zip(own[:-1], own[1:], strict=True)))
-            i, j = np.array(pairs).T
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[i], h[j], at[i], at[j])], names=["u", "v", "a", "b"])
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, 2):
-            if len(run[0]) >= LEAST and consensus(unpacked(run[2]), unpacked(run[3])) >= LEAST:
-                yield pa.RecordBatch.from_arrays([pa.array(run[0][:1]), pa.array(run[1][:1])], names=["u", "v"])
-
-    seen = written(given.mapInArrow(described, f"id {kind}, h bigint, n_corners bigint, corners binary"), "images")
-    table = seen.select("h", "n_corners", "corners").mapInArrow(filed, "k bigint, h bigint, at bigint")
-    met = table.repartition("k").sortWithinPartitions("k", "h", "at").mapInArrow(paired, "u bigint, v bigint, a bigint, b bigint")
-    found = written(met.repartition("u", "v").sortWithinPartitions("u", "v").mapInArrow(verified, "u bigint, v bigint"), "image-links")
-    roots = components(found).select(F.col("node").alias("h"), "root")
-    degree = found.select("u").unionAll(found.select("v")).groupBy(F.col("u").alias("h")).agg(F.count(F.lit(1)).alias("n_links"))
+                    n = len(data) // (8 + BITS // 8)
+                    key = keys_of(np.frombuffer(data, np.uint8, offset=8 * n).reshape(n, -1))
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), h))], names=["k", "h"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(null, u, v) for each pair under keys of few images; (k, u, v), v being the key's first, under others."""
+        many = None
+        for k, h in runs(batches, 1, PAIRS):
+            if many is None or many[0] != k[0]:
+                many = (k[0], h[0]) if len(h) > PAIRS else None
+            if many is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(h), pa.array(np.full(len(h), many[1]))], names=["k", "u", "v"])
+            elif len(h := np.unique(h)) > 1:
+                i, j = np.triu_indices(len(h), 1)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(i), pa.int64()), pa.array(h[i]), pa.array(h[j])], names=["k", "u", "v"])
+
+    seen = written(given.mapInArrow(described, f"id {kind}, h bigint, n_corners bigint, data binary"), "images")
+    keys = seen.select("h", "data").mapInArrow(filed, "k bigint, h bigint").repartition("k").sortWithinPartitions("k", "h")
+    found = written(keys.mapInArrow(met, "k bigint, u bigint, v bigint").distinct(), "met")
+    held = seen.groupBy(F.col("h").alias("id")).agg(F.min("data").alias("data"))
+    links = joined(found, held, most, corners, same, _forest)
+    roots = components(links).select(F.col("node").alias("h"), "root")
     single = seen.groupBy("h").agg(F.min("id").alias("least"), F.max("n_corners").alias("n_corners"))
-    rooted = single.join(roots, "h", "left").join(degree, "h", "left").select("h", "least", "n_corners", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "h").alias("root"))
+    rooted = single.join(roots, "h", "left").select("h", "least", "n_corners", F.coalesce("root", "h").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
-    return seen.select("id", "h").join(rooted.join(named, "root").drop("root", "least"), "h").select("id", "n_corners", "n_links", "class_id")
+    return seen.select("id", "h").join(rooted.join(named, "root").drop("root", "least"), "h").select("id", "n_corners", "class_id")
 
 
 def rendered(rows: DataFrame, size: int = 96, every: int = 25, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -49,9 +49,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import PAIRS, SIEVE, alike, bounded_batches, cells, id_and_text, sieve, written
-from siftline.llm.components import components
-from siftline.llm.simhash import _runs
+from siftline.llm.common import PAIRS, SIEVE, bounded_batches, cells, id_and_text, runs, sieve, written
+from siftline.llm.components import components, joined
 
 EDITS, EACH, MOST = 2, 12, 512
 #: least words of a passage, what part of its words may differ (one in so many), and words to a key
@@ -479,23 +478,10 @@ def passage_links(docs: DataFrame, most: int = MOST, text_col: str = "text") ->
     texts = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"))
     found = _passages(texts).repartition("k").sortWithinPartitions("k", "h").mapInArrow(_near_passages(most), "k bigint, u bigint, v bigint")
     found = written(found.distinct(), "near")
-    edges = found.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     # a pair's lines, and all lines of keys of many
     held = written(_texts_of(texts, found.select("u").unionAll(found.select("v")).select(F.col("u").alias("h")).distinct(), 2 * PASSAGE - 1), "held")
     words = _Words()
-    linked = written(alike(edges, held.select(F.col("h").alias("id"), F.col("line").alias("data")), 4 * most, words.centre, words.near), "links")
-    many = found.filter("k is not null").select("k", F.col("u").alias("h"))
-    if many.isEmpty():
-        return linked
-    roots = components(linked)
-    known = many.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("k", "h", F.coalesce("root", "h").alias("mark"))
-    mixed = known.groupBy("k").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).filter("a < b").select("k")
-    left = known.join(mixed, "k").join(held, "h")
-
-    def near(own: np.ndarray, h: np.ndarray, mark: np.ndarray, lines: list[str]) -> Iterator[tuple[int, int]]:
-        return _passage_forest(lines, mark[np.unique(h, return_index=True)[1]])
-
-    return linked.unionByName(_compared(left, most, near))
+    return joined(found, held.select(F.col("h").alias("id"), F.col("line").alias("data")), most, words.centre, words.near, lambda data, label: _passage_forest(data, label))
 
 
 def _compared(rows: DataFrame, most: int, near) -> DataFrame:
@@ -503,7 +489,7 @@ def _compared(rows: DataFrame, most: int, near) -> DataFrame:
     full = cells(rows, "h", most, "octet_length(line)").select("k", "cell", "h", "mark", "line")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, h, mark, lines in _runs(batches, 2):
+        for _, _, h, mark, lines in runs(batches, 2):
             own, first = np.unique(h, return_index=True)
             if len(own) < 2:
                 continue

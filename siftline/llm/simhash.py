@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import PAIRS, SIEVE, alike, bounded_batches, cells, id_and_text, sieve, written
+from siftline.llm.common import PAIRS, SIEVE, alike, bounded_batches, cells, id_and_text, runs, sieve, written
 from siftline.llm.components import components
 
 _BLOCK = 1 << 16
@@ -126,41 +126,6 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _runs(batches: Iterator[pa.RecordBatch], columns: int, limit: int | None = None) -> Iterator[list[np.ndarray]]:
-    """Rows whose first `columns` columns agree, of batches sorted by these; rows that stand alone are left out.
-
-    With a `limit`, a run of more rows comes in parts: the first of more than `limit` rows, others of any size.
-    """
-    parted: list = [None]
-    held: list[np.ndarray] | None = None
-
-    def picked(table: list[np.ndarray], starts: np.ndarray) -> list[int]:
-        out = np.flatnonzero(np.diff(starts) > 1).tolist()
-        more = len(starts) > 1 and starts[1] == 1 and [c[0] for c in table[:columns]] == parted
-        return [0, *out] if more else out  # the single row that ends a run given in parts
-
-    def cut(table: list[np.ndarray], last: bool):
-        change = np.zeros(len(table[0]), bool)
-        for c in table[:columns]:
-            change[1:] |= c[1:] != c[:-1]
-        starts = np.concatenate([[0], np.flatnonzero(change), [len(change)]])
-        stop = len(starts) - (1 if last else 2)
-        found = [[c[starts[k] : starts[k + 1]] for c in table] for k in picked(table, starts[: stop + 1])]
-        return found, [c[starts[stop] :] for c in table]
-
-    for batch in batches:
-        if batch.num_rows:
-            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            found, held = cut(held, False)
-            yield from found
-            if limit and len(held[0]) > limit:
-                yield held
-                held, parted = [c[:0] for c in held], [c[-1] for c in held[:columns]]
-    if held is not None and len(held[0]):
-        yield from cut(held, True)[0]
-
-
 def links(fps: DataFrame, radius: int = 3, blocks: int = 6, most: int = 4096) -> DataFrame:
     """`fps`: distinct fingerprints (column fp). Returns u, v: links that join what all links would join."""
 
@@ -171,7 +136,7 @@ def links(fps: DataFrame, radius: int = 3, blocks: int = 6, most: int = 4096) ->
                 yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0)], names=["k", "fp"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, fp in _runs(batches, 2):
+        for _, _, fp in runs(batches, 2):
             if pairs := forest(fp, radius):
                 at = np.array(pairs)
                 yield pa.RecordBatch.from_arrays([pa.array(fp[at[:, 0]]), pa.array(fp[at[:, 1]])], names=["u", "v"])
@@ -277,7 +242,7 @@ def _compared(left: DataFrame, of: DataFrame, sets: DataFrame, roots: DataFrame,
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs u, v of few texts, and of many texts those that have a partner (v null)."""
-        for k, _, fp, c, size, p, q in _runs(batches, 2):
+        for k, _, fp, c, size, p, q in runs(batches, 2):
             x, found, few = np.stack([p, q], axis=1).view(np.uint64), [], len(fp) <= PAIRS
             keep = np.zeros(len(fp), bool)
             for i in range(len(fp) - 1):
@@ -302,7 +267,7 @@ def _compared(left: DataFrame, of: DataFrame, sets: DataFrame, roots: DataFrame,
         return roots
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, fp, c, size, p, q, data in _runs(batches, 2):
+        for _, _, fp, c, size, p, q, data in runs(batches, 2):
             x, own, out = np.stack([p, q], axis=1).view(np.uint64), [set_of(d) for d in data], []
             label = c.copy()
             for i in range(len(fp) - 1):
