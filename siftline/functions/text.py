@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,18 @@ DELIMITERS = r"""[\s\x1C-\x1F="',:{}\[\]()]+"""
 LEAST_FLAGGED = 23
 
 
+def _other_digits() -> str:
+    """The digits that aren't decimal ones (superscripts, circled ones and others), as a regex's class without brackets."""
+    codes = [c for c in range(sys.maxunicode + 1) if chr(c).isdigit() and not chr(c).isdecimal()]
+    first = [c for c in codes if c - 1 not in codes]
+    last = [c for c in codes if c + 1 not in codes]
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(first, last, strict=True))
+
+
+#: decimal digits of any script and the others
+DIGIT = rf"[\p{{Nd}}{_other_digits()}]"
+
+
 def entropy(value: Column) -> Column:
     """Shannon entropy in bits of a string's characters; 0 for the empty string, null for null."""
     n = F.length(value).cast("double")
@@ -33,7 +47,7 @@ def looks_like_value(token: Column) -> Column:
     """Neither a path nor a lower-case word, and with a digit or both cases."""
     has = lambda p: F.regexp_like(token, F.lit(p))
     word = has(r"^\p{L}+$") & has(r"\p{IsLowercase}") & ~has(r"\p{IsUppercase}|\p{Lt}")
-    digit = has(r"[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨❶-➓]")
+    digit = has(DIGIT)
     return ~token.contains("/") & ~token.contains("\\") & ~word & (digit | (has(r"\p{IsUppercase}") & has(r"\p{IsLowercase}")))
 
 

@@ -22,6 +22,12 @@ def split_lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+def split_all_lines(text: Column) -> Column:
+    """Lines at every line end that Unicode knows, as notebooks have them; one at the very end opens no line."""
+    parts = F.split(F.regexp_replace(text, "\r\n|[\r\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", "\n"), "\n", -1)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
 def scan_lines(lines: DataFrame, secrets: list[Detector] = SECRETS, personal: list[Detector] = PERSONAL) -> DataFrame:
     """`lines`: file, route, line, text and, for notebooks, cell ([Cell i/type] ). Adds found, has_pii, kept side by side on the row."""
     text, route = F.col("text"), F.col("route")
@@ -64,6 +70,7 @@ def findings(files: DataFrame) -> DataFrame:
     return rows.select("file", F.col("at.line").cast("long").alias("line"), F.inline(found)).select(*COLUMNS)
 
 
+# Fixed values in the descriptions
 def binary_findings(paths: DataFrame) -> DataFrame:
     """`paths`: file. A finding for each, contents unread."""
     ext = suffix(F.col("file"))

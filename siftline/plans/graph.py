@@ -5,45 +5,48 @@ Edges have src, dst and edge_type (CALLS, DEPENDS_ON, ASSIGNS, PASSES_ARG).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.plans.shared import written
+
 
-def reachable(edges: DataFrame, starts: DataFrame, edge_types: list[str] | None = None, max_hops: int = 16) -> DataFrame:
-    """start, node, hops: each node that directed edges reach from each start, at its least number of hops.
+def reachable(edges: DataFrame, starts: DataFrame, edge_types: list[str] | None = None, max_hops: int | None = None) -> DataFrame:
+    """start, node, hops: each other node that directed edges reach from each start, at its least number of hops.
 
-    Breadth first: each round joins the newest nodes with the edges and drops
-    those already seen, so cycles end and no path is walked twice.
+    Breadth first: each round joins the newest (start, node) with the edges and
+    drops those seen before, so cycles end and work grows with what is reached,
+    not with the number of paths. Rounds are tables in the shared folder. Without
+    `max_hops` they end when there is nothing new. Null nodes take no part.
     """
-    spark = edges.sparkSession
     used = edges.filter(F.col("edge_type").isin(edge_types)) if edge_types else edges
-    used = used.select("src", "dst").distinct()
-    used.createOrReplaceTempView("siftline_edges")
-    starts.select(F.col("id").alias("start")).distinct().createOrReplaceTempView("siftline_starts")
-    # a recursive query keeps the plan one; UNION ALL with a path, as cycles need it
-    return (
-        spark.sql(f"""
-        WITH RECURSIVE walk(start, node, hops, path) AS (
-            SELECT start, start, 0, array(start) FROM siftline_starts
-            UNION ALL
-            SELECT w.start, e.dst, w.hops + 1, array_append(w.path, e.dst)
-            FROM walk w JOIN siftline_edges e ON e.src = w.node
-            WHERE w.hops < {int(max_hops)} AND NOT array_contains(w.path, e.dst)
-        )
-        SELECT start, node, hops, path FROM walk WHERE hops > 0""")
-        .groupBy("start", "node")
-        .agg(F.min("hops").cast("long").alias("hops"))
-    )
-
-
-def taint(edges: DataFrame, nodes: DataFrame, entry_envs: list[str], sink_envs: list[str], max_hops: int = 16) -> DataFrame:
+    used = used.select("src", "dst").dropna().distinct()
+    newest = written(starts.select(F.col("id").alias("start"), F.col("id").alias("node")).dropna().distinct(), "start")
+    seen, rounds, hops = newest, [], 0
+    while max_hops is None or hops < max_hops:
+        hops += 1
+        step = newest.join(used, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        newest = written(step.join(seen, ["start", "node"], "left_anti"), "round")
+        if newest.isEmpty():
+            break
+        rounds.append(newest.withColumn("hops", F.lit(hops).cast("long")))
+        # as one table, so that plans don't grow with the rounds
+        seen = written(seen.unionByName(newest), "seen") if hops % 8 == 0 else seen.unionByName(newest)
+    if not rounds:
+        return newest.limit(0).withColumn("hops", F.lit(0).cast("long"))
+    return reduce(DataFrame.unionByName, rounds)
+
+
+def taint(edges: DataFrame, nodes: DataFrame, entry_envs: list[str], sink_envs: list[str], max_hops: int | None = None) -> DataFrame:
     """start, node, hops where a node of an entry environment reaches one of a sink environment."""
     entries = nodes.filter(F.col("env").isin(entry_envs)).select("id")
     sinks = nodes.filter(F.col("env").isin(sink_envs)).select(F.col("id").alias("node"))
     return reachable(edges, entries, None, max_hops).join(sinks, "node", "left_semi").select("start", "node", "hops")
 
 
-def import_chains(edges: DataFrame, starts: DataFrame, max_hops: int = 16) -> DataFrame:
+def import_chains(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Reachability over DEPENDS_ON alone."""
     return reachable(edges, starts, ["DEPENDS_ON"], max_hops)
 

@@ -6,6 +6,7 @@ RE2 has no lookahead, so two patterns are given in an equivalent form.
 from __future__ import annotations
 
 from siftline.functions.detectors import PERSONAL, SECRETS, Detector
+from siftline.functions.text import DIGIT
 from siftline.operators.routing import BINARY, FIXTURE_PARTS, IDE_PARTS, SUPPORTED, VCR_PARTS
 from siftline.plans import samples
 
@@ -66,7 +67,7 @@ def redact_personal(d: Detector, x: str) -> str:
 
 def looks_like_value(x: str) -> str:
     has = lambda p: f"regexp_matches({x}, {text(p)})"
-    return f"(NOT contains({x}, '/') AND NOT contains({x}, '\\') AND NOT ({has(r'^\pL+$')} AND {has(r'\p{Ll}')} AND NOT {has(r'\p{Lu}|\p{Lt}')}) AND ({has(r'\p{Nd}')} OR ({has(r'\p{Lu}')} AND {has(r'\p{Ll}')})))"
+    return f"(NOT contains({x}, '/') AND NOT contains({x}, '\\') AND NOT ({has(r'^\pL+$')} AND {has(r'\p{Ll}')} AND NOT {has(r'\p{Lu}|\p{Lt}')}) AND ({has(DIGIT)} OR ({has(r'\p{Lu}')} AND {has(r'\p{Ll}')})))"
 
 
 _SPLIT = "string_split(regexp_replace({x}, '\\r\\n?', chr(10), 'g'), chr(10))"
@@ -194,7 +195,8 @@ _FILE = "(CASE doc_id % 4 WHEN 0 THEN 'src/' WHEN 1 THEN 'fixtures/' WHEN 2 THEN
 SCAN_DOCUMENTS = f"SELECT * FROM ({_scan(f'SELECT {_FILE} AS file, line, text FROM ({_numbered("documents", "doc_id", "text")})')})"
 PAGE_SCAN = f"SELECT * FROM ({_scan(f"SELECT 'fixtures/' || page_id || '.txt' AS file, line, text FROM ({_numbered('pages', 'page_id', 'html')})")})"
 
-_CELL_PARTS = _SPLIT.format(x="text")
+#: at every line end that Unicode knows
+_CELL_PARTS = "string_split(regexp_replace(text, '\\r\\n|[\\r\\n\\x{b}\\x{c}\\x{1c}-\\x{1e}\\x{85}\\x{2028}\\x{2029}]', chr(10), 'g'), chr(10))"
 NOTEBOOK_LINES = f"""WITH cells AS (SELECT conv_id || '.ipynb' AS file, turn, '[Cell ' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) || '/' || role || '] ' AS cell,
     CASE WHEN {_CELL_PARTS}[-1] = '' THEN {_CELL_PARTS}[:-2] ELSE {_CELL_PARTS} END AS parts FROM conversations),
     flat AS (SELECT file, turn, cell, unnest(range(1, len(parts) + 1)) AS pos, unnest(parts) AS text FROM cells),
@@ -231,4 +233,4 @@ def graph(where: str, starts: str) -> str:
     edges AS (SELECT DISTINCT src, dst FROM all_edges {where}),
     walk(start, node, hops, path) AS (
         SELECT id, id, 0, [id] FROM ({starts})
-        UNION ALL SELECT w.start, e.dst, w.hops + 1, list_append(w.path, e.dst) FROM walk w JOIN edges e ON e.src = w.node WHERE w.hops < 6 AND NOT list_contains(w.path, e.dst)) """
+        UNION ALL SELECT w.start, e.dst, w.hops + 1, list_append(w.path, e.dst) FROM walk w JOIN edges e ON e.src = w.node WHERE NOT list_contains(w.path, e.dst)) """

@@ -304,19 +304,19 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(sql.graph("", "SELECT id FROM nodes WHERE env = 'test'") + "SELECT start, node, min(hops)::BIGINT AS hops FROM walk WHERE hops > 0 GROUP BY start, node")
 def graph_reachability(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    return reachable(edges, nodes.filter("env = 'test'").select("id"), max_hops=6)
+    return reachable(edges, nodes.filter("env = 'test'").select("id"))
 
 
 @query(sql.graph("", "SELECT id FROM nodes WHERE env = 'test'") + "SELECT start, node, min(hops)::BIGINT AS hops FROM walk WHERE hops > 0 AND node IN (SELECT id FROM nodes WHERE env = 'prod') GROUP BY start, node")
 def graph_taint(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    return taint(edges, nodes, ["test"], ["prod"], max_hops=6)
+    return taint(edges, nodes, ["test"], ["prod"])
 
 
 @query(sql.graph("WHERE edge_type = 'DEPENDS_ON'", "SELECT id FROM nodes") + "SELECT start, node, min(hops)::BIGINT AS hops FROM walk WHERE hops > 0 GROUP BY start, node")
 def graph_import_chains(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    return import_chains(edges, nodes.select("id"), max_hops=6)
+    return import_chains(edges, nodes.select("id"))
 
 
 @query("SELECT 'n' || n_nationkey AS id, CASE n_regionkey WHEN 0 THEN 'test' WHEN 1 THEN 'prod' ELSE 'dev' END AS env, 'r' || n_regionkey AS file FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT 'new' || n_nationkey, 'dev', 'r2' FROM nation WHERE n_regionkey = 2 AND n_nationkey % 2 = 0")

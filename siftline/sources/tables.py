@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftline.operators.findings import split_lines
+from siftline.operators.findings import split_all_lines, split_lines
 from siftline.operators.routing import route
 
 
@@ -19,7 +19,7 @@ def lines_of(texts: DataFrame, file: Column, text: Column) -> DataFrame:
 
 def cells_of(cells: DataFrame, file: Column, cell: Column, cell_type: Column, text: Column) -> DataFrame:
     """Rows that are cells as notebooks: lines are numbered through a notebook's cells in order of `cell`."""
-    parts = cells.select(file.alias("file"), cell.alias("n"), cell_type.alias("kind"), split_lines(text).alias("lines"))
+    parts = cells.select(file.alias("file"), cell.alias("n"), cell_type.alias("kind"), split_all_lines(text).alias("lines"))
     of = W.partitionBy("file").orderBy("n")
     placed = parts.withColumn("before", F.coalesce(F.sum(F.size("lines")).over(of.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("i", F.row_number().over(of))
     prefix = F.concat(F.lit("[Cell "), F.col("i").cast("string"), F.lit("/"), F.col("kind"), F.lit("] "))
