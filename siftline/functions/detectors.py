@@ -80,8 +80,14 @@ def skipped(records: list[dict]) -> list[str]:
     return out
 
 
+#: what means more in Unicode than in ASCII; other patterns are cheaper without Unicode classes
+_WIDE = re.compile(r"\\[sSdDwWbB]|\(\?i\)")
+
+
 def java(regex: str) -> str:
     """The pattern for Java, with Unicode classes, and the four separators that only Python counts as white space."""
+    if not _WIDE.search(regex):
+        return regex
     out, inside, i = [], False, 0
     while i < len(regex):
         two = regex[i : i + 2]

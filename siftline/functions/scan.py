@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.detectors import PERSONAL, SECRETS, Detector, java
 from siftline.functions.text import ENTROPY_THRESHOLD, LEAST_FLAGGED, entropy, half_even, looks_like_value, redact_personal, redact_secret, tokens, two_places
+from siftline.operators.routing import env_file
 
 #: what a finding holds besides file and line
 FIELDS = ("type", "severity", "match_redacted", "description", "source", "entropy")
@@ -32,24 +33,45 @@ def folded(line: Column) -> Column:
     return out
 
 
-def _hit(line: Column, d: Detector, fold: Column) -> Column:
+def hit(line: Column, d: Detector, fold: Column) -> Column:
     """Whether the pattern matches; cheap searches for what a match must hold come first."""
     match = F.regexp_like(line, F.lit(java(d.regex)))
     return reduce(lambda a, b: a | b, (fold.contains(n) for n in d.needles)) & match if d.needles else match
 
 
-def scan_secrets(line: Column, env_file: Column | None = None, detectors: list[Detector] = SECRETS, fold: Column | None = None) -> Column:
-    """At most one finding of each type, the first in the registry's order. Types P-02 count only where `env_file` holds.
+def may_match(text: Column, detectors: list[Detector]) -> Column:
+    """Whether a detector of the registry can match a line of a text: it holds a needle, or the pattern itself matches, if nothing in it ties it to a line."""
+    needles = list(dict.fromkeys(n for d in detectors for n in d.needles))
+    plain = [F.regexp_like(text, F.lit(java(d.regex))) for d in detectors if not d.needles]
+    # the lambda's argument is made once, however often it is searched
+    held = F.exists(F.array(folded(text)), lambda f: reduce(lambda a, b: a | b, (f.contains(n) for n in needles)))
+    return reduce(lambda a, b: a | b, plain, held)
+
+
+def can_hold(text: Column, file: Column, personal_route: Column, secrets: list[Detector] = SECRETS, personal: list[Detector] = PERSONAL) -> Column:
+    """Whether any line of a text can have a finding: cheap searches of the whole text, so that most texts are never cut into lines.
+
+    Of the registries only; detectors of one's own could look beyond their line, so with them every text can.
+    """
+    if secrets is not SECRETS or personal is not PERSONAL:
+        return F.lit(True)
+    run = F.regexp_like(text, F.lit(r"""(?U)[^\s\x1C-\x1F="',:{}\[\]()]{%d}""" % LEAST_FLAGGED))
+    digit = text.contains("@") | F.regexp_like(text, F.lit(r"\p{Nd}"))
+    return env_file(file) | (personal_route & digit) | may_match(text, [d for d in secrets if d.type != "P-02"]) | run
+
+
+def scan_secrets(line: Column, in_env: Column | None = None, detectors: list[Detector] = SECRETS, fold: Column | None = None) -> Column:
+    """At most one finding of each type, the first in the registry's order. Types P-02 count only where `in_env` holds.
 
     `fold`: a column that holds `folded(line)`, so that it is made once.
     """
     fold = folded(line) if fold is None else fold
     chains: dict[str, Column] = {}
     for d in detectors:
-        hit = _hit(line, d, fold)
+        found = hit(line, d, fold)
         if d.type == "P-02":
-            hit = (env_file if env_file is not None else F.lit(False)) & hit
-        chains[d.type] = chains[d.type].when(hit, _secret(line, d)) if d.type in chains else F.when(hit, _secret(line, d))
+            found = (in_env if in_env is not None else F.lit(False)) & found
+        chains[d.type] = chains[d.type].when(found, _secret(line, d)) if d.type in chains else F.when(found, _secret(line, d))
     return F.array_compact(F.array(*chains.values()))
 
 

@@ -20,6 +20,8 @@ FIXTURE_PARTS = ["fixtures/", "testdata/", "test_data/", "seed", "factory", "fac
 
 #: routes on which personal data is looked for
 PERSONAL_ROUTES = ("vcr", "fixture", "notebook")
+#: routes whose files are read as lines of text
+PLAIN_ROUTES = ("ide", "vcr", "fixture", "env", "default")
 
 
 def basename(path: Column) -> Column:

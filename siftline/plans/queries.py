@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.detectors import PERSONAL, SECRETS, Detector, java
-from siftline.functions.scan import scan_entropy, scan_personal, scan_secrets
+from siftline.functions.scan import folded, hit, may_match, scan_entropy, scan_personal, scan_secrets
 from siftline.functions.text import LEAST_TOKEN, entropy, half_even, looks_like_value, redact_personal, redact_secret, tokens
 from siftline.operators.findings import binary_findings, deduplicated, density, per_file, scan_lines, split_lines
 from siftline.operators.routing import BINARY, SUPPORTED, basename, env_file, extension, route
@@ -36,7 +36,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, line, text of documents."""
-    docs = _table(spark, sf_dir, "documents")
+    return _cut(_table(spark, sf_dir, "documents"))
+
+
+def _cut(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("pos", "text")).select("doc_id", (F.col("pos") + 1).cast("long").alias("line"), "text")
 
 
@@ -285,10 +288,12 @@ def props_json_get(spark, sf_dir):
 
 @query(sql.LINES + sql.pattern_join(SECRETS))
 def pattern_join(spark, sf_dir):
-    """Detectors as a table, joined on whether they match: for registries that aren't known when the plan is made."""
-    table = spark.createDataFrame([(i, d.name, java(d.regex)) for i, d in enumerate(SECRETS) if d.type == "P-01"], "ord bigint, name string, regex string")
-    hits = _lines(spark, sf_dir).join(F.broadcast(table), F.expr("text rlike regex"))
-    return hits.groupBy("doc_id", "line").agg(F.min_by("name", "ord").alias("name"), F.count(F.lit(1)).alias("n_patterns"))
+    """Lines joined with all patterns of a type that match them. The registry is known when the plan is made, so the join is an expression on the line: no row of a pattern is ever paired with one of a line."""
+    of = [d for d in SECRETS if d.type == "P-01"]
+    docs = _table(spark, sf_dir, "documents").filter(may_match(F.col("text"), of))
+    lines = _cut(docs).withColumn("fold", folded(F.col("text")))
+    hits = F.array_compact(F.array(*(F.when(hit(F.col("text"), d, F.col("fold")), F.lit(d.name)) for d in of)))
+    return lines.select("doc_id", "line", hits.alias("names")).filter(F.size("names") > 0).select("doc_id", "line", F.col("names")[0].alias("name"), F.size("names").cast("long").alias("n_patterns"))
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.detectors import PERSONAL, SECRETS, Detector
+from siftline.functions.scan import can_hold
 from siftline.operators.findings import COLUMNS, binary_findings, findings, per_file, scan_lines
+from siftline.operators.routing import PERSONAL_ROUTES
 from siftline.sources.files import path_table, read_lines, routed
-from siftline.sources.tables import cells_of, lines_of
+from siftline.sources.tables import cells_of, faulty, lines_of, routed_texts
 
 
 def scan_files(spark: SparkSession, paths: list[str] | DataFrame, secrets: list[Detector] = SECRETS, personal: list[Detector] = PERSONAL) -> tuple[DataFrame, DataFrame]:
@@ -29,9 +31,20 @@ def ordered(found: DataFrame, paths: DataFrame) -> DataFrame:
     return found.join(paths.groupBy("file").agg(F.min("file_ord").alias("file_ord")), "file").orderBy("file_ord", "line", "type").select(*COLUMNS)
 
 
-def scan_texts(texts: DataFrame, file: Column, text: Column, **registries: list[Detector]) -> DataFrame:
-    """Findings of a table's rows as files: `file` decides the route."""
-    return findings(per_file(scan_lines(lines_of(texts, file, text), **registries)))
+def scan_texts(texts: DataFrame, file: Column, text: Column, secrets: list[Detector] = SECRETS, personal: list[Detector] = PERSONAL) -> DataFrame:
+    """Findings of a table's rows as files: `file` decides the route; notebooks are unwrapped, binaries found by name and their text not read.
+
+    Notebooks that can't be parsed have no findings; `scan_table` gives them too.
+    """
+    return scan_table(texts, file, text, secrets, personal)[0]
+
+
+def scan_table(texts: DataFrame, file: Column, text: Column, secrets: list[Detector] = SECRETS, personal: list[Detector] = PERSONAL) -> tuple[DataFrame, DataFrame]:
+    """As `scan_texts`, and the notebooks that can't be parsed: file, stage, message."""
+    files = routed_texts(texts, file, text)
+    may = can_hold(F.col("text"), F.col("file"), F.col("route").isin(*PERSONAL_ROUTES), secrets, personal)
+    found = findings(per_file(scan_lines(lines_of(files, may), secrets, personal)))
+    return found.unionByName(binary_findings(files.filter("route = 'binary'").select("file").distinct())), faulty(files)
 
 
 def scan_cells(cells: DataFrame, file: Column, cell: Column, cell_type: Column, text: Column, **registries: list[Detector]) -> DataFrame:
