@@ -16,16 +16,15 @@ DELIMITERS = r"""[\s\x1C-\x1F="',:{}\[\]()]+"""
 LEAST_FLAGGED = 23
 
 
-def _other_digits() -> str:
-    """The digits that aren't decimal ones (superscripts, circled ones and others), as a regex's class without brackets."""
-    codes = [c for c in range(sys.maxunicode + 1) if chr(c).isdigit() and not chr(c).isdecimal()]
-    first = [c for c in codes if c - 1 not in codes]
-    last = [c for c in codes if c + 1 not in codes]
-    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(first, last, strict=True))
+def _digits() -> str:
+    """All digits, also superscripts, circled ones and others that aren't decimal, as a regex's class; engines differ in the scripts they know."""
+    codes = [c for c in range(sys.maxunicode + 1) if chr(c).isdigit()]
+    known = set(codes)
+    first, last = [c for c in codes if c - 1 not in known], [c for c in codes if c + 1 not in known]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(first, last, strict=True)) + "]"
 
 
-#: decimal digits of any script and the others
-DIGIT = rf"[\p{{Nd}}{_other_digits()}]"
+DIGIT = _digits()
 
 
 def entropy(value: Column) -> Column:

@@ -31,16 +31,26 @@ def split_all_lines(text: Column) -> Column:
 def scan_lines(lines: DataFrame, secrets: list[Detector] = SECRETS, personal: list[Detector] = PERSONAL) -> DataFrame:
     """`lines`: file, route, line, text and, for notebooks, cell ([Cell i/type] ). Adds found, has_pii, kept side by side on the row."""
     text, route = F.col("text"), F.col("route")
-    notebook = route == "notebook"
     rows = lines.withColumn("fold", folded(text)).withColumn("secret", scan_secrets(text, env_file(F.col("file")), secrets, F.col("fold")))
-    rows = rows.withColumn("high", F.when(F.size("secret") == 0, scan_entropy(text, F.when(notebook, "P-05").otherwise("P-01"))).otherwise(F.array().cast(f"array<{FINDING}>")))
-    rows = rows.withColumn("pii", F.when(route.isin(*PERSONAL_ROUTES), scan_personal(text, personal)).otherwise(F.array().cast(f"array<{FINDING}>")))
-    typed = F.when(route == "ide", retyped(F.col("secret"), F.lit("P-08"))).otherwise(F.col("secret"))
-    found = F.concat(typed, F.col("high"), F.when(notebook, retyped(F.col("pii"), F.lit("P-05"))).otherwise(F.col("pii")))
-    found = F.when(notebook, prefixed(found, F.col("cell"))).otherwise(found)
+    rows = rows.withColumn("pii", personal_of(text, route, personal))
+    found = line_findings(text, route, F.col("cell"), F.col("secret"), F.col("pii"))
     return rows.select("file", "route", "line", (F.size("pii") > 0).alias("has_pii"), found.alias("found"))
 
 
+def personal_of(text: Column, route: Column, personal: list[Detector] = PERSONAL) -> Column:
+    """A line's personal data, on routes that ask for it."""
+    return F.when(route.isin(*PERSONAL_ROUTES), scan_personal(text, personal)).otherwise(F.array().cast(f"array<{FINDING}>"))
+
+
+def line_findings(text: Column, route: Column, cell: Column, secret: Column, pii: Column) -> Column:
+    """All findings of a line, given its secrets and personal data: entropy where no secret is, types and prefixes by the route."""
+    notebook = route == "notebook"
+    high = F.when(F.size(secret) == 0, scan_entropy(text, F.when(notebook, "P-05").otherwise("P-01"))).otherwise(F.array().cast(f"array<{FINDING}>"))
+    typed = F.when(route == "ide", retyped(secret, F.lit("P-08"))).otherwise(secret)
+    found = F.concat(typed, high, F.when(notebook, retyped(pii, F.lit("P-05"))).otherwise(pii))
+    return F.when(notebook, prefixed(found, cell)).otherwise(found)
+
+
 def per_file(scanned: DataFrame) -> DataFrame:
     """A row for each file: lines, lines with personal data, and the lines that have findings.
 

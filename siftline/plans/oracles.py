@@ -217,6 +217,28 @@ def notebook_findings() -> str:
     SELECT file, line, type, severity, match_redacted, cell || description AS description FROM one WHERE n = 1"""
 
 
+def notebook_scan() -> str:
+    """All findings of conversations as notebooks."""
+    return f"""
+    {NOTEBOOK_LINES},
+    secret AS ({_secrets('file, line, cell', 'nb', 'false')}),
+    found AS (
+        SELECT file, line, cell, type, severity, match_redacted, description, entropy, 0 AS phase, 0 AS ord FROM secret
+        UNION ALL SELECT file, line, cell, 'P-05', severity, match_redacted, description, entropy, 1, 0 FROM ({_entropies('file, line, cell', 'nb')}) e WHERE NOT EXISTS (SELECT 1 FROM secret s WHERE s.file = e.file AND s.line = e.line)
+        UNION ALL SELECT file, line, cell, 'P-05', severity, match_redacted, description, 0.0, 2, ord FROM ({_personal('file, line, cell', 'nb')})),
+    one AS (SELECT *, row_number() OVER (PARTITION BY file, line, type ORDER BY phase, ord) AS n FROM found)
+    SELECT file, line, type, severity, match_redacted, cell || description AS description, 'payload' AS source, entropy::DOUBLE AS entropy FROM one WHERE n = 1"""
+
+
+def probe_secrets() -> str:
+    return f"SELECT doc_id::VARCHAR AS target, line, type, match_redacted FROM ({_secrets('doc_id, line', 'lines', 'true')})"
+
+
+#: documents as files of which every third is missing and every third is no notebook
+ERRORS = "SELECT 'n/' || doc_id || (CASE doc_id % 3 WHEN 1 THEN '.ipynb' ELSE '.txt' END) AS file, (CASE doc_id % 3 WHEN 1 THEN 'parse' ELSE 'open' END) AS stage FROM documents WHERE doc_id % 3 <> 2"
+SCAN_ODD = _scan(f"SELECT {_FILE} AS file, line, text FROM ({_numbered('(SELECT * FROM documents WHERE doc_id % 5 <> 0)', 'doc_id', 'text')})")
+
+
 def redact_personal_rows() -> str:
     return " UNION ALL ".join(f"SELECT id, {text(d.name)} AS label, {redact_personal(d, 'text')} AS redacted FROM lines" for d in PERSONAL)
 

@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.functions.detectors import PERSONAL, SECRETS, Detector, java
+from siftline.functions.detectors import PERSONAL, SECRETS, Detector, build_detectors, java
 from siftline.functions.scan import folded, hit, may_match, scan_entropy, scan_personal, scan_secrets
 from siftline.functions.text import LEAST_TOKEN, entropy, half_even, looks_like_value, redact_personal, redact_secret, tokens
 from siftline.operators.findings import binary_findings, deduplicated, density, per_file, scan_lines, split_lines
 from siftline.operators.routing import BINARY, SUPPORTED, basename, env_file, extension, route
 from siftline.plans import oracles as sql
 from siftline.plans import samples
-from siftline.plans.graph import import_chains, patched, reachable, taint
-from siftline.plans.scan import rollup, scan_cells, scan_texts
+from siftline.plans.graph import import_chains, patched, reachable, read_graph, taint
+from siftline.plans.probes import present, secrets_in
+from siftline.plans.scan import rollup, scan_cells, scan_files, scan_texts
+from siftline.plans.shared import shared_path, written
+from siftline.sources.diffs import diff_lines
+from siftline.streaming.scan import scan_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -268,6 +272,128 @@ def scan_documents(spark, sf_dir):
     return scan_texts(_table(spark, sf_dir, "documents"), _file(), F.col("text"))
 
 
+def _files(spark: SparkSession, rows: DataFrame) -> tuple[str, DataFrame]:
+    """Writes `rows` (name, text) as files under a new folder that all tasks see: the folder, and names with their places in it."""
+    folder = shared_path(spark, "files")
+
+    def put(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for name, text in zip(batch["name"], batch["text"], strict=True):
+                path = f"{folder}/{name}"
+                store, inner = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+                store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(inner) as f:
+                    f.write(pa.py_buffer(("" if text is None else text).encode("utf-8", "surrogatepass")))
+            yield batch[["name"]]
+
+    named = written(rows.mapInPandas(put, "name string"), "names")
+    return folder, named.select("name", F.concat(F.lit(folder + "/"), "name").alias("file"))
+
+
+def _inside(df: DataFrame, folder: str) -> DataFrame:
+    """The places of files as names under the folder."""
+    return df.withColumn("file", F.substring("file", len(folder) + 2, 1 << 30))
+
+
+@query(sql.SCAN_DOCUMENTS)
+def scan_paths(spark, sf_dir):
+    """Documents as real files, found by path: opened, decoded, cut into lines and scanned by the tasks."""
+    folder, named = _files(spark, _table(spark, sf_dir, "documents").select(_file().alias("name"), "text"))
+    found, _ = scan_files(spark, named.select(F.lit(0).cast("long").alias("file_ord"), "file"))
+    return _inside(found, folder)
+
+
+@query(sql.ERRORS)
+def scan_errors(spark, sf_dir):
+    """Faults stay with their file: of documents as files every third is missing, and every third no notebook."""
+    d = F.col("doc_id")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    name = F.concat(F.lit("n/"), d.cast("string"), F.when(d % 3 == 1, ".ipynb").otherwise(".txt"))
+    folder, named = _files(spark, docs.filter(d % 3 != 0).select(name.alias("name"), F.concat(F.lit("no notebook: "), F.col("text")).alias("text")))
+    gone = docs.filter(d % 3 == 0).select(F.concat(F.lit(f"{folder}/"), name).alias("file"))
+    _, errors = scan_files(spark, named.select("file").unionByName(gone).select(F.lit(0).cast("long").alias("file_ord"), "file"))
+    return _inside(errors, folder).select("file", "stage")
+
+
+@query(f"SELECT *, row_number() OVER (ORDER BY try_cast(regexp_extract(file, '([0-9]+)', 1) AS BIGINT) DESC, line, type)::BIGINT AS pos FROM ({sql.SCAN_DOCUMENTS})")
+def ordered_findings(spark, sf_dir):
+    """Findings in the order of the paths given, here the largest id first."""
+    from pyspark.sql import Window as W
+
+    paths = _table(spark, sf_dir, "documents").select((-F.col("doc_id")).cast("long").alias("file_ord"), _file().alias("file"))
+    found = scan_documents(spark, sf_dir)
+    # a report in one order is one task's, of findings alone
+    return found.join(paths.groupBy("file").agg(F.min("file_ord").alias("file_ord")), "file").withColumn("pos", F.row_number().over(W.orderBy("file_ord", "line", "type")).cast("long")).drop("file_ord")
+
+
+@query(sql.notebook_scan())
+def scan_notebook_json(spark, sf_dir):
+    """Conversations as notebooks in JSON, a row each, with turns as cells, strings and lists as sources, and outputs."""
+    turn = F.struct("turn", F.struct(F.col("role").alias("cell_type"), F.coalesce("text", F.lit("")).alias("source")).alias("cell"))
+    books = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(turn)), lambda x: x["cell"]).alias("cells"))).alias("text"))
+    return scan_texts(books, F.concat(F.col("conv_id").cast("string"), F.lit(".ipynb")), F.col("text"))
+
+
+@query(f"SELECT DISTINCT file, 0::BIGINT AS line, 'P-06' AS type FROM (SELECT 'lib/' || doc_id || '.jar' AS file FROM documents WHERE doc_id % 5 = 0) UNION ALL SELECT file, line, type FROM ({sql.SCAN_ODD})")
+def scan_mixed_table(spark, sf_dir):
+    """A table whose rows are texts and, every fifth, binaries, which are found by name."""
+    file = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("lib/"), F.col("doc_id").cast("string"), F.lit(".jar"))).otherwise(_file())
+    return scan_texts(_table(spark, sf_dir, "documents"), file, F.col("text")).select("file", "line", "type")
+
+
+@query(sql.SCAN_DOCUMENTS)
+def scan_documents_stream(spark, sf_dir):
+    """The scan as a stream of what is there, written out and read back."""
+    out, docs = shared_path(spark, "stream"), _table(spark, sf_dir, "documents")
+    stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*")
+    found = scan_stream(stream, _file(), F.col("text"))
+    found.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(found.schema).parquet(out)
+
+
+@query(sql.LINES + "SELECT doc_id, line, 'X-01' AS type, 'LOW' AS severity, left(v, 4) || (CASE WHEN length(v) <= 4 THEN '' ELSE '****' END) AS match_redacted FROM (SELECT doc_id, line, regexp_extract(text, '([A-Z][a-z]{7,})\\.$', 1) AS v FROM lines WHERE regexp_matches(text, '([A-Z][a-z]{7,})\\.$'))")
+def own_detectors(spark, sf_dir):
+    """A registry of one's own; a record whose pattern doesn't compile is left out."""
+    own = build_detectors([{"name": "word", "regex": r"([A-Z][a-z]{7,})\.$", "description": "a word", "severity": "LOW", "type": "X-01"}, {"name": "broken", "regex": "(", "description": "", "severity": "LOW", "type": "X-02"}])
+    return _lines(spark, sf_dir).select("doc_id", "line", F.inline(scan_secrets(F.col("text"), detectors=own))).select("doc_id", "line", "type", "severity", "match_redacted")
+
+
+@query("SELECT 'r/' || r_regionkey || '.py' AS file, (r_regionkey + 1)::BIGINT AS line, 'token = \"' || r_name || '\"' AS text FROM region WHERE r_regionkey % 2 = 0 UNION ALL SELECT 'r/' || r_regionkey || '.py', (r_regionkey + 3)::BIGINT, '+ more' FROM region WHERE r_regionkey % 2 = 0")
+def diff_added_lines(spark, sf_dir):
+    """Added lines of a diff, with their numbers in the new file: a hunk for each region, every second one of a picture."""
+    regions = _table(spark, sf_dir, "region").select("r_regionkey", "r_name").orderBy("r_regionkey").collect()  # a diff is one text
+    diff = ""
+    for k, name in regions:
+        path = f"r/{k}.py" if k % 2 == 0 else f"r/{k}.png"
+        diff += f'diff --git a/{path} b/{path}\n--- a/{path}\n+++ b/{path}\n@@ -{k + 1},2 +{k + 1},4 @@\n+token = "{name}"\n kept\n-gone\n++ more\n'
+    return diff_lines(spark, diff).select("file", "line", "text")
+
+
+@query("SELECT 'file-present' AS probe, column0 AS target, column1 AS output FROM (VALUES ('/', 'true'), ('/none/such', 'false')) AS v(column0, column1)")
+def probe_files(spark, sf_dir):
+    return present(spark, ["/", "/none/such"])
+
+
+@query(sql.LINES + sql.probe_secrets())
+def probe_texts(spark, sf_dir):
+    """Secrets in the lines of given files, here documents; detectors of environment files apply."""
+    texts = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("target"), "text")
+    return secrets_in(texts).select("target", "line", "type", "match_redacted")
+
+
+@query("SELECT 'n' || n_nationkey AS id, 'r' || n_regionkey AS file FROM nation")
+def graph_json(spark, sf_dir):
+    """Nodes of a graph file: JSON with an array of nodes and one of edges."""
+    nodes, edges = _graph(spark, sf_dir)
+    path = shared_path(spark, "graph")
+    both = nodes.agg(F.collect_list(F.struct("id", "env", "file")).alias("nodes")).crossJoin(F.broadcast(edges.agg(F.collect_list(F.struct("src", "dst", "edge_type")).alias("edges"))))  # a row each
+    both.select(F.to_json(F.struct("nodes", "edges"))).write.text(path)
+    return read_graph(spark, path)[0].select("id", "file")
+
+
 @query(f"SELECT type, severity, count(*)::BIGINT AS n, count(DISTINCT file)::BIGINT AS n_files FROM ({sql.SCAN_DOCUMENTS}) GROUP BY type, severity")
 def findings_rollup(spark, sf_dir):
     return rollup(scan_documents(spark, sf_dir))
