@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import PAIRS, SIEVE, alike, bounded_batches, cells, id_and_text, runs, sieve, written
+from siftline.llm.common import PAIRS, SIEVE, alike, bounded_batches, cells, discard, id_and_text, runs, sieve, written
 from siftline.llm.components import components
 
 _BLOCK = 1 << 16
@@ -305,9 +305,11 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int =
             yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "fp", "size", "p", "q", "blocks"])
 
     # texts of one set of shingles are one row from here on, so no group of copies is one task's
-    all_ = written(texts.mapInArrow(printed, f"row bigint, doc_id {kind}, fp bigint, size int, p bigint, q bigint, blocks array<bigint>"), "prints")
-    keys = all_.select("fp", "blocks").dropDuplicates(["fp"]).select(F.explode("blocks").alias("k"), "fp")
+    filed = written(texts.mapInArrow(printed, f"row bigint, doc_id {kind}, fp bigint, size int, p bigint, q bigint, blocks array<bigint>"), "prints")
+    all_ = written(filed.drop("blocks"), "rows")
+    keys = filed.select("fp", "blocks").dropDuplicates(["fp"]).select(F.explode("blocks").alias("k"), "fp")
     shared = written(keys.repartition("k").sortWithinPartitions("k", "fp").mapInArrow(_shared, "k bigint, u bigint, v bigint"), "shared")
+    discard(filed)
     single = all_.groupBy("fp").agg(F.min("row").alias("row"), F.min("size").alias("size"), F.min("p").alias("p"), F.min("q").alias("q"))
     held = written(shared.select(F.col("v").alias("fp")).distinct().join(single, "fp"), "held")
 
@@ -346,6 +348,8 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int =
     rows = all_.groupBy("row", "doc_id", "fp").agg(F.count(F.lit(1)).alias("n"))
     ids = all_.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
     rooted = written(ids.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "groups")
+    for done in (shared, held, sets):
+        discard(done)
     firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
     named = rooted.select("fp", "root").join(firsts, "root").select("fp", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row"))
     return rows.join(named, "fp").select("row", "doc_id", "n", "first_id", "first_row")
