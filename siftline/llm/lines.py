@@ -1,4 +1,4 @@
-"""Line deduplication by a segment-partition edit join, and by prefixes of word pairs for passages.
+"""Line deduplication by a segment-partition edit join, and by prefixes of runs of words for passages.
 
 Lines link if few edits (insertions, deletions, substitutions of one character)
 turn one into the other: one for each `each` characters of the longer line, at
@@ -8,7 +8,7 @@ than `each` characters are of one class only if they are equal.
 1. Let t be the edits that a line s allows as the longer one. Each different
    line r is cut into t + 1 segments. If r is within t edits of s, a segment of r
    stands in s unchanged near its place. So r is filed under each segment (with
-   its length, t and the segment's number), for each t that a partner can allow,
+   its length by eights, t and the segment's number), for each t that a partner can allow,
    and s looks up, for each length from its own less t, the few substrings that
    can be such a segment (multi-match-aware choice).
 2. Under a key, a line goes on if it has a partner: looked up against filed,
@@ -19,12 +19,13 @@ than `each` characters are of one class only if they are equal.
 
 Two edits are little in a passage. So lines also link if both have at least
 `PASSAGE` words and at most a tenth of the longer one's words must be inserted,
-deleted or substituted. An edit touches at most two pairs of neighbouring words,
-so of two such lines neither has more than 2 t pairs that the other lacks, t being
-the tenth. So in any one order of all pairs their first common one is among the
-first 2 t + 1 of each, and a line is filed under these, t taken for the longest
-partner it can have. The order is by length, the longest first, as long
-ones are rare, then by hash. Under a key, rows of few lines become pairs, and
+deleted or substituted. An edit touches no two runs of `GRAM` words that don't
+overlap. So a line's runs are taken in one order of all runs until more of them lie
+apart than its longest partner allows edits. One of these is in any partner, too,
+and among those that it takes if it takes as many in the order; else the other
+way round. So a line is filed under the runs that it takes. The order is by hash,
+but runs that many lines of a sample hold come last, as a passage within many
+long lines would. Under a key, rows of few lines become pairs, and
 each pair of lines is compared once; of many lines, each is compared with the
 one that has most partners by counts, and if that doesn't join them all, all of the key's are as in step 3.
 
@@ -54,7 +55,9 @@ from siftline.llm.components import components, joined
 
 EDITS, EACH, MOST = 2, 12, 512
 #: least words of a passage, what part of its words may differ (one in so many), and words to a key
-PASSAGE, PART, GRAM = 20, 10, 2
+PASSAGE, PART, GRAM = 20, 10, 4
+#: texts of the sample, and how many of its passages hold a run of words that comes last as a key
+SAMPLE, OFTEN = 20_000, 6
 _SEEN = 1_000_000
 
 
@@ -86,27 +89,32 @@ def allowed(length: int, edits: int = EDITS, each: int = EACH) -> int:
     return min(edits, length // each)
 
 
-_PLANS: dict[tuple[int, int, int], tuple[list, list]] = {}
+_PLANS: dict[tuple[int, int, int], list] = {}
 
 
-def _plan(n: int, edits: int, each: int) -> tuple[list, list]:
-    """Begin, end and seed of the keys that a line of n characters is filed under, and of those that it looks up."""
+def _plan(n: int, edits: int, each: int) -> list[tuple[int, int, int, int]]:
+    """Begin, end and seed of each key of a line of n characters, and its role: 1 filed, 2 looked up, 3 both.
+
+    Keys hold a line's length by eights, so that most lookups of neighbouring lengths are one.
+    """
     if (n, edits, each) not in _PLANS:
         if len(_PLANS) > 20_000:
             _PLANS.clear()
-        seed = lambda m, t, i: (m * 16 + t) * 16 + i
+        seed = lambda m, t, i: ((m >> 3) * 16 + t) * 16 + i
         of = {t for m in range(n, n + edits + 1) if (t := allowed(m, edits, each)) and m - n <= t}
-        filed = [(at, at + k, seed(n, t, i)) for t in sorted(of) if n > t for i, (at, k) in enumerate(segments(n, t))]
-        t = allowed(n, edits, each)
-        _PLANS[n, edits, each] = filed, [(k, k + w, seed(m, t, i)) for m, i, k, w in lookups(n, t)] if t else []
+        roles: dict[tuple[int, int, int], int] = {(at, at + k, seed(n, t, i)): 1 for t in sorted(of) if n > t for i, (at, k) in enumerate(segments(n, t))}
+        if t := allowed(n, edits, each):
+            for m, i, k, w in lookups(n, t):
+                roles[key] = roles.get(key := (k, k + w, seed(m, t, i)), 0) | 2
+        _PLANS[n, edits, each] = [(*key, role) for key, role in roles.items()]
     return _PLANS[n, edits, each]
 
 
 def keys(line: str, edits: int = EDITS, each: int = EACH) -> tuple[list[int], list[int]]:
     """The keys that a line is filed under, and those that it looks up."""
     of = xxhash.xxh64_intdigest
-    filed, looked = _plan(len(line), edits, each)
-    return [of(line[a:b], s) for a, b, s in filed], [of(line[a:b], s) for a, b, s in looked]
+    plan = _plan(len(line), edits, each)
+    return [of(line[a:b], s) for a, b, s, role in plan if role & 1], [of(line[a:b], s) for a, b, s, role in plan if role & 2]
 
 
 def bags(lines: list[str]) -> np.ndarray:
@@ -193,36 +201,63 @@ def _forest(lines: list[str], filed: np.ndarray, looked: np.ndarray, edits: int,
 
 
 def _word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
-    """The words' hashes, the lowest byte replaced: words sort by length, the longest first, then by hash."""
+    """The words' hashes; `known` keeps those of words that come again."""
     if len(known) > _SEEN:
         known.clear()
     of = xxhash.xxh64_intdigest
-    fresh = lambda w: of(w, 42) >> 8 | (255 - min(len(w), 255)) << 56
-    return np.fromiter((known[w] if w in known else known.setdefault(w, fresh(w)) for w in words), np.uint64, len(words))
-
-
-def passage_keys(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of passages, given all their words' hashes and how many words each has, and whose key each is."""
-    x, of = h, np.repeat(np.arange(len(n)), n)
-    if GRAM > 1:
-        ends = np.cumsum(n)
-        inner = np.ones(len(h), bool)
-        length = np.uint64(255) - (h >> np.uint64(56))
-        for i in range(1, GRAM):
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + np.roll(h, -i)
-            length = length + np.uint64(255) - (np.roll(h, -i) >> np.uint64(56))
-            inner[ends - i] = False
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (np.uint64(255) - np.minimum(length, np.uint64(255))) << np.uint64(56) | (x ^ (x >> np.uint64(29))) >> np.uint64(8)
-        x, of = x[inner], of[inner]
+    return np.fromiter((known[w] if w in known else known.setdefault(w, of(w, 42)) for w in words), np.uint64, len(words))
+
+
+def _apart(at: np.ndarray, whose: np.ndarray, lines: np.ndarray, enough: np.ndarray) -> np.ndarray:
+    """Which of `lines` have at least `enough` runs of GRAM words, beginning at the sorted places `at`, that don't overlap."""
+    count = np.zeros(len(lines), np.int64)
+    i = np.searchsorted(whose, lines)
+    stop = np.searchsorted(whose, lines, "right")
+    going = np.flatnonzero(i < stop)
+    while len(going):  # the next one that begins behind the last one's end: no choice has more
+        count[going] += 1
+        going = going[count[going] < enough[going]]
+        i[going] = np.searchsorted(at, at[i[going]] + GRAM)
+        going = going[i[going] < stop[going]]
+    return count >= enough
+
+
+def _grams(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places and hashes of all runs of GRAM words within passages, given their words' hashes."""
+    x, ends, inner = h, np.cumsum(n), np.ones(len(h), bool)
+    for i in range(1, GRAM):
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + np.roll(h, -i)
+        inner[ends - i] = False
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    at = np.flatnonzero(inner)
+    return at, (x ^ (x >> np.uint64(29)))[at]
+
+
+def passage_keys(h: np.ndarray, n: np.ndarray, often: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of passages, given all their words' hashes and how many words each has, and whose key each is. `often`: a sieve of the runs that come last."""
+    at, x = _grams(h, n)
+    of = np.repeat(np.arange(len(n)), n)[at]
+    last = np.uint64(0)
+    if often is not None:
+        place = x.view(np.int64) % SIEVE
+        last = (often.view(np.uint64)[place // 64] >> (place % 64).astype(np.uint64)) << np.uint64(63)
+    x = x >> np.uint64(1) | last
+    # the longest partner has n * PART / (PART - 1) words
+    enough, found, left, share = n // (PART - 1) + 1, [], np.ones(len(n), bool), 0.5 / (PART - GRAM)
+    while left.any():
+        low, lines = np.flatnonzero(x <= np.uint64(share * 2**64)) if share < 1 else np.arange(len(x)), np.flatnonzero(left)
+        done = np.zeros(len(n), bool)
+        done[lines[_apart(at[low], of[low], lines, enough[lines])] if share < 1 else lines] = True
+        taken = low[done[of[low]]]
+        found.append((x[taken], of[taken]))
+        left &= ~done
+        rest = left[of]
+        at, x, of, share = at[rest], x[rest], of[rest], share * 1.25
+    x, of = (np.concatenate(c) for c in zip(*found, strict=True))
     order = np.lexsort((x, of))
     x, of = x[order], of[order]
     new = np.concatenate([[True], (x[1:] != x[:-1]) | (of[1:] != of[:-1])])
-    x, of = x[new], of[new]
-    rank = np.arange(len(x)) - np.searchsorted(of, np.arange(len(n)))[of]
-    # the longest partner has n * PART / (PART - 1) words
-    first = rank < (GRAM * (n // (PART - 1)) + 1)[of]
-    return x[first], of[first]
+    return x[new], of[new]
 
 
 def _word_bags(h: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -232,34 +267,66 @@ def _word_bags(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (counts.astype(np.uint64) << (4 * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
 
 
+def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The hashes of passages, of all their words, and how many words each has; a task says a passage's once as far as it remembers."""
+    seen: set[int] = set()
+    known: dict[str, int] = {}
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            all_, own, n = [], [], []
+            for text in batch.column(0).slice(at, 200).to_pylist():
+                for line in text.split("\n"):
+                    if len(line) < 2 * PASSAGE - 1 or (h := xxhash.xxh64_intdigest(line, 42)) in seen:
+                        continue
+                    seen = set() if len(seen) > _SEEN else seen
+                    seen.add(h)
+                    if len(words := line.split()) >= PASSAGE:
+                        all_ += words
+                        own.append(h)
+                        n.append(len(words))
+            if own:
+                yield np.array(own, np.uint64), _word_hashes(all_, known), np.array(n, np.int64)
+
+
+def _often(texts: DataFrame) -> np.ndarray:
+    """A sieve of the runs of words that `OFTEN` passages of a sample hold. It only says which come last, for all passages alike, so no link depends on it."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, of, n in _worded(batches):
+            x, times = np.unique(_grams(of, n)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(times)], names=["h", "n"])
+
+    one_in = texts.count() // SAMPLE
+    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0) if one_in > 1 else texts
+    return sieve(some.mapInArrow(rows, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN))
+
+
 def _passages(texts: DataFrame) -> DataFrame:
-    """k, h, bag, n (words) of each passage; a task says a passage's once as far as it remembers."""
+    """k, h, bag, n (words) of each passage."""
+    often = _often(texts)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        known: dict[str, int] = {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                all_, own, n = [], [], []
-                for text in batch.column(0).slice(at, 200).to_pylist():
-                    for line in text.split("\n"):
-                        if len(line) < 2 * PASSAGE - 1 or (h := xxhash.xxh64_intdigest(line, 42)) in seen:
-                            continue
-                        seen = set() if len(seen) > _SEEN else seen
-                        seen.add(h)
-                        if len(words := line.split()) >= PASSAGE:
-                            all_ += words
-                            own.append(h)
-                            n.append(len(words))
-                if own:
-                    of, many = _word_hashes(all_, known), np.array(n, np.int64)
-                    k, whose = passage_keys(of, many)
-                    big = lambda x: pa.array(x.view(np.int64))
-                    yield pa.RecordBatch.from_arrays([big(k), big(np.array(own, np.uint64)[whose]), big(_word_bags(of, many)[whose]), pa.array(many[whose].astype(np.int32))], names=["k", "h", "bag", "n"])
+        big = lambda x: pa.array(x.view(np.int64))
+        for own, of, n in _worded(batches):
+            k, whose = passage_keys(of, n, often)
+            yield pa.RecordBatch.from_arrays([big(k), big(own[whose]), big(_word_bags(of, n)[whose]), pa.array(n[whose].astype(np.int32))], names=["k", "h", "bag", "n"])
 
     return texts.mapInArrow(rows, "k bigint, h bigint, bag bigint, n int")
 
 
+def _larger(batches: Iterator[pa.RecordBatch], least: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least `least`, but for the last."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= least:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _near_passages(most: int):
     """Of the rows under a key those that have a partner by their counts of words: pairs u, v under few rows, else k, u and v, the one with most partners.
 
@@ -294,7 +361,7 @@ def _near_passages(most: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, hot = None, None
-        for batch in batches:
+        for batch in _larger(batches):
             if not batch.num_rows:
                 continue
             new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -348,11 +415,13 @@ def _passage_forest(lines: list[str], label: np.ndarray) -> Iterator[tuple[int,
     words, parts, label = _Words(), [x.split() for x in lines], label.copy()
     said = [words.said(x) for x in lines]
     lengths = np.array([len(p) for p in parts])
-    counts = _nibbles(_word_bags(_word_hashes([w for p in parts for w in p], known), lengths))[:, 1:]
+    classes = np.repeat(np.arange(len(lines)) * 256, lengths) + (_word_hashes([w for p in parts for w in p], known) & np.uint64(255)).astype(np.int64)
+    # fewer than there are only make passages look nearer
+    counts = np.minimum(np.bincount(classes, minlength=256 * len(lines)), 1 << 14).astype(np.int16).reshape(-1, 256)
     for i in range(len(lines) - 1):
         t = np.maximum(lengths[i], lengths[i + 1 :]) // PART
         places = np.flatnonzero((label[i + 1 :] != label[i]) & (np.abs(lengths[i] - lengths[i + 1 :]) <= t))
-        places = places[_far(counts[i], counts[i + 1 + places]) <= 2 * t[places]]
+        places = places[np.abs(counts[i + 1 + places] - counts[i]).sum(axis=1, dtype=np.int32) <= 2 * t[places]]
         for j in (places + i + 1).tolist():
             if label[j] != label[i] and within(said[i], said[j], int(max(lengths[i], lengths[j])) // PART):
                 yield i, j
@@ -360,7 +429,7 @@ def _passage_forest(lines: list[str], label: np.ndarray) -> Iterator[tuple[int,
 
 
 def _filed(texts: DataFrame, edits: int, each: int) -> DataFrame:
-    """k, h, bag of each line, the bag's lowest bits 0 if filed and 1 if looked up; a task says a line's once as far as it remembers."""
+    """k, h, bag of each line, the bag's lowest bits its role under k; a task says a line's once as far as it remembers."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -369,7 +438,7 @@ def _filed(texts: DataFrame, edits: int, each: int) -> DataFrame:
                 new: dict[int, str] = {}
                 for text in batch.column(0).slice(at, 200).to_pylist():
                     for line in text.split("\n"):
-                        if any(_plan(len(line), edits, each)):
+                        if _plan(len(line), edits, each):
                             new[xxhash.xxh64_intdigest(line, 42)] = line
                 for h in seen.intersection(new):
                     del new[h]
@@ -377,17 +446,14 @@ def _filed(texts: DataFrame, edits: int, each: int) -> DataFrame:
                     continue
                 seen = set() if len(seen) > _SEEN else seen
                 seen.update(new)
-                k, n_filed, n_looked = [], [], []
+                of, k, role, times = xxhash.xxh64_intdigest, [], [], []
                 for line in new.values():
-                    filed, looked = keys(line, edits, each)
-                    k += filed
-                    k += looked
-                    n_filed.append(len(filed))
-                    n_looked.append(len(looked))
-                times = np.array(n_filed) + np.array(n_looked)
-                role = np.repeat(np.tile(np.array([0, 1], np.uint64), len(new)), np.stack([n_filed, n_looked], axis=1).ravel())
+                    plan = _plan(len(line), edits, each)
+                    k += [of(line[a:b], s) for a, b, s, _ in plan]
+                    role += [r for *_, r in plan]
+                    times.append(len(plan))
                 big = lambda x: pa.array(x.view(np.int64))
-                yield pa.RecordBatch.from_arrays([big(np.array(k, np.uint64)), big(np.repeat(np.fromiter(new, np.uint64, len(new)), times)), big(np.repeat(bags(list(new.values())), times) | role)], names=["k", "h", "bag"])
+                yield pa.RecordBatch.from_arrays([big(np.array(k, np.uint64)), big(np.repeat(np.fromiter(new, np.uint64, len(new)), times)), big(np.repeat(bags(list(new.values())), times) | np.array(role, np.uint64))], names=["k", "h", "bag"])
 
     return texts.mapInArrow(rows, "k bigint, h bigint, bag bigint")
 
@@ -400,25 +466,29 @@ def _partnered(tau: int, most: int):
         return pa.RecordBatch.from_arrays([pa.array(one[0]), pa.array(one[1]), pa.array(one[2].astype(np.int8))], names=["k", "h", "role"])
 
     def picked(k: np.ndarray, h: np.ndarray, bag: np.ndarray) -> Iterator[pa.RecordBatch]:
-        role = bag & 15
-        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        stops = np.append(starts[1:], len(k))
-        can = (np.minimum.reduceat(h, starts) < np.maximum.reduceat(h, starts)) & (np.minimum.reduceat(role, starts) < np.maximum.reduceat(role, starts))
-        for a, b in zip(starts[can].tolist(), stops[can].tolist(), strict=True):
-            rows = np.unique(np.stack([h[a:b], role[a:b], bag[a:b]]), axis=1)
-            own, how, of = rows[0], rows[1], _nibbles(rows[2])[:, 1:]
-            keep, filed = np.zeros(len(own), bool), np.flatnonzero(how == 0)
-            for i in np.flatnonzero(how == 1).tolist():
-                near = filed[(_far(of[i], of[filed]) <= 2 * tau) & (own[filed] != own[i])]
-                if len(near):
-                    keep[i] = True
-                    keep[near] = True
-            if keep.any():
-                yield said(np.full(int(keep.sum()), k[a]), own[keep], how[keep])
+        again = np.concatenate([[False], k[1:] == k[:-1], [False]])
+        k, h, bag = (x[again[1:] | again[:-1]] for x in (k, h, bag))
+        if not len(k):
+            return
+        order = np.lexsort((h, k))
+        k, h, bag = k[order], h[order], bag[order]
+        one = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])]))
+        role = np.bitwise_or.reduceat(bag & 15, one)
+        k, h, of = k[one], h[one], _nibbles(bag[one])[:, 1:]
+        keep, i, d = np.zeros(len(k), bool), np.arange(len(k) - 1), 1
+        while len(i := i[i + d < len(k)]) and len(i := i[k[i] == k[i + d]]):  # each row with the d-th after it
+            near = i[((role[i] & 1) & (role[i + d] >> 1) | (role[i] >> 1) & (role[i + d] & 1)) > 0]
+            gap = np.abs(of[near] - of[near + d])
+            near = near[np.minimum(gap, 16 - gap).sum(axis=1, dtype=np.int32) <= 2 * tau]
+            keep[near] = True
+            keep[near + d] = True
+            d += 1
+        if keep.any():
+            yield said(k[keep], h[keep], role[keep])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, hot = [np.zeros(0, np.int64)] * 3, None
-        for batch in batches:
+        for batch in _larger(batches):
             held = [np.concatenate([a, c.to_numpy(zero_copy_only=False)]) for a, c in zip(held, batch.columns, strict=True)]
             k = held[0]
             cut = int(np.searchsorted(k, k[-1])) if len(k) else 0
@@ -468,7 +538,7 @@ def links(docs: DataFrame, edits: int = EDITS, each: int = EACH, most: int = MOS
     held = written(_texts_of(texts, under.select("h").distinct(), max(1, each - edits)), "held")
 
     def near(own: np.ndarray, h: np.ndarray, role: np.ndarray, lines: list[str]) -> Iterator[tuple[int, int]]:
-        return _forest(lines, np.isin(own, h[role == 0]), np.isin(own, h[role == 1]), edits, each)
+        return _forest(lines, np.isin(own, h[(role & 1) > 0]), np.isin(own, h[(role & 2) > 0]), edits, each)
 
     return _compared(under.join(held, "h").withColumnRenamed("role", "mark"), most, near)
 

@@ -330,6 +330,36 @@ def test_line_classes(spark, odd):
     assert kept[6].text == "" and kept[5].text == ODD[6][1] and kept[5]["__row"] == "z" and lines.classes(odd.limit(0)).count() == 0 and lines.deduplicated(odd.limit(0)).count() == 0
 
 
+def test_passage_keys_meet_in_any_order():
+    """Passages of at most a tenth of changed words share a key, whichever runs of words come last."""
+    rng, known, met = random.Random(14), {}, 0
+    for i in range(400):
+        words = [str(w) for w in range(rng.choice((2, 5, 50, 3000)))]
+        base = [rng.choice(words) for _ in range(rng.randint(20, 140))]
+        other = base[:]
+        for _ in range(rng.randint(0, len(base) // 9 + 1)):
+            at, how = rng.randrange(len(other)), rng.random()
+            other[at : at + 1] = [rng.choice(words)] if how < 0.5 else [] if how < 0.75 else [other[at], rng.choice(words)]
+        if len(other) >= 20 and distance(base, other) <= max(len(base), len(other)) // 10:
+            often = np.tile(np.array([rng.getrandbits(64) & rng.getrandbits(64) for _ in range(64)], np.uint64).view(np.int64), lines.SIEVE // 4096)
+            k, whose = lines.passage_keys(lines._word_hashes(base + other, known), np.array([len(base), len(other)]), often if i % 2 else None)
+            assert set(k[whose == 0]) & set(k[whose == 1])
+            met += 1
+    assert met > 200
+
+
+def test_a_passage_within_many_lines_is_no_key(spark):
+    """Lines that merely hold a passage aren't filed under it, so rows and pairs under keys don't grow with the square of such lines."""
+    rng = random.Random(15)
+    word = lambda a, b: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(a, b)))
+    passage, rows = [word(12, 16) for _ in range(15)], []
+    for i in range(120):
+        own = [word(5, 9) for _ in range(60)]
+        rows.append((i, " ".join(own[:30] + passage + own[30:])))
+    keys = lines._passages(spark.createDataFrame(rows, "doc_id bigint, text string").select("text")).groupBy("k").count()
+    assert max(r["count"] for r in keys.collect()) < 10
+
+
 def test_passages_with_changed_words(spark):
     rng = random.Random(13)
     vocabulary = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 9))) for _ in range(600)]
