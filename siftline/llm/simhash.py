@@ -56,6 +56,8 @@ from siftline.llm.common import PAIRS, SIEVE, alike, bounded_batches, cells, dis
 from siftline.llm.components import components
 
 _BLOCK = 1 << 16
+#: most sets of shingles that a task remembers
+_SEEN = 1_000_000
 #: texts of fewer shingles than this have each as a class; the next levels are longer by half each
 LEAST_LEVEL = 9
 #: most bits of 128 in which near-copies differ: at 0.8 they differ in 19.4 with a deviation of 4.1 (24 and 4.4 for 4 against 5 shingles)
@@ -217,7 +219,7 @@ def wide_blocks(h: np.ndarray, similarity: float = 0.8) -> np.ndarray:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (k, fp) sorted by both and all different, those whose key others share: k, u (the key's first), v. Holds a batch and a row."""
+    """Of rows (k, fp) sorted by both, those whose key others share, each once: k, u (the key's first), v. Holds a batch and a row."""
     held = first = None
     for batch in batches:
         if not batch.num_rows:
@@ -225,6 +227,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         if held is not None:
             k, fp = np.append(held[0], k), np.append(held[1], fp)
+        new = np.append(True, (k[1:] != k[:-1]) | (fp[1:] != fp[:-1]))
+        k, fp = k[new], fp[new]
         same = np.append(held is not None and held[2], k[1:] == k[:-1])  # as the row before
         place = np.maximum.accumulate(np.where(same, 0, np.arange(len(k))))
         u = fp[place]
@@ -292,6 +296,7 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int =
     texts = narrow.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             own, size, prints, blocks = [], [], [], []
             for text in batch.column(2).to_pylist():
@@ -299,7 +304,10 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int =
                 own.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
                 size.append(len(h))
                 prints.append([int(_majorities(_mixed(h, i), np.zeros(1, int))[0]) if len(h) else 0 for i in (0, 1)])
-                blocks.append(wide_blocks(h, similarity).view(np.int64) if len(h) else np.zeros(0, np.int64))
+                # a task files a set once as far as it remembers, so neither copies nor all blocks need a shuffle to be told apart
+                blocks.append(wide_blocks(h, similarity).view(np.int64) if len(h) and own[-1] not in seen else np.zeros(0, np.int64))
+                seen = set() if len(seen) > _SEEN else seen
+                seen.add(own[-1])
             p = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
             columns = [batch.column(0), batch.column(1), pa.array(np.array(own, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(blocks, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "fp", "size", "p", "q", "blocks"])
@@ -307,7 +315,7 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int =
     # texts of one set of shingles are one row from here on, so no group of copies is one task's
     filed = written(texts.mapInArrow(printed, f"row bigint, doc_id {kind}, fp bigint, size int, p bigint, q bigint, blocks array<bigint>"), "prints")
     all_ = written(filed.drop("blocks"), "rows")
-    keys = filed.select("fp", "blocks").dropDuplicates(["fp"]).select(F.explode("blocks").alias("k"), "fp")
+    keys = filed.select(F.explode("blocks").alias("k"), "fp")
     shared = written(keys.repartition("k").sortWithinPartitions("k", "fp").mapInArrow(_shared, "k bigint, u bigint, v bigint"), "shared")
     discard(filed)
     single = all_.groupBy("fp").agg(F.min("row").alias("row"), F.min("size").alias("size"), F.min("p").alias("p"), F.min("q").alias("q"))

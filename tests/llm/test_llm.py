@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -246,6 +247,19 @@ def test_near_copies(spark, most):
     assert got == want and 60 < len(set(want.values())) < len(want) - 60
 
 
+def test_shared_keys_of_repeated_rows():
+    """Tasks file equal texts each, so rows (k, fp) may repeat, also across batches; each comes out once, and only where a key has others."""
+    rng = random.Random(16)
+    rows = sorted((rng.randrange(40), rng.randrange(6)) for _ in range(150)) + [(90, 1)] * 9 + [(91, 2)] * 9 + [(91, 3)] * 9
+    of = defaultdict(set)
+    for k, fp in rows:
+        of[k].add(fp)
+    want = sorted((k, min(fps), fp) for k, fps in of.items() if len(fps) > 1 for fp in fps)
+    for size in (1, 2, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], names=["k", "fp"]) for i in range(0, len(rows), size)]
+        assert sorted(r for b in simhash._shared(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)) == want
+
+
 def test_near_copies_of_odd_rows(spark, odd):
     out = simhash.deduplicated(odd)
     assert out.columns == odd.columns
