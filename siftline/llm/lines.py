@@ -11,11 +11,10 @@ than `each` characters are of one class only if they are equal.
    its length by eights, t and the segment's number), for each t that a partner can allow,
    and s looks up, for each length from its own less t, the few substrings that
    can be such a segment (multi-match-aware choice).
-2. Under a key, a line goes on if it has a partner: looked up against filed,
-   and counts of characters no further apart than so many edits can bring them.
-3. The lines that go on get their texts, and each key's are compared by banded
-   bit-parallel edit distance. A spanning forest of the links goes to
-   `components`: a line already in a partner's component isn't compared again.
+2. Under a key, pairs go on of a line that looks it up and one filed, if their lengths
+   and counts of characters are no further apart than so many edits can bring them.
+3. The lines that go on get their texts, and each pair is compared once by banded
+   bit-parallel edit distance.
 
 Two edits are little in a passage. So lines also link if both have at least
 `PASSAGE` words and at most a tenth of the longer one's words must be inserted,
@@ -25,9 +24,17 @@ apart than its longest partner allows edits. One of these is in any partner, too
 and among those that it takes if it takes as many in the order; else the other
 way round. So a line is filed under the runs that it takes. The order is by hash,
 but runs that many lines of a sample hold come last, as a passage within many
-long lines would. Under a key, rows of few lines become pairs, and
-each pair of lines is compared once; of many lines, each is compared with the
-one that has most partners by counts, and if that doesn't join them all, all of the key's are as in step 3.
+long lines would. An edit of a character changes at most two words, so links of lines
+of many words are all of this kind, and those aren't filed by characters.
+
+Under a key, of either kind, rows of few lines become pairs, and each pair of lines is
+compared once; of many lines, each is compared with the one that has most partners by
+counts, and if that doesn't join them all, all of the key's are. A spanning forest of
+the links goes to `components`: a line already in a partner's component isn't compared again.
+
+Keys are dealt by hash into parts in the tasks that make them, so a row that is
+shuffled holds many keys, and a part is sorted by the task that gets it. A key of so
+many lines that a part outgrows its task goes on as it is.
 
 A key with more than `most` lines, or with very long ones, is split into parts by
 hash; each pair of parts is compared on its own, so no pair is lost.
@@ -42,15 +49,18 @@ are told apart by 64-bit hashes and their lengths.
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
-from siftline.llm.common import PAIRS, SIEVE, bounded_batches, cells, id_and_text, runs, sieve, written
+from siftline.llm.common import PAIRS, SIEVE, bounded_batches, id_and_text, shuffle_parts, sieve, written
 from siftline.llm.components import components, joined
 
 EDITS, EACH, MOST = 2, 12, 512
@@ -58,7 +68,10 @@ EDITS, EACH, MOST = 2, 12, 512
 PASSAGE, PART, GRAM = 20, 10, 4
 #: texts of the sample, and how many of its passages hold a run of words that comes last as a key
 SAMPLE, OFTEN = 20_000, 6
-_SEEN = 1_000_000
+#: bytes of texts to a part of the keys, and rows of keys that a task holds before it deals them out
+PART_BYTES, HELD = 8 << 20, 1 << 19
+_ROW = np.dtype([("k", "<i8"), ("h", "<i8"), ("bag", "<i8"), ("n", "<i4")])
+_SEEN, _BLANK = 1_000_000, re.compile(r"\s")
 
 
 def segments(length: int, tau: int) -> list[tuple[int, int]]:
@@ -89,11 +102,14 @@ def allowed(length: int, edits: int = EDITS, each: int = EACH) -> int:
     return min(edits, length // each)
 
 
-_PLANS: dict[tuple[int, int, int], list] = {}
+#: odd, so that it has an inverse; its powers, and their inverses, weigh a text's characters by place
+_BASE, _WIDE, _LOT = 0xD6E8FEB86659FD93, 4096, 1 << 15
+_POWERS, _INVERSES = (np.multiply.accumulate(np.array([1] + [x] * (8 * _LOT), np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+_PLANS: dict[tuple[int, int, int], np.ndarray] = {}
 
 
-def _plan(n: int, edits: int, each: int) -> list[tuple[int, int, int, int]]:
-    """Begin, end and seed of each key of a line of n characters, and its role: 1 filed, 2 looked up, 3 both.
+def _plan(n: int, edits: int, each: int) -> np.ndarray:
+    """Begin, end, seed and role of each key of a line of n characters, in four rows; role: 1 filed, 2 looked up, 3 both.
 
     Keys hold a line's length by eights, so that most lookups of neighbouring lengths are one.
     """
@@ -106,21 +122,58 @@ def _plan(n: int, edits: int, each: int) -> list[tuple[int, int, int, int]]:
         if t := allowed(n, edits, each):
             for m, i, k, w in lookups(n, t):
                 roles[key] = roles.get(key := (k, k + w, seed(m, t, i)), 0) | 2
-        _PLANS[n, edits, each] = [(*key, role) for key, role in roles.items()]
+        _PLANS[n, edits, each] = np.array([(*key, role) for key, role in roles.items()], np.int64).reshape(-1, 4).T
     return _PLANS[n, edits, each]
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for shift, by in ((32, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return x ^ (x >> np.uint64(32))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _long_hash(text: str) -> int:
+    """As `_line_keys` hashes a segment, for those of long lines."""
+    if len(text) > _WIDE:
+        return xxhash.xxh64_intdigest(text, 42)
+    return int((_codes(text) * _POWERS[: len(text)]).sum(dtype=np.uint64))
+
+
+def _line_keys(lines: list[str], edits: int, each: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All lines' keys, their roles, and how many each line has: a segment's hash is a difference of two sums over its line's beginnings."""
+    plans = [_plan(len(x), edits, each) for x in lines]
+    times = np.array([p.shape[1] for p in plans], np.int64)
+    plan = np.concatenate(plans, axis=1) if plans else np.zeros((4, 0), np.int64)
+    lengths = np.array([len(x) for x in lines], np.int64)
+    short = lengths <= _WIDE
+    inner = np.where(short, lengths, 0)
+    starts = np.cumsum(inner) - inner
+    place = np.arange(int(inner.sum())) - np.repeat(starts, inner)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_codes("".join(x for x in lines if len(x) <= _WIDE)) * _POWERS[place], dtype=np.uint64)])
+    whole, base = np.repeat(short, times), np.repeat(starts, times)
+    begin, end = (np.where(whole, x, 0) for x in plan[:2])
+    x = (sums[base + end] - sums[base + begin]) * _INVERSES[begin]
+    if not whole.all():
+        whose = np.repeat(np.arange(len(lines)), times)
+        for i in np.flatnonzero(~whole).tolist():
+            x[i] = _long_hash(lines[whose[i]][plan[0, i] : plan[1, i]])
+    return _mixed(x ^ _mixed(plan[2].astype(np.uint64) + np.uint64(1))), plan[3], times
+
+
 def keys(line: str, edits: int = EDITS, each: int = EACH) -> tuple[list[int], list[int]]:
     """The keys that a line is filed under, and those that it looks up."""
-    of = xxhash.xxh64_intdigest
-    plan = _plan(len(line), edits, each)
-    return [of(line[a:b], s) for a, b, s, role in plan if role & 1], [of(line[a:b], s) for a, b, s, role in plan if role & 2]
+    k, role, _ = _line_keys([line], edits, each)
+    return k[(role & 1) > 0].tolist(), k[(role & 2) > 0].tolist()
 
 
 def bags(lines: list[str]) -> np.ndarray:
     """For each line the counts of its characters in 15 classes, modulo 16, four bits each; the lowest four bits are free."""
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
+    codes = _codes("".join(lines))
     # the multiplication spreads neighbouring characters over the classes
     of = ((codes * np.uint32(2654435761)) >> np.uint32(16)) % np.uint32(15) + 1
     counts = np.bincount(np.repeat(np.arange(len(lines)) * 16, lengths) + of, minlength=16 * len(lines)).reshape(-1, 16) & 15
@@ -184,15 +237,14 @@ def within(a: str, b: str, tau: int) -> bool:
     return distance <= tau
 
 
-def _forest(lines: list[str], filed: np.ndarray, looked: np.ndarray, edits: int, each: int) -> Iterator[tuple[int, int]]:
-    """Links, as pairs of places, that join what all links between looked-up and filed lines join."""
-    counts = _nibbles(bags(lines))
+def _forest(lines: list[str], label: np.ndarray, edits: int, each: int) -> Iterator[tuple[int, int]]:
+    """Links, as pairs of places, that join what all links by edits of characters join, but for what the labels say is joined."""
+    counts, label = _nibbles(bags(lines)), label.copy()
     lengths = np.array([len(x) for x in lines])
-    label = np.arange(len(lines))
-    for i in np.flatnonzero(looked).tolist():
-        tau = allowed(int(lengths[i]), edits, each)
-        near = filed & (label != label[i]) & (lengths <= lengths[i]) & (lengths >= lengths[i] - tau)
-        places = np.flatnonzero(near)
+    for i in range(len(lines)):
+        if not (tau := allowed(int(lengths[i]), edits, each)):
+            continue
+        places = np.flatnonzero((label != label[i]) & (lengths <= lengths[i]) & (lengths >= lengths[i] - tau))
         places = places[_far(counts[i], counts[places]) <= 2 * tau]
         for j in places.tolist():
             if label[j] != label[i] and within(lines[i], lines[j], tau):
@@ -208,16 +260,67 @@ def _word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
     return np.fromiter((known[w] if w in known else known.setdefault(w, of(w, 42)) for w in words), np.uint64, len(words))
 
 
+#: characters that part words: those of one byte, and all others
+_SPACE, _FAR_SPACE = np.array([chr(i).isspace() and i < 128 for i in range(256)]), [chr(i) for i in range(128, 0x3001) if chr(i).isspace()]
+
+
+def _pieces(lines: list[str]) -> Iterator[str]:
+    """The lines, each with its end, joined to pieces of about `_LOT` characters that end between words."""
+    held, n = [], 0
+    for line in lines:
+        at = 0
+        while len(line) - at > _LOT and (end := _BLANK.search(line, at + _LOT)):
+            held.append(line[at : end.start() + 1])
+            yield "".join(held)
+            held, n, at = [], 0, end.start() + 1
+        held.append(line[at:] + "\n")
+        n += len(line) - at + 1
+        if n > _LOT:
+            yield "".join(held)
+            held, n = [], 0
+    if held:
+        yield "".join(held)
+
+
+def _word_sum(word: np.ndarray) -> int:
+    """As `_words` sums a word's bytes, for words longer than a piece."""
+    return sum(int((word[i : i + _LOT] * _POWERS[: len(word[i : i + _LOT])]).sum(dtype=np.uint64)) * pow(_BASE, i, 1 << 64) for i in range(0, len(word), _LOT)) % (1 << 64)
+
+
+def _words(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of lines, as `str.split` cuts them, and how many each line has."""
+    hashes, counts, open_ = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for piece in _pieces(lines):
+        if not piece.isascii():
+            for x in _FAR_SPACE:
+                piece = piece.replace(x, " ")
+        codes = np.frombuffer(piece.encode("utf-8", "surrogatepass"), np.uint8)
+        space = np.concatenate([[True], _SPACE[codes], [True]])
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        begin, end = edges[::2], edges[1::2]
+        if len(codes) < len(_POWERS):
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(codes * _POWERS[: len(codes)], dtype=np.uint64)])
+            hashes.append(_mixed((sums[end] - sums[begin]) * _INVERSES[begin]))
+        else:
+            hashes.append(_mixed(np.array([_word_sum(codes[i:j]) for i, j in zip(begin.tolist(), end.tolist(), strict=True)], np.uint64)))
+        # a line may go on from the piece before
+        before = np.searchsorted(begin, np.flatnonzero(codes == 10))
+        counts.append(np.diff(before, prepend=-open_))
+        open_ = len(begin) - int(before[-1]) if len(before) else open_ + len(begin)
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
 def _apart(at: np.ndarray, whose: np.ndarray, lines: np.ndarray, enough: np.ndarray) -> np.ndarray:
     """Which of `lines` have at least `enough` runs of GRAM words, beginning at the sorted places `at`, that don't overlap."""
     count = np.zeros(len(lines), np.int64)
     i = np.searchsorted(whose, lines)
     stop = np.searchsorted(whose, lines, "right")
+    after = np.searchsorted(at, at + GRAM)
     going = np.flatnonzero(i < stop)
     while len(going):  # the next one that begins behind the last one's end: no choice has more
         count[going] += 1
         going = going[count[going] < enough[going]]
-        i[going] = np.searchsorted(at, at[i[going]] + GRAM)
+        i[going] = after[i[going]]
         going = going[i[going] < stop[going]]
     return count >= enough
 
@@ -267,123 +370,226 @@ def _word_bags(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (counts.astype(np.uint64) << (4 * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
 
 
-def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The hashes of passages, of all their words, and how many words each has; a task says a passage's once as far as it remembers."""
+def _different(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[dict[int, str]]:
+    """Lines of at least `least` characters by their hashes, some texts' at a time; a task says a line once as far as it remembers."""
     seen: set[int] = set()
-    known: dict[str, int] = {}
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
-            all_, own, n = [], [], []
-            for text in batch.column(0).slice(at, 200).to_pylist():
-                for line in text.split("\n"):
-                    if len(line) < 2 * PASSAGE - 1 or (h := xxhash.xxh64_intdigest(line, 42)) in seen:
-                        continue
-                    seen = set() if len(seen) > _SEEN else seen
-                    seen.add(h)
-                    if len(words := line.split()) >= PASSAGE:
-                        all_ += words
-                        own.append(h)
-                        n.append(len(words))
-            if own:
-                yield np.array(own, np.uint64), _word_hashes(all_, known), np.array(n, np.int64)
-
-
-def _often(texts: DataFrame) -> np.ndarray:
-    """A sieve of the runs of words that `OFTEN` passages of a sample hold. It only says which come last, for all passages alike, so no link depends on it."""
+            new = {xxhash.xxh64_intdigest(line, 42): line for text in batch.column(0).slice(at, 200).to_pylist() for line in text.split("\n") if len(line) >= least}
+            for h in seen.intersection(new):
+                del new[h]
+            if new:
+                seen = set() if len(seen) > _SEEN else seen
+                seen.update(new)
+                yield new
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, of, n in _worded(batches):
-            x, times = np.unique(_grams(of, n)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(times)], names=["h", "n"])
 
-    one_in = texts.count() // SAMPLE
+def _worded(new: dict[int, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of different lines: the hashes of the passages, of all their words, and how many each has; and which lines no edits of characters need be looked for."""
+    own, lines = np.fromiter(new, np.uint64, len(new)), list(new.values())
+    may = np.flatnonzero(np.fromiter(map(len, lines), np.int64, len(lines)) >= 2 * PASSAGE - 1)
+    of, n = _words([lines[i] for i in may.tolist()])
+    enough = n >= PASSAGE
+    counts = np.zeros(len(lines), np.int64)
+    counts[may] = n
+    return own[may[enough]], of[np.repeat(enough, n)], n[enough], counts
+
+
+def _dealt(rows: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows dealt by their keys into `parts`: a row of bytes for each part."""
+    part = (rows["k"].view(np.uint64) if rows.dtype.names else rows) % np.uint64(parts)
+    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+    part, rows = part[order], rows[order]
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    at = np.append(starts, len(rows)).astype(np.int32) * np.int32(rows.itemsize)
+    data = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(rows.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), data], names=["part", "data"])
+
+
+def _parts(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[tuple[int, Iterator[np.ndarray]]]:
+    """Each part's rows, in the pieces that `_dealt` made of them; batches come sorted by part."""
+    pieces = ((part, np.frombuffer(data.as_buffer(), dtype).copy()) for batch in batches for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+    for part, found in itertools.groupby(pieces, lambda x: x[0]):
+        yield part, (rows for _, rows in found)
+
+
+def _often(texts: DataFrame, count: int) -> np.ndarray:
+    """A sieve of the runs of words that `OFTEN` passages of a sample hold. It only says which come last, for all passages alike, so no link depends on it."""
+
+    parts = shuffle_parts(texts.sparkSession)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for new in _different(batches, 2 * PASSAGE - 1):
+            _, of, words, _ = _worded(new)
+            if len(words):
+                held.append(_grams(of, words)[1])
+                n += len(held[-1])
+            if n > 2 * HELD:
+                yield _dealt(np.concatenate(held), parts)
+                held, n = [], 0
+        if n:
+            yield _dealt(np.concatenate(held), parts)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in _parts(batches, np.dtype("<u8")):
+            x, times = np.unique(np.concatenate(list(found)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x[times >= OFTEN].view(np.int64))], names=["h"])
+
+    one_in = count // SAMPLE
     some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0) if one_in > 1 else texts
-    return sieve(some.mapInArrow(rows, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN))
+    return sieve(some.mapInArrow(told, "part int, data binary").repartition("part").sortWithinPartitions("part").mapInArrow(counted, "h bigint"))
+
+
+def _rows(k: np.ndarray, h: np.ndarray, bag: np.ndarray, n: np.ndarray) -> np.ndarray:
+    out = np.empty(len(k), _ROW)
+    out["k"], out["h"], out["bag"], out["n"] = k.view(np.int64), h.view(np.int64), bag.view(np.int64), n
+    return out
+
+
+def _passage_rows(own: np.ndarray, of: np.ndarray, n: np.ndarray, often: np.ndarray | None) -> np.ndarray:
+    k, whose = passage_keys(of, n, often)
+    return _rows(k, own[whose], _word_bags(of, n)[whose], n[whose])
+
+
+def _line_rows(lines: dict[int, str], edits: int, each: int) -> np.ndarray:
+    k, role, times = _line_keys(list(lines.values()), edits, each)
+    some = list(lines.values())
+    length = np.repeat(np.fromiter(map(len, some), np.int64, len(some)), times)
+    return _rows(k, np.repeat(np.fromiter(lines, np.uint64, len(some)), times), np.repeat(bags(some), times) | role.astype(np.uint64), -length)
 
 
 def _passages(texts: DataFrame) -> DataFrame:
     """k, h, bag, n (words) of each passage."""
-    often = _often(texts)
+    often = _often(texts, texts.count())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        big = lambda x: pa.array(x.view(np.int64))
-        for own, of, n in _worded(batches):
-            k, whose = passage_keys(of, n, often)
-            yield pa.RecordBatch.from_arrays([big(k), big(own[whose]), big(_word_bags(of, n)[whose]), pa.array(n[whose].astype(np.int32))], names=["k", "h", "bag", "n"])
+        for new in _different(batches, 2 * PASSAGE - 1):
+            own, of, n, _ = _worded(new)
+            if len(n):
+                found = _passage_rows(own, of, n, often)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[c])) for c in _ROW.names], names=list(_ROW.names))
 
     return texts.mapInArrow(rows, "k bigint, h bigint, bag bigint, n int")
 
 
-def _larger(batches: Iterator[pa.RecordBatch], least: int = 1 << 15) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at least `least`, but for the last."""
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= least:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, n = [], 0
-    if n:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+def _covered(edits: int) -> int:
+    """Words from which on a line's partners by edits of characters are all passages that link by words: such an edit changes two words at most."""
+    return max(2 * edits * PART, PASSAGE + 2 * edits)
 
 
-def _near_passages(most: int):
-    """Of the rows under a key those that have a partner by their counts of words: pairs u, v under few rows, else k, u and v, the one with most partners.
+def _filed(texts: DataFrame, edits: int, each: int, kinds: str) -> DataFrame:
+    """part, data: the rows k, h, bag, n of all lines and passages, many to a row, dealt by k.
 
-    Batches come sorted by key and line.
+    n is a passage's words, or a line's characters below zero; a line's bag has its role under k in the lowest bits.
+    """
+    count, size = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    often = _often(texts, count) if "passages" in kinds else None
+    parts = max(shuffle_parts(texts.sparkSession), 1 + size // PART_BYTES)
+    least = max(1, each - edits) if "lines" in kinds else 2 * PASSAGE - 1
+    covered = _covered(edits)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, passages, n_words = [], 0, [], 0
+        for new in itertools.chain(_different(batches, least), [None]):
+            if n_words > HELD or passages and new is None:
+                held.append(_passage_rows(*map(np.concatenate, zip(*passages, strict=True)), often))
+                n += len(held[-1])
+                passages, n_words = [], 0
+            if new is None:
+                break
+            own, of, words, counts = _worded(new)
+            if "passages" in kinds and len(words):
+                passages.append((own, of, words))
+                n_words += len(of)
+            if "lines" in kinds:
+                held.append(_line_rows({h: x for (h, x), c in zip(new.items(), counts.tolist(), strict=True) if c < covered}, edits, each))
+                n += len(held[-1])
+            if n > HELD:
+                yield _dealt(np.concatenate(held), parts)
+                held, n = [], 0
+        if n:
+            yield _dealt(np.concatenate(held), parts)
+
+    return texts.mapInArrow(rows, "part int, data binary")
+
+
+def _near(edits: int, each: int, most: int):
+    """Of the rows under a key those that have a partner by their counts: pairs u, v under few rows, else k, u and v, the one with most partners.
+
+    Rows come as `_filed` deals them, a part's one behind the other.
     """
 
     def said(k: np.ndarray | None, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()) if k is None else pa.array(k), pa.array(u), pa.array(v)], names=["k", "u", "v"])
 
-    def picked(k: np.ndarray, h: np.ndarray, bag: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        of, n = _nibbles(bag)[:, 1:], n.astype(np.int64)
+    def near(a: np.ndarray, b: np.ndarray, n: np.ndarray, role: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Which of the pairs of places may be linked."""
+        longer, apart = np.maximum(np.abs(n[a]), np.abs(n[b])), np.abs(n[a] - n[b])
+        t = np.where(n[a] > 0, longer // PART, np.minimum(edits, longer // each))
+        # a line meets one that it looks up; of two lines the longer one does
+        met = (n[a] > 0) | ((role[a] & 1) & (role[b] >> 1) | (role[a] >> 1) & (role[b] & 1) > 0)
+        may = np.flatnonzero((apart <= t) & ((n[a] > 0) == (n[b] > 0)) & met)
+        gap = np.abs(of[a[may]] - of[b[may]])
+        return may[np.minimum(gap, 16 - gap).sum(axis=1, dtype=np.int32) <= 2 * t[may]]
+
+    def picked(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        k = rows["k"]
+        order = np.argsort(k)
+        k = k[order]
+        again = np.concatenate([[False], k[1:] == k[:-1], [False]])
+        rows = rows[order[again[1:] | again[:-1]]]
+        if not len(rows):
+            return
+        rows = rows[np.lexsort((rows["h"], rows["k"]))]
+        k, h, bag, n = (np.ascontiguousarray(rows[c]) for c in _ROW.names)
+        one = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])]))
+        role = np.bitwise_or.reduceat(bag & 15, one)
+        k, h, n, of = k[one], h[one], n[one].astype(np.int64), _nibbles(bag[one])[:, 1:]
         starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         size = np.diff(np.append(starts, len(k)))
         few, partners = np.repeat(size <= PAIRS, size), np.zeros(len(k), np.int64)
         i, d, pairs = np.arange(len(k) - 1), 1, []
         while len(i := i[i + d < len(k)]) and len(i := i[k[i] == k[i + d]]):  # each row with the d-th after it
-            t = np.maximum(n[i], n[i + d]) // PART
-            near = i[(h[i] != h[i + d]) & (np.abs(n[i] - n[i + d]) <= t)]
-            gap = np.abs(of[near] - of[near + d])
-            near = near[np.minimum(gap, 16 - gap).sum(axis=1, dtype=np.int32) <= 2 * (np.maximum(n[near], n[near + d]) // PART)]
-            pairs.append(np.stack([h[near], h[near + d]])[:, few[near]])
-            partners[near] += 1  # no place twice among them
-            partners[near + d] += 1
+            both = i[near(i, i + d, n, role, of)]
+            pairs.append(np.stack([h[both], h[both + d]])[:, few[both]])
+            partners[both] += 1  # no place twice among them
+            partners[both + d] += 1
             d += 1
-        keep = partners > 0
         if pairs and (both := np.unique(np.concatenate(pairs, axis=1), axis=1)).size:
             yield said(None, both[0], both[1])
-        if (keep := keep & ~few).any():
+        if (keep := (partners > 0) & ~few).any():
             run = np.repeat(np.arange(len(starts)), size)
             best = np.lexsort((h, -partners, run))[starts]
             yield said(k[keep], h[keep], h[best][run][keep])
 
+    def without_hot(all_: np.ndarray, hot: dict[int, int]) -> tuple[np.ndarray, list[pa.RecordBatch]]:
+        """Keys with so many lines that most have a partner go on as they are, now and later; comparison looks at the counts again."""
+        k, at, times = np.unique(all_["k"], return_index=True, return_counts=True)
+        for i in np.flatnonzero(times > 16 * most).tolist():
+            hot.setdefault(int(k[i]), int(all_["h"][at[i]]))
+        out = []
+        for x, v in hot.items():
+            if (of := all_["k"] == x).any():
+                u = np.unique(np.append(all_["h"][of], v))
+                out.append(said(np.full(len(u), x), u, np.full(len(u), v)))
+                all_ = all_[~of]
+        return all_, out
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, hot = None, None
-        for batch in _larger(batches):
-            if not batch.num_rows:
-                continue
-            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if hot is not None:
-                # the rest of a key with so many lines that most have a partner; comparison looks at the counts again
-                rest = int(np.searchsorted(new[0], hot[0], "right"))
-                if rest:
-                    yield said(new[0][:rest], new[1][:rest], np.full(rest, hot[1]))
-                if rest == len(new[0]):
-                    continue
-                new, hot = [x[rest:] for x in new], None
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            cut = int(np.searchsorted(held[0], held[0][-1]))
-            if cut:
-                yield from picked(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-            if len(held[0]) > 4 * most:
-                hot = int(held[0][0]), int(held[1][0])
-                yield said(held[0], held[1], np.full(len(held[0]), hot[1]))
-                held = None
-        if held is not None and len(held[0]):
-            yield from picked(*held)
+        for _, found in _parts(batches, _ROW):
+            held, n, limit, hot = [], 0, 4 * HELD, {}
+            for piece in found:
+                held.append(piece)
+                n += len(piece)
+                if n > limit:
+                    all_, out = without_hot(np.concatenate(held), hot)
+                    yield from out
+                    held, n = [all_], len(all_)
+                    limit = max(limit, 2 * n)
+            all_, out = without_hot(np.concatenate(held), hot) if hot else (np.concatenate(held), [])
+            yield from out
+            yield from picked(all_)
 
     return rows
 
@@ -398,15 +604,15 @@ class _Words:
         code = self.code
         return "".join(code[w] if w in code else code.setdefault(w, chr(len(code))) for w in line.split())
 
-    def centre(self, line: str) -> str:
-        """As `said`, for a line that others will be compared with; all others before it are done with."""
+    def passage(self, line: str) -> str:
+        """As `said`; empty if the line is no passage."""
+        return said if len(line) >= 2 * PASSAGE - 1 and len(said := self.said(line)) >= PASSAGE else ""
+
+    def centre(self, line: str) -> tuple[str, str]:
+        """A line that others will be compared with, and as `passage`; all others before it are done with."""
         if len(self.code) > 500_000:
             self.code.clear()
-        return self.said(line)
-
-    def near(self, a: str, line: str) -> bool:
-        b = self.said(line)
-        return within(a, b, max(len(a), len(b)) // PART)
+        return line, self.passage(line)
 
 
 def _passage_forest(lines: list[str], label: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -428,90 +634,6 @@ def _passage_forest(lines: list[str], label: np.ndarray) -> Iterator[tuple[int,
                 label[label == label[j]] = label[i]
 
 
-def _filed(texts: DataFrame, edits: int, each: int) -> DataFrame:
-    """k, h, bag of each line, the bag's lowest bits its role under k; a task says a line's once as far as it remembers."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                new: dict[int, str] = {}
-                for text in batch.column(0).slice(at, 200).to_pylist():
-                    for line in text.split("\n"):
-                        if _plan(len(line), edits, each):
-                            new[xxhash.xxh64_intdigest(line, 42)] = line
-                for h in seen.intersection(new):
-                    del new[h]
-                if not new:
-                    continue
-                seen = set() if len(seen) > _SEEN else seen
-                seen.update(new)
-                of, k, role, times = xxhash.xxh64_intdigest, [], [], []
-                for line in new.values():
-                    plan = _plan(len(line), edits, each)
-                    k += [of(line[a:b], s) for a, b, s, _ in plan]
-                    role += [r for *_, r in plan]
-                    times.append(len(plan))
-                big = lambda x: pa.array(x.view(np.int64))
-                yield pa.RecordBatch.from_arrays([big(np.array(k, np.uint64)), big(np.repeat(np.fromiter(new, np.uint64, len(new)), times)), big(np.repeat(bags(list(new.values())), times) | np.array(role, np.uint64))], names=["k", "h", "bag"])
-
-    return texts.mapInArrow(rows, "k bigint, h bigint, bag bigint")
-
-
-def _partnered(tau: int, most: int):
-    """Of the rows under a key, those that have a partner by their counts. Batches come sorted by key."""
-
-    def said(k: np.ndarray, h: np.ndarray, role: np.ndarray) -> pa.RecordBatch:
-        one = np.unique(np.stack([k, h, role.astype(np.int64)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(one[0]), pa.array(one[1]), pa.array(one[2].astype(np.int8))], names=["k", "h", "role"])
-
-    def picked(k: np.ndarray, h: np.ndarray, bag: np.ndarray) -> Iterator[pa.RecordBatch]:
-        again = np.concatenate([[False], k[1:] == k[:-1], [False]])
-        k, h, bag = (x[again[1:] | again[:-1]] for x in (k, h, bag))
-        if not len(k):
-            return
-        order = np.lexsort((h, k))
-        k, h, bag = k[order], h[order], bag[order]
-        one = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])]))
-        role = np.bitwise_or.reduceat(bag & 15, one)
-        k, h, of = k[one], h[one], _nibbles(bag[one])[:, 1:]
-        keep, i, d = np.zeros(len(k), bool), np.arange(len(k) - 1), 1
-        while len(i := i[i + d < len(k)]) and len(i := i[k[i] == k[i + d]]):  # each row with the d-th after it
-            near = i[((role[i] & 1) & (role[i + d] >> 1) | (role[i] >> 1) & (role[i + d] & 1)) > 0]
-            gap = np.abs(of[near] - of[near + d])
-            near = near[np.minimum(gap, 16 - gap).sum(axis=1, dtype=np.int32) <= 2 * tau]
-            keep[near] = True
-            keep[near + d] = True
-            d += 1
-        if keep.any():
-            yield said(k[keep], h[keep], role[keep])
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, hot = [np.zeros(0, np.int64)] * 3, None
-        for batch in _larger(batches):
-            held = [np.concatenate([a, c.to_numpy(zero_copy_only=False)]) for a, c in zip(held, batch.columns, strict=True)]
-            k = held[0]
-            cut = int(np.searchsorted(k, k[-1])) if len(k) else 0
-            if hot is not None and len(k):
-                # the rest of a key with so many lines that most have a partner; comparison looks at the counts again
-                first = int(np.searchsorted(k, hot, "right"))
-                if first:
-                    yield said(k[:first], held[1][:first], held[2][:first] & 15)
-                    held, cut = [x[first:] for x in held], max(0, cut - first)
-                if len(held[0]):
-                    hot = None
-            if cut:
-                yield from picked(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-            if len(held[0]) > 16 * most:
-                yield said(held[0], held[1], held[2] & 15)
-                held, hot = [x[:0] for x in held], int(held[0][0])
-        if len(held[0]):
-            yield from picked(*held) if hot is None else [said(held[0], held[1], held[2] & 15)]
-
-    return rows
-
-
 def _texts_of(texts: DataFrame, hashes: DataFrame, least: int) -> DataFrame:
     """h, line of the lines with these hashes. Lines that a sieve can rule out aren't shuffled."""
     bits = sieve(hashes)
@@ -529,63 +651,75 @@ def _texts_of(texts: DataFrame, hashes: DataFrame, least: int) -> DataFrame:
     return texts.mapInArrow(rows, "h bigint, line string").join(hashes, "h", "left_semi").dropDuplicates(["h"])
 
 
-def links(docs: DataFrame, edits: int = EDITS, each: int = EACH, most: int = MOST, text_col: str = "text") -> DataFrame:
-    """u, v: hashes of lines, links that join what all links would join."""
-    texts = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    under = _filed(texts, edits, each).repartition("k").sortWithinPartitions("k").mapInArrow(_partnered(edits, most), "k bigint, h bigint, role tinyint")
-
-    under = written(under.distinct(), "partnered")
-    held = written(_texts_of(texts, under.select("h").distinct(), max(1, each - edits)), "held")
-
-    def near(own: np.ndarray, h: np.ndarray, role: np.ndarray, lines: list[str]) -> Iterator[tuple[int, int]]:
-        return _forest(lines, np.isin(own, h[(role & 1) > 0]), np.isin(own, h[(role & 2) > 0]), edits, each)
-
-    return _compared(under.join(held, "h").withColumnRenamed("role", "mark"), most, near)
-
-
-def passage_links(docs: DataFrame, most: int = MOST, text_col: str = "text") -> DataFrame:
-    """u, v: hashes of passages, links that join what all links of passages would join."""
+def _linked(docs: DataFrame, edits: int, each: int, most: int, text_col: str, kinds: str) -> DataFrame:
     texts = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    found = _passages(texts).repartition("k").sortWithinPartitions("k", "h").mapInArrow(_near_passages(most), "k bigint, u bigint, v bigint")
+    found = _filed(texts, edits, each, kinds).repartition("part").sortWithinPartitions("part").mapInArrow(_near(edits, each, most), "k bigint, u bigint, v bigint")
     found = written(found.distinct(), "near")
     # a pair's lines, and all lines of keys of many
-    held = written(_texts_of(texts, found.select("u").unionAll(found.select("v")).select(F.col("u").alias("h")).distinct(), 2 * PASSAGE - 1), "held")
+    held = written(_texts_of(texts, found.select("u").unionAll(found.select("v")).select(F.col("u").alias("h")).distinct(), max(1, each - edits)), "held")
     words = _Words()
-    return joined(found, held.select(F.col("h").alias("id"), F.col("line").alias("data")), most, words.centre, words.near, lambda data, label: _passage_forest(data, label))
 
+    def same(centre: tuple[str, str], line: str) -> bool:
+        one, a = centre
+        if "passages" in kinds and a and (b := words.passage(line)):
+            n = max(len(a), len(b))
+            if (near := within(a, b, n // PART)) or n >= _covered(edits):
+                return near
+        t = allowed(max(len(one), len(line)), edits, each) if "lines" in kinds else 0
+        return t > 0 and within(one, line, t)
+
+    def forest(data: list[str], label: np.ndarray) -> Iterator[tuple[int, int]]:
+        label = label.copy()
+        for kind, some, of in (("lines", range(len(data)), lambda x, y: _forest(x, y, edits, each)), ("passages", [i for i, x in enumerate(data) if words.passage(x)], _passage_forest)):
+            places = np.array(some, np.int64)
+            for i, j in of([data[i] for i in some], label[places]) if kind in kinds and len(places) > 1 else ():
+                i, j = int(places[i]), int(places[j])
+                yield i, j
+                label[label == label[j]] = label[i]
+
+    return joined(found, held.select(F.col("h").alias("id"), F.col("line").alias("data")), most, words.centre, same, forest)
 
-def _compared(rows: DataFrame, most: int, near) -> DataFrame:
-    """Links, by `near`, among the lines under each key of `rows` (k, h, mark, line)."""
-    full = cells(rows, "h", most, "octet_length(line)").select("k", "cell", "h", "mark", "line")
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, h, mark, lines in runs(batches, 2):
-            own, first = np.unique(h, return_index=True)
-            if len(own) < 2:
-                continue
-            if pairs := list(near(own, h, mark, [lines[i] for i in first])):
-                at = np.array(pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(own[at[:, 0]]), pa.array(own[at[:, 1]])], names=["u", "v"])
+def links(docs: DataFrame, edits: int = EDITS, each: int = EACH, most: int = MOST, text_col: str = "text") -> DataFrame:
+    """u, v: hashes of lines, links that join what all links by edits of characters would join, but for long passages, which `passage_links` joins."""
+    return _linked(docs, edits, each, most, text_col, "lines")
 
-    return full.repartition("k", "cell").sortWithinPartitions("k", "cell", "h", "mark").mapInArrow(compared, "u bigint, v bigint")
+
+def passage_links(docs: DataFrame, most: int = MOST, text_col: str = "text") -> DataFrame:
+    """u, v: hashes of passages, links that join what all links of passages would join."""
+    return _linked(docs, EDITS, EACH, most, text_col, "passages")
 
 
 def _lines(docs: DataFrame, edits: int, each: int, id_col: str, text_col: str) -> DataFrame:
     """A row for each line: doc_id, row (a hash of id and text), line, n_chars, blank, h, class_id, first (none, doc_id, row, line)."""
     bounded_batches(docs.sparkSession)
     narrow = id_and_text(docs, id_col, text_col)
-    hashed = F.transform(F.split("text", "\n"), lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).cast("long").alias("n_chars"), (F.btrim(x, F.lit(" \t\r")) == "").alias("blank")))
-    lines = narrow.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode(hashed).alias("line", "of")).select("doc_id", "row", "line", "of.*")
-    # one row for each different line from here on; ids that are null come last
-    single = lines.groupBy("h", "n_chars").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")).alias("first"))
-    linked = links(docs, edits, each, text_col=text_col).unionByName(passage_links(docs, text_col=text_col))
-    roots = components(linked).select(F.col("node").alias("h"), "root")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                some = batch.slice(at, 200)
+                texts = [t.split("\n") for t in some.column(2).to_pylist()]
+                all_ = [x for t in texts for x in t]
+                n = np.fromiter(map(len, texts), np.int64, len(texts))
+                whose = pa.array(np.repeat(np.arange(len(texts)), n))
+                line = np.arange(len(all_)) - np.repeat(np.cumsum(n) - n, n)
+                h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in all_), np.uint64, len(all_))
+                blank = pa.array([not x or not x.strip(" \t\r") for x in all_], pa.bool_())
+                yield pa.RecordBatch.from_arrays([some.column(0).take(whose), some.column(1).take(whose), pa.array(line.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(np.fromiter(map(len, all_), np.int64, len(all_))), blank], names=["doc_id", "row", "line", "h", "n_chars", "blank"])
+
+    rows = narrow.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    lines = rows.mapInArrow(cut, StructType([narrow.schema["doc_id"], *(StructField(c, t) for c, t in (("row", LongType()), ("line", IntegerType()), ("h", LongType()), ("n_chars", LongType()), ("blank", BooleanType())))]))
+    roots = components(_linked(docs, edits, each, MOST, text_col, "lines and passages")).select(F.col("node").alias("h"), "root")
     roots = roots.unionByName(roots.select(F.col("root").alias("h"), "root").distinct())
-    rooted = written(single.join(roots, "h", "left").select("h", "n_chars", "first", F.coalesce("root", "h").alias("class_id"), F.when(F.col("root").isNull(), F.col("n_chars")).alias("alone")), "lines")
+    # one shuffle of all lines: each finds the first of its equals (ids that are null come last), and its class if it has others
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")
+    equal = Window.partitionBy("h", "n_chars").orderBy(F.col("doc_id").isNull(), "doc_id", "row", "line")
+    all_ = written(lines.repartition("h").withColumn("first", F.first(place).over(equal)).join(roots, "h", "left"), "lines")
     # equal hashes of different lengths that no link joins are classes of their own
-    firsts = rooted.groupBy("class_id", "alone").agg(F.min("first").alias("first"))
-    named = rooted.select("h", "n_chars", "class_id", "alone").join(firsts.withColumnRenamed("class_id", "c").withColumnRenamed("alone", "a"), (F.col("class_id") == F.col("c")) & F.col("alone").eqNullSafe(F.col("a")))
-    return lines.join(named.select("h", "n_chars", "class_id", "first"), ["h", "n_chars"])
+    alone, linked = all_.filter("root is null").withColumn("root", F.col("h")), all_.filter("root is not null")
+    firsts = linked.groupBy("root").agg(F.min("first").alias("first"))
+    return alone.unionByName(linked.drop("first").join(firsts, "root")).withColumnRenamed("root", "class_id")
 
 
 def classes(docs: DataFrame, edits: int = EDITS, each: int = EACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

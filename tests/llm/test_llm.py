@@ -344,6 +344,53 @@ def test_line_classes(spark, odd):
     assert kept[6].text == "" and kept[5].text == ODD[6][1] and kept[5]["__row"] == "z" and lines.classes(odd.limit(0)).count() == 0 and lines.deduplicated(odd.limit(0)).count() == 0
 
 
+def test_words_are_those_of_split():
+    rng = random.Random(21)
+    some = ["", "  x", "\x85\x1c k", "y" * 400_000 + " tail y", "word \u00e9 " * 30_000] + ["".join(rng.choice("ab\u3000 \t\x1f\u00e9") for _ in range(rng.randint(0, 90))) for _ in range(500)]
+    h, n = lines._words(some)
+    words = [w for x in some for w in x.split()]
+    assert n.tolist() == [len(x.split()) for x in some] and len(set(zip(words, h.tolist(), strict=True))) == len(set(words)) == len(set(h.tolist()))
+
+
+def test_long_passages_need_no_keys_of_characters(spark):
+    """Two edits of characters change four words at most, so lines of 40 words or more link by words, and aren't filed by characters."""
+    rng, texts = random.Random(22), []
+    for n in (*range(34, 44), 80):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(n)]
+        line = " ".join(words)
+        gaps = [i for i, c in enumerate(line) if c == " "]
+        cut = [line[:a] + line[a + 1 : b] + line[b + 1 :] for a, b in [sorted(rng.sample(gaps, 2))]]
+        split = [line[:a] + " " + line[a + 1 : b] + " " + line[b + 1 :] for a, b in [(gaps[3] + 2, gaps[9] + 2)]]
+        texts += [line, *cut, *split]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.first_doc_id for r in lines.classes(df).collect()}
+    assert got == {i: i // 3 * 3 for i in range(len(texts))}
+    data = lines._filed(df.select("text"), 2, 12, "lines and passages").collect()
+    rows = np.concatenate([np.frombuffer(r.data, lines._ROW) for r in data])
+    of = {lines.xxhash.xxh64_intdigest(x, 42): x for x in texts}
+    filed = [of[h % 2**64] for h in rows["h"][rows["n"] < 0].tolist()]
+    assert filed and all(len(x.split()) < 40 for x in filed) and {of[h % 2**64] for h in rows["h"][rows["n"] > 0].tolist()} == set(texts)
+
+
+def test_keys_of_many_lines_lose_no_pair(monkeypatch):
+    """Rows of a part beyond what a task holds: keys of many go on as they are, all others as pairs."""
+    rng = random.Random(23)
+    some = [f"the same beginning {rng.randrange(10**4):06d} {i % 40:04d}" for i in range(300)] + [changed(rng, "another line of some words here", 3) for _ in range(60)]
+    of = {lines.xxhash.xxh64_intdigest(x, 42): x for x in some}
+    near = {(a, b) for a in of.values() for b in of.values() if a < b and distance(a, b) <= lines.allowed(max(len(a), len(b)))}
+    for held, most in ((1 << 19, 512), (20, 2)):
+        monkeypatch.setattr(lines, "HELD", held)
+        dealt = lines._dealt(lines._line_rows(of, 2, 12), 3)
+        met, under = set(), {}
+        for batch in lines._near(2, 12, most)(iter([dealt.slice(i, 1) for i in range(dealt.num_rows)] if held > 20 else [lines._dealt(rows, 3).slice(p, 1) for p in range(3) for rows in np.array_split(lines._line_rows(of, 2, 12), 12)])):
+            for k, u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = of[u % 2**64], of[v % 2**64]
+                met.add((min(a, b), max(a, b)))
+                if k is not None:
+                    under.setdefault(k, set()).update((a, b))
+        assert near and all(p in met or any({*p} <= x for x in under.values()) for p in near)
+
+
 def test_passage_keys_meet_in_any_order():
     """Passages of at most a tenth of changed words share a key, whichever runs of words come last."""
     rng, known, met = random.Random(14), {}, 0
