@@ -44,13 +44,13 @@ def components(links: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def joined(found: DataFrame, held: DataFrame, most: int, prepare, same, forest) -> DataFrame:
+def joined(found: DataFrame, held: DataFrame, most: int, prepare, same, forest, keyed: bool = False) -> DataFrame:
     """u, v: links that join what all links between nodes that share a key would join.
 
     `found` has a row (null, u, v) for each pair under keys of few nodes, and (k, u, v) for each node u of a key of
     many, v being one of them; `held` has id and data of all of these. Pairs, and each node with the v of its key,
     are tested by `same(prepare(data), data)`. Under keys of many that this doesn't join, all pairs are: in cells,
-    by `forest(data, labels)`, which gives the places of pairs that join what the labels don't say is joined.
+    by `forest(data, labels)`, which gives the places of pairs that join what the labels don't say is joined; if `keyed`, it is given the key, too.
     """
     edges = found.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     first = written(alike(edges, held, 4 * most, prepare, same), "links")
@@ -63,9 +63,9 @@ def joined(found: DataFrame, held: DataFrame, most: int, prepare, same, forest)
     dealt = cells(known.join(mixed, "k").join(held, "id"), "id", most, "octet_length(data)").select("k", "cell", "id", "label", "data")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, id_, label, data in runs(batches, 2):
+        for k, _, id_, label, data in runs(batches, 2):
             own, at = np.unique(id_, return_index=True)
-            if len(own) > 1 and (pairs := list(forest([data[i] for i in at], label[at]))):
+            if len(own) > 1 and (pairs := list(forest([data[i] for i in at], label[at], *([int(k[0])] if keyed else [])))):
                 places = np.array(pairs)
                 yield pa.RecordBatch.from_arrays([pa.array(own[places[:, 0]]), pa.array(own[places[:, 1]])], names=["u", "v"])
 

@@ -34,7 +34,8 @@ the links goes to `components`: a line already in a partner's component isn't co
 
 Keys are dealt by hash into parts in the tasks that make them, so a row that is
 shuffled holds many keys, and a part is sorted by the task that gets it. A key of so
-many lines that a part outgrows its task goes on as it is.
+many lines that a part outgrows its task goes on as it is. Equal lines of a batch of
+texts are shuffled as one row, so a common line makes no long partition.
 
 A key with more than `most` lines, or with very long ones, is split into parts by
 hash; each pair of parts is compared on its own, so no pair is lost.
@@ -55,10 +56,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from siftline.llm.common import PAIRS, SIEVE, bounded_batches, id_and_text, shuffle_parts, sieve, written
 from siftline.llm.components import components, joined
@@ -68,8 +70,8 @@ EDITS, EACH, MOST = 2, 12, 512
 PASSAGE, PART, GRAM = 20, 10, 4
 #: texts of the sample, and how many of its passages hold a run of words that comes last as a key
 SAMPLE, OFTEN = 20_000, 6
-#: bytes of texts to a part of the keys, and rows of keys that a task holds before it deals them out
-PART_BYTES, HELD = 8 << 20, 1 << 19
+#: bytes of texts to a task that sorts keys, part by part, and rows of keys that a task holds before it deals them out
+TASK_BYTES, HELD = 32 << 20, 1 << 19
 _ROW = np.dtype([("k", "<i8"), ("h", "<i8"), ("bag", "<i8"), ("n", "<i4")])
 _SEEN, _BLANK = 1_000_000, re.compile(r"\s")
 
@@ -442,6 +444,8 @@ def _often(texts: DataFrame, count: int) -> np.ndarray:
 
 
 def _rows(k: np.ndarray, h: np.ndarray, bag: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Rows of keys; passages' are odd, lines' even."""
+    k = k & ~np.uint64(1) | (n > 0)
     out = np.empty(len(k), _ROW)
     out["k"], out["h"], out["bag"], out["n"] = k.view(np.int64), h.view(np.int64), bag.view(np.int64), n
     return out
@@ -485,7 +489,8 @@ def _filed(texts: DataFrame, edits: int, each: int, kinds: str) -> DataFrame:
     """
     count, size = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     often = _often(texts, count) if "passages" in kinds else None
-    parts = max(shuffle_parts(texts.sparkSession), 1 + size // PART_BYTES)
+    tasks = 1 + size // TASK_BYTES
+    parts = max(shuffle_parts(texts.sparkSession), 4 * tasks)
     least = max(1, each - edits) if "lines" in kinds else 2 * PASSAGE - 1
     covered = _covered(edits)
 
@@ -511,7 +516,7 @@ def _filed(texts: DataFrame, edits: int, each: int, kinds: str) -> DataFrame:
         if n:
             yield _dealt(np.concatenate(held), parts)
 
-    return texts.mapInArrow(rows, "part int, data binary")
+    return texts.mapInArrow(rows, "part int, data binary").repartition(tasks, "part")
 
 
 def _near(edits: int, each: int, most: int):
@@ -653,7 +658,7 @@ def _texts_of(texts: DataFrame, hashes: DataFrame, least: int) -> DataFrame:
 
 def _linked(docs: DataFrame, edits: int, each: int, most: int, text_col: str, kinds: str) -> DataFrame:
     texts = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    found = _filed(texts, edits, each, kinds).repartition("part").sortWithinPartitions("part").mapInArrow(_near(edits, each, most), "k bigint, u bigint, v bigint")
+    found = _filed(texts, edits, each, kinds).sortWithinPartitions("part").mapInArrow(_near(edits, each, most), "k bigint, u bigint, v bigint")
     found = written(found.distinct(), "near")
     # a pair's lines, and all lines of keys of many
     held = written(_texts_of(texts, found.select("u").unionAll(found.select("v")).select(F.col("u").alias("h")).distinct(), max(1, each - edits)), "held")
@@ -661,23 +666,16 @@ def _linked(docs: DataFrame, edits: int, each: int, most: int, text_col: str, ki
 
     def same(centre: tuple[str, str], line: str) -> bool:
         one, a = centre
-        if "passages" in kinds and a and (b := words.passage(line)):
-            n = max(len(a), len(b))
-            if (near := within(a, b, n // PART)) or n >= _covered(edits):
-                return near
-        t = allowed(max(len(one), len(line)), edits, each) if "lines" in kinds else 0
-        return t > 0 and within(one, line, t)
-
-    def forest(data: list[str], label: np.ndarray) -> Iterator[tuple[int, int]]:
-        label = label.copy()
-        for kind, some, of in (("lines", range(len(data)), lambda x, y: _forest(x, y, edits, each)), ("passages", [i for i, x in enumerate(data) if words.passage(x)], _passage_forest)):
-            places = np.array(some, np.int64)
-            for i, j in of([data[i] for i in some], label[places]) if kind in kinds and len(places) > 1 else ():
-                i, j = int(places[i]), int(places[j])
-                yield i, j
-                label[label == label[j]] = label[i]
+        t = allowed(max(len(one), len(line)), edits, each) if "lines" in kinds and len(a) < _covered(edits) else 0
+        if t and abs(len(one) - len(line)) <= t and within(one, line, t):
+            return True
+        b = words.passage(line) if "passages" in kinds and a else ""
+        return bool(b) and within(a, b, max(len(a), len(b)) // PART)
 
-    return joined(found, held.select(F.col("h").alias("id"), F.col("line").alias("data")), most, words.centre, same, forest)
+    def forest(data: list[str], label: np.ndarray, k: int) -> Iterator[tuple[int, int]]:
+        return _passage_forest(data, label) if k & 1 else _forest(data, label, edits, each)
+
+    return joined(found, held.select(F.col("h").alias("id"), F.col("line").alias("data")), most, words.centre, same, forest, keyed=True)
 
 
 def links(docs: DataFrame, edits: int = EDITS, each: int = EACH, most: int = MOST, text_col: str = "text") -> DataFrame:
@@ -697,25 +695,34 @@ def _lines(docs: DataFrame, edits: int, each: int, id_col: str, text_col: str) -
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                texts = [t.split("\n") for t in some.column(2).to_pylist()]
-                all_ = [x for t in texts for x in t]
-                n = np.fromiter(map(len, texts), np.int64, len(texts))
-                whose = pa.array(np.repeat(np.arange(len(texts)), n))
-                line = np.arange(len(all_)) - np.repeat(np.cumsum(n) - n, n)
-                h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in all_), np.uint64, len(all_))
-                blank = pa.array([not x or not x.strip(" \t\r") for x in all_], pa.bool_())
-                yield pa.RecordBatch.from_arrays([some.column(0).take(whose), some.column(1).take(whose), pa.array(line.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(np.fromiter(map(len, all_), np.int64, len(all_))), blank], names=["doc_id", "row", "line", "h", "n_chars", "blank"])
+            # in order, so that the first of a batch's equal lines has the others behind it
+            batch = batch.take(pc.sort_indices(batch, [("doc_id", "ascending"), ("row", "ascending")], null_placement="at_end"))
+            texts = [t.split("\n") for t in batch.column(2).to_pylist()]
+            all_ = [x for t in texts for x in t]
+            n = np.fromiter(map(len, texts), np.int64, len(texts))
+            whose = np.repeat(np.arange(len(texts)), n)
+            line = (np.arange(len(all_)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in all_), np.uint64, len(all_))
+            length = np.fromiter(map(len, all_), np.int64, len(all_))
+            order = np.lexsort((length, h))
+            new = np.concatenate([[True], (h[order[1:]] != h[order[:-1]]) | (length[order[1:]] != length[order[:-1]])])[: len(order)]
+            one, more = order[new], order[~new]
+            place = lambda at: [batch.column(0).take(pa.array(whose[at])), batch.column(1).take(pa.array(whose[at])), pa.array(line[at])]  # noqa: E731,B023
+            stops = np.cumsum(~new)[np.append(np.flatnonzero(new)[1:], len(new)) - 1] if len(new) else np.zeros(0, np.int64)
+            others = pa.ListArray.from_arrays(pa.array(np.append(0, stops).astype(np.int32)), pa.StructArray.from_arrays(place(more), ["doc_id", "row", "line"]), mask=pa.array(np.diff(stops, prepend=0) == 0))
+            blank = pa.array([not all_[i] or not all_[i].strip(" \t\r") for i in one.tolist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*place(one), pa.array(h[one].view(np.int64)), pa.array(length[one]), blank, others], names=["doc_id", "row", "line", "h", "n_chars", "blank", "others"])
 
     rows = narrow.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    lines = rows.mapInArrow(cut, StructType([narrow.schema["doc_id"], *(StructField(c, t) for c, t in (("row", LongType()), ("line", IntegerType()), ("h", LongType()), ("n_chars", LongType()), ("blank", BooleanType())))]))
+    at = [narrow.schema["doc_id"], StructField("row", LongType()), StructField("line", IntegerType())]
+    lines = rows.mapInArrow(cut, StructType([*at, StructField("h", LongType()), StructField("n_chars", LongType()), StructField("blank", BooleanType()), StructField("others", ArrayType(StructType(at)))]))
     roots = components(_linked(docs, edits, each, MOST, text_col, "lines and passages")).select(F.col("node").alias("h"), "root")
     roots = roots.unionByName(roots.select(F.col("root").alias("h"), "root").distinct())
-    # one shuffle of all lines: each finds the first of its equals (ids that are null come last), and its class if it has others
+    # one shuffle of different lines of batches: each finds the first of its equals (ids that are null come last), and its class if it has others
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")
     equal = Window.partitionBy("h", "n_chars").orderBy(F.col("doc_id").isNull(), "doc_id", "row", "line")
     all_ = written(lines.repartition("h").withColumn("first", F.first(place).over(equal)).join(roots, "h", "left"), "lines")
+    all_ = all_.drop("others").unionByName(all_.filter("others is not null").select("h", "n_chars", "blank", "first", "root", F.inline("others")))
     # equal hashes of different lengths that no link joins are classes of their own
     alone, linked = all_.filter("root is null").withColumn("root", F.col("h")), all_.filter("root is not null")
     firsts = linked.groupBy("root").agg(F.min("first").alias("first"))

@@ -391,6 +391,16 @@ def test_keys_of_many_lines_lose_no_pair(monkeypatch):
         assert near and all(p in met or any({*p} <= x for x in under.values()) for p in near)
 
 
+def test_equal_lines_of_a_batch_are_shuffled_as_one_row(spark, monkeypatch):
+    """So a very common line is no long partition."""
+    df = spark.createDataFrame([(i or None, f"common\nown {i}\ncommon") for i in range(200)], "doc_id bigint, text string").coalesce(2)
+    kept, write = {}, lines.written
+    monkeypatch.setattr(lines, "written", lambda frame, label: kept.setdefault(label, write(frame, label)))
+    got = {(r.doc_id, r.line): (r.first_doc_id, r.first_line) for r in lines.classes(df).collect()}
+    assert got == {(i or None, n): (1, 0) if n != 1 else (i or None, 1) for i in range(200) for n in range(3)}
+    assert kept["lines"].filter("n_chars = 6").select("h").groupBy("h").count().filter("count > 2").count() == 0
+
+
 def test_passage_keys_meet_in_any_order():
     """Passages of at most a tenth of changed words share a key, whichever runs of words come last."""
     rng, known, met = random.Random(14), {}, 0
