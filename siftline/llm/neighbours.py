@@ -2,14 +2,21 @@
 
 Every row is indexed. Rows are dealt by hash into blocks; a block's forest has
 `trees` sorted arrays of 64-bit hash strings, each bit the side of a random
-hyperplane (through the block's median). A query descends in each tree to the
+hyperplane through an anchor (midway between two rows of the block, picked
+without regard to the planes). A query descends in each tree to the
 longest prefix that other strings share with its own, then all trees ascend
 together, a shorter prefix each time, and what falls under it is verified by
 exact distance. The ascent ends when the block holds `k` verified neighbours
 and the chance that one as near as the last of them shares no prefix of this
-length in any tree is under `miss`; in data without structure that may be near
+length in any tree is at most `miss`; in data without structure that may be near
 the root, where all rows of the block are candidates: nothing is capped.
 
+That chance is a bound for any rows, whatever their clusters, outliers or
+scales: seen from an anchor at distance h of a query, what lies within r < h of
+it is at an angle of at most asin(r / h), so a plane through the anchor parts
+the two with a chance of at most that angle over pi. Where r reaches an anchor,
+its bit promises nothing and the ascent goes on above it.
+
 Queries meet every block, in chunks; each meeting yields at most k + 1 rows of
 a query. Equal vectors are one row, which carries its k + 1 smallest ids: more
 can't be among the k nearest. So neither a vector that a third of all rows
@@ -41,13 +48,14 @@ class Forest:
     def __init__(self, rows: np.ndarray, trees: int, seed: int = 7):
         self.rows, n = rows, len(rows)
         rng = np.random.default_rng([seed, rows.shape[1]])
-        self.centre = rows.mean(axis=0)
+        # the products are taken about a place among most rows, so that neither an offset nor a few far rows cost digits
+        self.centre = np.median(rows, axis=0)
         self.planes = [rng.standard_normal((rows.shape[1], 64)) for _ in range(trees)]
+        self.anchors = rows[rng.integers(0, n, (2, 64))].mean(axis=0)
         self.middle, self.order, self.strings = [], [], []
         for planes in self.planes:
-            side = (rows - self.centre) @ planes
-            middle = np.median(side, axis=0) if n > 2 else np.zeros(64)
-            strings = self._packed(side > middle)
+            middle = ((self.anchors - self.centre) * planes.T).sum(axis=1)
+            strings = self._packed((rows - self.centre) @ planes > middle)
             order = np.argsort(strings, kind="stable")
             self.middle.append(middle)
             self.order.append(order)
@@ -67,10 +75,9 @@ class Forest:
             low = np.stack([np.searchsorted(s, o & ~rest, "left") for s, o in zip(self.strings, own, strict=True)])
             high = np.stack([np.searchsorted(s, o | rest, "right") for s, o in zip(self.strings, own, strict=True)])
             bounds[depth] = low, high
-        sizes = np.linalg.norm(self.rows - self.centre, axis=1)
         for i, q in enumerate(queries):
             seen, places, far = np.zeros(n, bool), np.zeros(0, np.int64), np.zeros(0)
-            here = float(np.linalg.norm(q - self.centre))
+            reach = np.linalg.norm(self.anchors - q, axis=1)
             for depth in DEPTHS:
                 low, high = bounds[depth][0][:, i], bounds[depth][1][:, i]
                 under = np.zeros(n, bool)
@@ -90,10 +97,9 @@ class Forest:
                         last = np.partition(far, k - 1)[k - 1]
                         places, far = places[far <= last], far[far <= last]
                 if len(places) >= k and depth:
-                    j = int(far.argmax())
-                    cosine = (here**2 + sizes[places[j]] ** 2 - far[j] ** 2) / max(2 * here * sizes[places[j]], 1e-300)
-                    agree = 1 - np.arccos(np.clip(cosine, -1, 1)) / np.pi
-                    if (1 - agree**depth) ** len(self.planes) <= miss:
+                    r, h = far.max(), reach[:depth]
+                    agree = 1 - np.arcsin(r / h) / np.pi if (h > r).all() else np.zeros(1)
+                    if (1 - agree.prod()) ** len(self.planes) <= miss:
                         break
             out.append((places, far))
         return out

@@ -504,6 +504,45 @@ def test_neighbours(spark):
     assert neighbours.neighbours(df.limit(0)).count() == 0
 
 
+def _uneven_vectors() -> dict[str, np.ndarray]:
+    """Rows whose mean lies apart from most of them, or whose scales differ."""
+    rng = np.random.default_rng(3)
+    normal = lambda *shape: rng.standard_normal(shape)
+    return {
+        "far": np.concatenate([0.1 * normal(1480, 32) + 3, 1000 * normal(20, 32)]),
+        "two": normal(2, 32)[rng.integers(0, 2, 1500)] + 0.05 * normal(1500, 32),
+        "most": np.concatenate([normal(1, 32) + 0.05 * normal(1350, 32), normal(15, 32)[rng.integers(0, 15, 150)] + 0.05 * normal(150, 32)]),
+        "scales": normal(1500, 32) * np.exp(2 * normal(1500, 1)),
+    }
+
+
+def _share_found(found: dict[int, list[int]], x: np.ndarray, k: int) -> float:
+    """Of the k nearest rows of each query, by brute force, the share that was found."""
+    hit = 0
+    for q, near in found.items():
+        far = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        hit += len(set(near) & set([c for c in np.lexsort((np.arange(len(x)), far)).tolist() if c != q][:k]))
+    return hit / (k * len(found))
+
+
+@pytest.mark.parametrize("which", ["far", "two", "most", "scales"])
+def test_forest_of_uneven_rows(which):
+    x = _uneven_vectors()[which]
+    asked = range(0, len(x), 30)
+    near = neighbours.Forest(x, 48).nearest(x[list(asked)], 11, 0.05)
+    found = {q: [c for c in places[np.lexsort((places, far))].tolist() if c != q][:10] for q, (places, far) in zip(asked, near, strict=True)}
+    assert _share_found(found, x, 10) >= 0.95
+
+
+def test_neighbours_of_uneven_rows(spark):
+    x = _uneven_vectors()["far"]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found = defaultdict(list)
+    for r in neighbours.neighbours(df).collect():
+        found[r.query_id].append(r.vec_id)
+    assert sorted(found) == list(range(0, 1500, 100)) and _share_found(found, x, 10) >= 0.95
+
+
 @pytest.mark.parametrize("which", ["table", "hot", "odd", "none"])
 def test_shards(spark, docs, odd, which):
     hot = spark.createDataFrame([(i, "copy " * 20) for i in range(700)] + [(i, "x" * (i % 97)) for i in range(700, 2000)], "doc_id bigint, text string")
