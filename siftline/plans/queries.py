@@ -19,6 +19,7 @@ from siftline.plans.probes import present, secrets_in
 from siftline.plans.scan import rollup, scan_cells, scan_files, scan_texts
 from siftline.plans.shared import shared_path, written
 from siftline.sources.diffs import diff_lines
+from siftline.sources.files import bounded_batches
 from siftline.streaming.scan import scan_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -277,19 +278,19 @@ def _files(spark: SparkSession, rows: DataFrame) -> tuple[str, DataFrame]:
     folder = shared_path(spark, "files")
 
     def put(batches):
-        import pyarrow as pa
         from pyarrow import fs
 
         for batch in batches:
-            for name, text in zip(batch["name"], batch["text"], strict=True):
+            for name, text in zip(batch.column("name"), batch.column("text"), strict=True):
                 path = f"{folder}/{name}"
                 store, inner = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
                 store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
                 with store.open_output_stream(inner) as f:
-                    f.write(pa.py_buffer(("" if text is None else text).encode("utf-8", "surrogatepass")))
-            yield batch[["name"]]
+                    f.write(text.as_buffer() or b"")
+            yield batch.select(["name"])
 
-    named = written(rows.mapInPandas(put, "name string"), "names")
+    bounded_batches(spark)
+    named = written(rows.mapInArrow(put, "name string"), "names")
     return folder, named.select("name", F.concat(F.lit(folder + "/"), "name").alias("file"))
 
 

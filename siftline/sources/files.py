@@ -4,6 +4,10 @@ The path table is filtered and spread before anything is read; binaries and
 unsupported files are never opened. A path with a scheme (file:, hdfs:, s3:)
 is opened through pyarrow's file systems, another one as a local or mounted
 file. Faults stay with their file: they make a row of `errors`.
+
+A task holds one file, and of the lines for Spark at most `BATCH_ROWS` rows or
+`BATCH_CHARS` characters and the line that exceeds them, of many small files or
+of a part of a large one.
 """
 
 from __future__ import annotations
@@ -13,12 +17,21 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.operators.routing import route
 
 READ = "file string, route string, line bigint, text string, cell string, stage string, message string"
+#: rows and characters of lines that a task gathers before it gives them to Spark
+BATCH_ROWS, BATCH_CHARS = 5000, 1 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches to Python small in rows and bytes; Spark's own 10,000 rows of whole texts would grow with the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def path_table(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
@@ -98,22 +111,35 @@ def notebook_lines(data: bytes) -> list[tuple[str, str]]:
 def read_lines(paths: DataFrame) -> DataFrame:
     """`paths`: file, route. A row for each line, and one with stage and message for each file that can't be read."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in READ.split(", ")]
+    kinds = [pa.int64() if n == "line" else pa.string() for n in names]
+
+    def rows(file: str, how: str) -> Iterator[tuple]:
+        stage = "read"
+        try:
+            data = content(file)
+            stage = "parse"
+            lines = notebook_lines(data) if how == "notebook" else text_lines(data)
+        except Exception as fault:  # noqa: BLE001 - whatever a file does, the others are scanned
+            yield file, how, None, None, None, stage, f"{type(fault).__name__}: {fault}"
+            return
+        del data
+        for i, x in enumerate(lines, 1):
+            cell, text = x if how == "notebook" else (None, x)
+            yield file, how, i, text, cell, None, None
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, chars = [], 0
+        arrow = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
         for batch in batches:
-            for file, how in zip(batch["file"], batch["route"], strict=True):
-                rows = {"line": [], "text": [], "cell": []}
-                stage = message = None
-                try:
-                    stage = "read"
-                    data = content(file)
-                    stage = "parse"
-                    lines = notebook_lines(data) if how == "notebook" else [(None, x) for x in text_lines(data)]
-                    rows = {"line": list(range(1, len(lines) + 1)), "text": [x for _, x in lines], "cell": [c for c, _ in lines]}
-                    stage = None
-                except Exception as fault:  # noqa: BLE001 - whatever a file does, the others are scanned
-                    message = f"{type(fault).__name__}: {fault}"
-                    rows = {"line": [None], "text": [None], "cell": [None]}
-                for at in range(0, len(rows["line"]), 20_000):
-                    yield pd.DataFrame({k: pd.Series(v[at : at + 20_000], dtype="Int64" if k == "line" else object) for k, v in rows.items()}).assign(file=file, route=how, stage=stage, message=message)[["file", "route", "line", "text", "cell", "stage", "message"]]
-
-    return paths.select("file", "route").mapInPandas(read, READ)
+            for file, how in zip(batch.column("file").to_pylist(), batch.column("route").to_pylist(), strict=True):
+                for row in rows(file, how):
+                    held.append(row)
+                    chars += len(row[3] or "")
+                    if len(held) >= BATCH_ROWS or chars >= BATCH_CHARS:
+                        yield arrow()
+                        held, chars = [], 0
+        if held:
+            yield arrow()
+
+    return paths.select("file", "route").mapInArrow(read, READ)
