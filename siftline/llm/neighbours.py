@@ -122,8 +122,9 @@ def neighbours(rows: DataFrame, k: int = 10, every: int = 100, trees: int = 48,
     blocks = max(1, -(-n // block), min(4 * rows.sparkSession.sparkContext.defaultParallelism, -(-n // 256)))
     chunks = max(1, -(-wanted.count() // chunk))
     to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = classes.select("c", "size", "v", F.pmod(F.xxhash64("c"), F.lit(blocks)).alias("block"), to(chunks).alias("chunk"))
-    sent = wanted.select("c", "size", "v", F.pmod(F.xxhash64("c", F.lit(1)), F.lit(chunks)).alias("chunk"), to(blocks).alias("block"))
+    # ints on both sides: a cogroup doesn't align types, and an int and a bigint hash to different partitions
+    held = classes.select("c", "size", "v", F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int").alias("block"), to(chunks).alias("chunk"))
+    sent = wanted.select("c", "size", "v", F.pmod(F.xxhash64("c", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk"), to(blocks).alias("block"))
 
     def met(items: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = {"query": [], "c": [], "score": []}

@@ -543,6 +543,20 @@ def test_neighbours_of_uneven_rows(spark):
     assert sorted(found) == list(range(0, 1500, 100)) and _share_found(found, x, 10) >= 0.95
 
 
+def test_neighbours_over_several_partitions(spark):
+    """Rows and queries of a block meet where small shuffles aren't merged into one partition, as on larger tables."""
+    x = _uneven_vectors()["scales"]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = defaultdict(list)
+        for r in neighbours.neighbours(df).collect():
+            found[r.query_id].append(r.vec_id)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(found) == list(range(0, 1500, 100)) and _share_found(found, x, 10) >= 0.95
+
+
 @pytest.mark.parametrize("which", ["table", "hot", "odd", "none"])
 def test_shards(spark, docs, odd, which):
     hot = spark.createDataFrame([(i, "copy " * 20) for i in range(700)] + [(i, "x" * (i % 97)) for i in range(700, 2000)], "doc_id bigint, text string")
